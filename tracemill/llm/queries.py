@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from tracemill.llm.bpe import op2_bpe_merge_replay
 from tracemill.llm.decontaminate import op3_fm_decontamination
+from tracemill.llm.lines import op9_line_dedup
 from tracemill.llm.quality import op10_quality_rules
 from tracemill.llm.tokens import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_bpe_merge_replay, op3_fm_decontamination, op7_token_counts, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_bpe_merge_replay, op3_fm_decontamination, op7_token_counts, op9_line_dedup, op10_quality_rules)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS3 = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -68,4 +69,25 @@ from r left join a on r.lang is not distinct from a.lang and r.source is not dis
 """
 
 
-ORACLE = {"op3_fm_decontamination": OP3, "op10_quality_rules": _op10()}
+#: By brute force: the shortest runs from and up to each line, as texts; all copies but the first go.
+OP9 = rf"""
+with t as (select doc_id, text, string_split(coalesce(text, ''), chr(10)) as l from documents),
+f as (select doc_id, unnest(range(1, len(l) + 1)) as k, l from t),
+w as (select doc_id, k - 1 as line, l[k] as x, len(regexp_extract_all(l[k], '{_WS}+')) as n from f),
+s as (select doc_id, row_number() over (partition by doc_id order by line) as i, line, trim(x, ' ') as x, n,
+  sum(n) over (partition by doc_id order by line) as upto from w where n > 0),
+a as (select doc_id, list(x order by i) as xs, list(upto order by i) as u, list(line order by i) as ls, list(n order by i) as ns from s group by doc_id),
+b as (select doc_id, xs, u, ns, ls, unnest(range(1, len(xs) + 1)) as p from a),
+r as (select doc_id, xs, p as i, list_position(list_transform(u[p:], lambda v: v - u[p] + ns[p] >= 50), true) as n from b
+  union select doc_id, xs, p - n + 1 as i, n from (select doc_id, xs, p, list_position(list_transform(list_reverse(u[:p]), lambda v: u[p] - v >= 50), true) - 1 as n0,
+    case when u[p] < 50 then null else coalesce(n0, p) end as n from b)),
+g as (select doc_id, i, n, first_value((doc_id, i)) over (partition by n, list_aggregate(xs[i:i + n - 1], 'string_agg', chr(10)) order by doc_id, i) as first from r where n is not null),
+gone as (select distinct doc_id, unnest(range(i, i + n)) as i from g where (doc_id, i) <> first),
+rm as (select doc_id, list(line order by line) as removed from gone join s using (doc_id, i) group by doc_id),
+nl as (select doc_id, count(*) as n_lines from s group by doc_id)
+select t.doc_id, case when removed is null then text else array_to_string(list_filter(list_transform(range(1, len(l) + 1), lambda k: case when list_contains(removed, k - 1) then null else l[k] end), lambda x: x is not null), chr(10)) end as text,
+  coalesce(n_lines, 0)::bigint as n_lines, coalesce(removed, [])::integer[] as removed_lines
+from t left join rm using (doc_id) left join nl using (doc_id)
+"""
+
+ORACLE = {"op3_fm_decontamination": OP3, "op9_line_dedup": OP9, "op10_quality_rules": _op10()}
