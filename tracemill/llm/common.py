@@ -16,15 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; one of our own is set only where a session has none
-    (single-machine tests). Files go when the JVM's cleaner finds the frame unreachable, if the session says so.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``. Where a session has none, as in
+    tests on one machine, a temporary folder becomes it."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracemill-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracemill-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there. The JVM's cleaner deletes the files of frames that are
+    out of reach, if the session asks for that."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
