@@ -84,10 +84,9 @@ def shortest_runs(rows: DataFrame, least_words: int) -> DataFrame:
     return out.dropDuplicates([*DOC, "i", "n"])
 
 
-def later_copies(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Runs that start earlier elsewhere: document (d, h), first line i (among lines with words), lines n, and the
+def later_copies(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """From the repeated lines, the runs that start earlier elsewhere: document (d, h), first line i (among lines with words), lines n, and the
     document and line of the first copy."""
-    rows = suffixes(docs)
     runs = checkpoint(shortest_runs(rows, least_words))
     ranks, step, named = rows.select(*DOC, "seg", "i", F.col("r0").alias("r")), 1, []
     longest = runs.agg(F.max("n")).first()[0] or 0
@@ -110,36 +109,36 @@ def later_copies(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
 
 def removals(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Per document (d, h) with later copies: the sorted numbers of its lines with words that go."""
-    gone = later_copies(docs, least_words).select(*DOC, F.explode(F.sequence("i", F.col("i") + F.col("n") - 1)).alias("i"))
-    return gone.groupBy(*DOC).agg(F.array_sort(F.collect_set("i")).alias("gone"))
+    """Per document (d, h) with later copies: the sorted numbers, in the text, of the lines that go."""
+    rows = suffixes(docs)
+    gone = later_copies(rows, least_words).select(*DOC, F.explode(F.sequence("i", F.col("i") + F.col("n") - 1)).alias("i")).distinct()
+    return gone.join(rows.select(*DOC, "i", "line"), [*DOC, "i"]).groupBy(*DOC).agg(F.array_sort(F.collect_list("line")).alias("gone"))
+
+
+def without(text: Column, gone: Column) -> Column:
+    """The text without some of its lines. (The one-element array binds the split text, so that it is split once.)"""
+    parts = F.struct(_lines(text).alias("p"), F.array_except(F.sequence(F.lit(0), F.size(_lines(text)) - 1), gone).alias("stay"))
+    return F.transform(F.array(parts), lambda z: F.array_join(F.transform(z["stay"], lambda n: F.get(z["p"], n)), "\n"))[0]
 
 
 def deduped(docs: DataFrame, least_words: int = LEAST_WORDS, lines: bool = False) -> DataFrame:
     """``docs`` with the later copies of repeated runs of lines cut out of ``text`` (and n_chars to match, where it changes).
 
     Documents that lose their last words go; null, empty and wordless texts stay as they are. Rows that repeat an id
-    together with its text count as one document and all get its result. ``lines``: keep every row, and add n_lines (lines
-    with words) and removed_lines (numbers of lines in the text, from 0). Other columns pass through; the names d, h and gone are
-    taken.
+    together with its text count as one document and all get its result. ``lines``: keep every row, and add n_lines and
+    removed_lines (numbers of lines in the text, from 0). Other columns pass through; the names d, h and gone are taken.
     """
     own = docs.columns
-    found = removals(docs, least_words)
-    joined = _keyed(docs.drop("d", "h", "gone")).join(found, DOC, "left")
-    parts = _lines(F.col("text"))
-    worded = lambda x: F.length(F.translate(x, SPACES, "")) > 0
-    # numbers in the text of the lines with words; those of the lines that go; those of the lines that stay
-    numbers = F.filter(F.transform(parts, lambda x, n: F.when(worded(x), n)), lambda n: n.isNotNull())
-    joined = joined.withColumn("_removed", F.when(F.col("gone").isNotNull(), F.transform("gone", lambda g: F.get(numbers, g))).otherwise(F.array().cast("array<int>")))
-    hit = F.size("_removed") > 0
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_removed"))
-    joined = joined.withColumn("text", F.when(hit, F.array_join(F.transform(stay, lambda n: F.get(parts, n)), "\n")).otherwise(F.col("text")))
+    joined = _keyed(docs.drop("d", "h", "gone")).join(removals(docs, least_words), DOC, "left")
+    hit = F.col("gone").isNotNull()
+    added = [F.size(_lines(F.col("text"))).cast("long").alias("n_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines")] * lines
+    text = F.when(hit, without(F.col("text"), F.col("gone"))).otherwise(F.col("text"))
+    joined = joined.select(*[F.col(c) for c in own if c != "text"], text.alias("text"), hit.alias("gone"), *added)
     if "n_chars" in own:
-        joined = joined.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        joined = joined.withColumn("n_chars", F.when(F.col("gone"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     if lines:
-        left = F.size(F.filter(parts, worded)) + F.size("_removed")
-        return joined.select(*own, left.cast("long").alias("n_lines"), F.col("_removed").alias("removed_lines"))
-    return joined.where(~hit | worded(F.col("text"))).select(*own)
+        return joined.select(*own, "n_lines", "removed_lines")
+    return joined.where(~F.col("gone") | (F.length(F.translate("text", SPACES, "")) > 0)).select(*own)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,11 +84,10 @@ r as (select doc_id, xs, p as i, list_position(list_transform(u[p:], lambda v: v
     case when u[p] < 50 then null else coalesce(n0, p) end as n from b)),
 g as (select doc_id, i, n, first_value((doc_id, i)) over (partition by n, list_aggregate(xs[i:i + n - 1], 'string_agg', chr(10)) order by doc_id, i) as first from r where n is not null),
 gone as (select distinct doc_id, unnest(range(i, i + n)) as i from g where (doc_id, i) <> first),
-rm as (select doc_id, list(line order by line) as removed from gone join s using (doc_id, i) group by doc_id),
-nl as (select doc_id, count(*) as n_lines from s group by doc_id)
+rm as (select doc_id, list(line order by line) as removed from gone join s using (doc_id, i) group by doc_id)
 select t.doc_id, case when removed is null then text else array_to_string(list_filter(list_transform(range(1, len(l) + 1), lambda k: case when list_contains(removed, k - 1) then null else l[k] end), lambda x: x is not null), chr(10)) end as text,
-  coalesce(n_lines, 0)::bigint as n_lines, coalesce(removed, [])::integer[] as removed_lines
-from t left join rm using (doc_id) left join nl using (doc_id)
+  len(l)::bigint as n_lines, coalesce(removed, [])::integer[] as removed_lines
+from t left join rm using (doc_id)
 """
 
 ORACLE = {"op3_fm_decontamination": OP3, "op9_line_dedup": OP9, "op10_quality_rules": _op10()}
