@@ -52,8 +52,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     # each window adds the words that the window before, if it is near, has not covered
     covered = F.aggregate(F.transform("_twice", lambda x, i: F.when(i == 0, WINDOW).otherwise(F.least(F.lit(WINDOW), x - F.get("_twice", i - 1)))), F.lit(0).cast("long"), lambda a, x: a + x)
     capitals = F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    df = df.select(
-        *docs.columns,
+    counts = F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -62,6 +61,8 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.length(t) - capitals).cast("long").alias("n_capitals"),
         covered.alias("n_repeat_words"),
     )
+    # as a generator's output the counts are computed once, and filters on them are not rewritten into filters on the text
+    df = df.select(*docs.columns, F.inline(F.array(counts)))
     rate = lambda a, b, scale: F.expr(f"case when {b} > 0 then {scale} * {a} div {b} end")
     df = df.withColumns({
         "symbol_rate": rate("n_symbols", "word_chars", 10000),
