@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from tracemill.llm.bpe import op2_bpe_merge_replay
+from tracemill.llm.ctw import op8_context_tree_weighting
 from tracemill.llm.decontaminate import op3_fm_decontamination
 from tracemill.llm.lines import op9_line_dedup
 from tracemill.llm.near import op6_order_minhash
 from tracemill.llm.quality import op10_quality_rules
 from tracemill.llm.tokens import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_bpe_merge_replay, op3_fm_decontamination, op6_order_minhash, op7_token_counts, op9_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_bpe_merge_replay, op3_fm_decontamination, op6_order_minhash, op7_token_counts, op8_context_tree_weighting, op9_line_dedup, op10_quality_rules)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS3 = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
