@@ -22,37 +22,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracemill.llm import hashing
 from tracemill.llm.arrow import blocks, with_columns
-from tracemill.llm.common import checkpoint, table
+from tracemill.llm.common import checkpoint, ranked, table
 from tracemill.llm.decontaminate import FOLD
+from tracemill.llm.hashing import mix
 
 SHINGLE, BANDS, PICKED = 5, 24, 5
 #: Similarity of at least 4/5.
 NUMERATOR, DENOMINATOR = 4, 5
-FIRST_LEADERS, GROWTH = 4, 16
+GROWTH = 32
 _rng = np.random.default_rng(20)
-_BYTE = _rng.integers(0, 2**64, 256 * 64, np.uint64)
 _ODD = _rng.integers(0, 2**64, 64, np.uint64) | np.uint64(1)
 _SEED = _rng.integers(0, 2**64, (BANDS, 1), np.uint64)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
-
-
 def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    """64-bit hashes of the words of each text."""
-    joined = np.frombuffer(b" ".join(t.translate(FOLD) for t in texts) + b" ", np.uint8)
-    inside = joined != 32
-    edges = np.flatnonzero(np.r_[inside[0], inside[1:] != inside[:-1]]) if len(joined) else np.zeros(0, np.int64)
-    start, end = edges[::2], edges[1::2]
-    place = np.flatnonzero(inside)
-    at = place - np.repeat(start, end - start)
-    value = _BYTE[joined[place] + 256 * (at & 63)] * ((at >> 6) * 2 + 1).astype(np.uint64)
-    hashes = _mix(np.add.reduceat(value, np.cumsum(end - start) - (end - start))) if len(start) else np.zeros(0, np.uint64)
-    cuts = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts])[:-1])
-    return np.split(hashes, cuts)
+    """Hashes of the words of each text."""
+    hashes, n = hashing.word_hashes([t.translate(FOLD) for t in texts])
+    return np.split(hashes, np.cumsum(n)[:-1])
 
 
 def shingles(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -61,7 +49,7 @@ def shingles(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     if not k:
         return words
     n = len(words) - k + 1
-    return _mix(sum(words[i : i + n] * _ODD[i] for i in range(k)))
+    return mix(sum(words[i : i + n] * _ODD[i] for i in range(k)))
 
 
 def labelled(s: np.ndarray) -> np.ndarray:
@@ -73,7 +61,7 @@ def labelled(s: np.ndarray) -> np.ndarray:
     i = np.arange(len(s))
     number = np.empty(len(s), np.uint64)
     number[order] = i - np.maximum.accumulate(np.where(same, 0, i))
-    return _mix(s + number * _ODD[40])
+    return mix(s + number * _ODD[40])
 
 
 def picked(n: int) -> int:
@@ -91,11 +79,11 @@ def sketches(s: np.ndarray) -> np.ndarray:
     out = []
     step = max(1, (1 << 20) // n)  # hash functions at once
     for lo in range(0, BANDS, step):
-        h = _mix(s[None, :] ^ _SEED[lo : lo + step])
+        h = mix(s[None, :] ^ _SEED[lo : lo + step])
         for size in sizes:
             at = np.sort(np.argpartition(h, size - 1, axis=1)[:, :size], axis=1) if size < n else np.broadcast_to(np.arange(n), (len(h), n))
             got = (s[at] * _ODD[8 : 8 + size]).sum(axis=1, dtype=np.uint64)
-            out.append(_mix(got + np.full(1, size, np.uint64) * _ODD[41] + np.arange(lo, lo + len(h), dtype=np.uint64) * _ODD[42]))
+            out.append(mix(got + np.full(1, size, np.uint64) * _ODD[41] + np.arange(lo, lo + len(h), dtype=np.uint64) * _ODD[42]))
     return np.concatenate(out).view(np.int64)
 
 
@@ -202,6 +190,29 @@ def _texts(docs: DataFrame, keys: DataFrame, most_rows: int = 100_000) -> DataFr
     return named.join(side, ["key"]).where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "text").dropDuplicates(["key"])
 
 
+def _promising(members: DataFrame, body: DataFrame) -> DataFrame:
+    """The members that may still be similar to another one, with ``shared``: their shingles that any other of them has too.
+
+    No alignment matches a shingle that no other text has. A text of n shingles, s of them shared, has at most s matched; with
+    the shortest partner that its length allows, 0.8 needs s >= 0.8 n. Texts that have just one passage in common with
+    others, and copies too far changed, fall out here without being compared.
+    """
+    own = members.select("key", "n").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rest, texts in blocks(batches, "text", 4 << 20):
+            parts = [np.unique(shingles(w), return_counts=True) for w in word_hashes(texts)]
+            size = [len(p[0]) for p in parts]
+            key = rest.column(0).take(pa.array(np.repeat(np.arange(len(parts)), size)))
+            yield pa.RecordBatch.from_arrays([key, pa.array(np.concatenate([p[0] for p in parts]).view(np.int64)), pa.array(np.concatenate([p[1] for p in parts]), pa.int32())], ["key", "shingle", "times"])
+
+    rows = body.join(own.select("key"), "key").mapInArrow(run, "key binary, shingle long, times int")
+    alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("key").alias("key"), F.sum("times").alias("times")).where("texts = 1")
+    alone = alone.groupBy("key").agg(F.sum("times").alias("alone"))
+    left = own.join(alone, "key", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).where(f"{DENOMINATOR} * shared >= {NUMERATOR} * n")
+    return checkpoint(members.join(left.select("key", "shared"), "key"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, class_id (the least doc_id of its class) and n_texts, the
     different texts of the class.
@@ -214,22 +225,36 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = checkpoint(texts)
     spread = texts.select("key", "n", F.explode("sketches").alias("sketch")).dropDuplicates(["key", "sketch"])
     shared = spread.groupBy("sketch").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
-    members = checkpoint(spread.join(shared, "sketch").withColumn("u", F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))))
-    nodes = checkpoint(members.select("key").distinct())
+    members = checkpoint(spread.join(shared, "sketch"))
+    # a text that shares more sketches with more others is nearer to the middle of its group, and leads first
+    nodes = checkpoint(members.groupBy("key").agg(F.sum("g").alias("weight")))
     body = checkpoint(_texts(docs, texts.join(nodes, "key")))
     labels = nodes.select("key", F.col("key").alias("label"))
-    done, leaders = 0, FIRST_LEADERS
+    members = members.join(nodes, "key")
+    done, leaders = 0, 1
     while True:
         now = members.join(labels, "key")
-        stats = now.groupBy("sketch").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("g").alias("most")).where(f"lo <> hi and most > {done}")
-        open_ = checkpoint(now.join(stats.select("sketch"), "sketch"))
+        order = F.struct("weight", F.xxhash64("key"), "key")
+        stats = now.groupBy("sketch").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(order)["key"].alias("top"), F.count(F.lit(1)).alias("left")).where(f"lo <> hi and left > {done}")
+        open_ = now.join(stats.select("sketch", "top"), "sketch")
+        if not done:
+            # the first leader is found by a plain maximum; members are ranked only where that did not do
+            open_ = checkpoint(open_.withColumn("rank", F.when(F.col("key") == F.col("top"), 0).otherwise(1).cast("long")).withColumn("shared", F.col("n").cast("long")))
+        elif done == 1:
+            open_ = _promising(open_, body)
+            ranks = ranked(open_.select("sketch", "key", (-F.col("weight")).alias("w")), ["sketch"], ["w", "key"], "rank").drop("w")
+            open_ = checkpoint(open_.join(ranks, ["sketch", "key"]))
+            members = open_.drop("label", "top")
+        else:
+            open_ = checkpoint(open_)
         if open_.isEmpty():
             break
-        rank = F.col("u") * F.col("g")
-        lead = open_.where((rank >= done) & (rank < leaders)).select("sketch", F.col("key").alias("lead"), F.col("label").alias("lead_label"), F.col("n").alias("lead_n"))
-        pairs = open_.join(lead, "sketch").where("key <> lead and label <> lead_label").where(DENOMINATOR * F.least("n", "lead_n") >= NUMERATOR * F.greatest("n", "lead_n"))
-        # a leads in pairs of two leaders by its hash, so that a pair comes up once
-        swap = (rank < leaders) & (rank >= done) & (F.col("key") < F.col("lead"))
+        is_lead = (F.col("rank") >= done) & (F.col("rank") < leaders)
+        lead = open_.where(is_lead).select("sketch", F.col("key").alias("lead"), F.col("label").alias("lead_label"), F.col("n").alias("lead_n"), F.col("shared").alias("lead_bound"))
+        both = F.col("n") + F.col("lead_n")
+        may = (NUMERATOR + DENOMINATOR) * F.least("shared", "lead_bound") >= NUMERATOR * both
+        pairs = open_.join(lead, "sketch").where("key <> lead and label <> lead_label").where(may)
+        swap = is_lead & (F.col("key") < F.col("lead"))  # so that a pair of two leaders comes up once
         pairs = checkpoint(pairs.select(F.when(swap, F.col("key")).otherwise(F.col("lead")).alias("a"), F.when(swap, F.col("lead")).otherwise(F.col("key")).alias("b")).distinct())
         tb = body.select(F.col("key").alias("b"), F.col("text").alias("tb"))
         ta = body.select(F.col("key").alias("a"), F.col("text").alias("ta"))
