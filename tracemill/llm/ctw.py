@@ -23,15 +23,13 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.arrow import blocks
 from tracemill.llm.common import checkpoint, crc_mod, table
+from tracemill.llm.hashing import U, word_hashes
 
 DEPTH, TOP = 5, 2
-CHUNK_BYTES, BLOCK_BYTES = 4 << 20, 24 << 20
+CHUNK_BYTES, BLOCK_BYTES = 2 << 20, 16 << 20
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 #: White space that separates tokens becomes a space, A-Z become lower case.
 TOKENS = bytes(32 if x == 32 or 9 <= x <= 13 else LOWER[x] for x in range(256))
-_rng = np.random.default_rng(8)
-_BYTE = _rng.integers(0, 2**64, 256 * 64, np.uint64)
-U = np.uint64
 
 
 def strings(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -42,11 +40,11 @@ def strings(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndar
     size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     if not len(texts):
         return np.zeros(0, U), size
-    packed = np.zeros(len(joined) - depth, U)
-    for back in range(1, depth + 1):
-        packed = (packed << U(8)) | joined[depth - back : len(joined) - back]
-    packed = (packed << U(8)) | joined[depth:]
-    keep = np.ones(len(packed), bool)
+    # eight bytes read as one little-endian number from each place on: the first ``depth`` of them are the context
+    n = len(joined) - depth
+    loads = np.ndarray(n, "<u8", np.pad(joined, (0, 8)), strides=(1,))
+    packed = ((loads & U((1 << 8 * depth) - 1)) << U(8)) | joined[depth:]
+    keep = np.ones(n, bool)
     ends = np.cumsum(size + depth)[:-1] - depth
     for k in range(depth):
         keep[ends + k] = False
@@ -55,17 +53,8 @@ def strings(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndar
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of every text, as keys that no string has, and the number of words of each text."""
-    joined = np.frombuffer(b" ".join(t.translate(TOKENS) for t in texts) + b" ", np.uint8)
-    inside = joined != 32
-    edges = np.flatnonzero(np.r_[inside[0], inside[1:] != inside[:-1]])
-    start, end = edges[::2], edges[1::2]
-    place = np.flatnonzero(inside)
-    at = place - np.repeat(start, end - start)
-    value = _BYTE[joined[place] + 256 * (at & 63)] * ((at >> 6) * 2 + 1).astype(U)
-    h = np.add.reduceat(value, np.cumsum(end - start) - (end - start)) if len(start) else np.zeros(0, U)
-    h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)
-    cuts = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
-    return (h ^ (h >> U(29))) | U(1 << 63), np.diff(cuts, prepend=0)
+    hashes, n = word_hashes([t.translate(TOKENS) for t in texts])
+    return hashes | U(1 << 63), n
 
 
 END = U((1 << 63) | 1)  # the token that ends a text
@@ -222,7 +211,7 @@ def _batches(keys: np.ndarray, columns: dict[str, np.ndarray], rows: int = 1 <<
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Strings and tokens of the texts with their numbers in training texts (0: only in held-out ones)."""
-    for rest, texts in blocks(batches, "text", CHUNK_BYTES):
+    for rest, texts in blocks(batches, "text", 2 * CHUNK_BYTES):
         out = rest.column(0).to_numpy(zero_copy_only=False)
         parts = []
         for held in (False, True):
@@ -242,7 +231,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in np.unique(of).tolist():
             own = [texts[i] for i in np.flatnonzero(of == block)]
             keys = counted(np.concatenate([strings(own)[0], tokens(own)[0], np.full(1, END)]))[0]
-            held[block] = np.union1d(held[block], keys) if block in held else keys
+            held[block] = counted(np.concatenate([held[block], keys]))[0] if block in held else keys
     for block, keys in held.items():
         yield from _batches(keys, {"block": np.full(len(keys), block, np.int64)})
 
