@@ -17,15 +17,14 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str, least_bytes: int = BLOC
     size = 0
 
     def out():
-        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        return whole, texts
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0], texts
 
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
         rest = batch.drop_columns([text])
         start = 0
-        for i in range(len(column)):
-            value = column[i].as_py() or b""
+        for i, value in enumerate(column.to_pylist()):
+            value = value or b""
             texts.append(value)
             size += len(value)
             if size >= least_bytes:

@@ -180,7 +180,7 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = replay_of(name, pattern)
-        for rest, texts in blocks(batches, text, 24 << 20):
+        for rest, texts in blocks(batches, text, 8 << 20):
             parts, word_ids = replay.encode_block(t.decode() for t in texts)
             # a word's digits and its decoded bytes are made once; both join up to those of the text
             digits = [",".join(map(str, x)) for x in word_ids]

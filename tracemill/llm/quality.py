@@ -21,10 +21,33 @@ from tracemill.llm.common import SPACES, join_table, table
 SYMBOLS = "#*$%&|<>"
 #: rate -> least distance of the fence from the median, in the rate's unit
 SLACK = {"symbol_rate": 300, "dup_line_rate": 3000, "capital_rate": 2500, "word_length": 400}
+#: rate -> what it relates to what, and its scale
+RATES = {"symbol_rate": ("n_symbols", "word_chars", 10000), "dup_line_rate": ("n_dup_lines", "n_lines", 10000), "capital_rate": ("n_capitals", "word_chars", 10000), "word_length": ("word_chars", "n_words", 100)}
+CAPITALS, WHITE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[ \t\n\x0B\f\r]+"
 REACH, LEAST_DOCS = 12, 200
 LEAST_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 
 
+def _rate(a: str, b: str, scale: int) -> Column:
+    return F.expr(f"case when {b} > 0 then {scale} * {a} div {b} end")
+
+
+def _lines(t: Column) -> Column:
+    return F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+
+
+def rates(docs: DataFrame) -> DataFrame:
+    """lang, source and the rates that the sketches need of each document, without the counts that only the base rule needs."""
+    t = F.coalesce("text", F.lit(""))
+    n = F.length(F.translate(t, SPACES, "")).cast("long")
+    capitals, symbols = F.length(t) - F.length(F.translate(t, CAPITALS, "")), F.length(t) - F.length(F.translate(t, SYMBOLS, ""))
+    words = F.size(F.array_remove(F.split(t, WHITE), ""))
+    df = docs.select("lang", "source", _lines(t).alias("_lines"), n.alias("word_chars"), capitals.cast("long").alias("n_capitals"), symbols.cast("long").alias("n_symbols"), words.cast("long").alias("n_words"))
+    lines = F.size("_lines").cast("long")
+    df = df.select("lang", "source", "word_chars", "n_capitals", "n_symbols", "n_words", lines.alias("n_lines"), (lines - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"))
+    return df.select("lang", "source", *[_rate(*how).alias(r) for r, how in RATES.items()])
+
+
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the counts and rates of each document; a null text counts as one without words.
 
@@ -33,8 +56,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     sorted order only where that shows a repeat.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    split = F.array_remove(F.split(t, r"[ \t\n\x0B\f\r]+"), "")
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    split, lines = F.array_remove(F.split(t, WHITE), ""), _lines(t)
     df = docs.withColumn("_words", split).withColumn("_lines", lines)
     n = F.size("_words")
     starts = F.when(n >= WINDOW, F.sequence(F.lit(1), n - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
@@ -51,7 +73,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_twice", twice)
     # each window adds the words that the window before, if it is near, has not covered
     covered = F.aggregate(F.transform("_twice", lambda x, i: F.when(i == 0, WINDOW).otherwise(F.least(F.lit(WINDOW), x - F.get("_twice", i - 1)))), F.lit(0).cast("long"), lambda a, x: a + x)
-    capitals = F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    capitals = F.length(F.translate(t, CAPITALS, ""))
     counts = F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
@@ -63,19 +85,13 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     # as a generator's output the counts are computed once, and filters on them are not rewritten into filters on the text
     df = df.select(*docs.columns, F.inline(F.array(counts)))
-    rate = lambda a, b, scale: F.expr(f"case when {b} > 0 then {scale} * {a} div {b} end")
-    df = df.withColumns({
-        "symbol_rate": rate("n_symbols", "word_chars", 10000),
-        "dup_line_rate": rate("n_dup_lines", "n_lines", 10000),
-        "capital_rate": rate("n_capitals", "word_chars", 10000),
-        "word_length": rate("word_chars", "n_words", 100),
-    })
+    df = df.withColumns({r: _rate(*how) for r, how in RATES.items()})
     return df.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
 
 
-def sketches(rates: DataFrame, names: list[str]) -> DataFrame:
+def sketches(own_rates: DataFrame, names: list[str]) -> DataFrame:
     """Per lang, source and rate: counts of the buckets, named by their smallest value."""
-    long = rates.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(x).alias("rate"), F.col(x).alias("v")) for x in names])).alias("x")).select("lang", "source", "x.rate", "x.v")
+    long = own_rates.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(x).alias("rate"), F.col(x).alias("v")) for x in names])).alias("x")).select("lang", "source", "x.rate", "x.v")
     drop = "greatest(length(bin(v)) - 6, 0)"
     return long.where("v is not null").groupBy("lang", "source", "rate", F.expr(f"shiftleft(shiftright(v, {drop}), {drop})").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -92,11 +108,11 @@ def _fences(merged: DataFrame, keys: list[str], reach: int) -> DataFrame:
     return q.groupBy(*keys).agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("rate") == r, F.col("fence"))).alias(f"most_{r}") for r in SLACK])
 
 
-def thresholds(rates: DataFrame, reach: int = REACH, least_docs: int = LEAST_DOCS) -> DataFrame:
+def thresholds(own_rates: DataFrame, reach: int = REACH, least_docs: int = LEAST_DOCS) -> DataFrame:
     """The fences that hold for each (lang, source): its own, its language's or the corpus's, by the number of documents."""
     from tracemill.llm.common import checkpoint
 
-    own = checkpoint(sketches(rates, list(SLACK)))
+    own = checkpoint(sketches(own_rates, list(SLACK)))
     lang = own.groupBy("lang", "rate", "bucket").agg(F.sum("n").alias("n"))
     whole = own.groupBy("rate", "bucket").agg(F.sum("n").alias("n"))
     a, b = _fences(own, ["lang", "source"], reach).alias("a"), _fences(lang, ["lang"], reach).alias("b")
@@ -114,7 +130,7 @@ def judged(docs: DataFrame, reach: int = REACH, least_docs: int = LEAST_DOCS) ->
     gives an empty result.
     """
     scored = features(docs.drop(*_ADDED))
-    fences = thresholds(scored.select("lang", "source", *SLACK), reach, least_docs)
+    fences = thresholds(rates(docs), reach, least_docs)
     joined = join_table(scored, fences, ["lang", "source"])
     inside = reduce(Column.__and__, [F.coalesce(F.col(r) <= F.col(f"most_{r}"), F.lit(True)) for r in SLACK])
     return joined.withColumn("kept", ~F.col("base_failed") & inside)
