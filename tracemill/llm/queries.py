@@ -8,10 +8,11 @@ from tracemill.llm.decontaminate import op3_fm_decontamination
 from tracemill.llm.lines import op9_line_dedup
 from tracemill.llm.near import op6_order_minhash
 from tracemill.llm.quality import op10_quality_rules
+from tracemill.llm.shards import op4_label_propagation_shards
 from tracemill.llm.tokens import op7_token_counts
 from tracemill.llm.toxicity import op1_crf_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_crf_toxicity, op2_bpe_merge_replay, op3_fm_decontamination, op6_order_minhash, op7_token_counts, op8_context_tree_weighting, op9_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_crf_toxicity, op2_bpe_merge_replay, op3_fm_decontamination, op4_label_propagation_shards, op6_order_minhash, op7_token_counts, op8_context_tree_weighting, op9_line_dedup, op10_quality_rules)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS3 = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
