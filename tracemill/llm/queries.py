@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tracemill.llm.bpe import op2_bpe_merge_replay
+from tracemill.llm.chat import op5_chat_formatting
 from tracemill.llm.ctw import op8_context_tree_weighting
 from tracemill.llm.decontaminate import op3_fm_decontamination
 from tracemill.llm.lines import op9_line_dedup
@@ -12,7 +13,7 @@ from tracemill.llm.shards import op4_label_propagation_shards
 from tracemill.llm.tokens import op7_token_counts
 from tracemill.llm.toxicity import op1_crf_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_crf_toxicity, op2_bpe_merge_replay, op3_fm_decontamination, op4_label_propagation_shards, op6_order_minhash, op7_token_counts, op8_context_tree_weighting, op9_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_crf_toxicity, op2_bpe_merge_replay, op3_fm_decontamination, op4_label_propagation_shards, op5_chat_formatting, op6_order_minhash, op7_token_counts, op8_context_tree_weighting, op9_line_dedup, op10_quality_rules)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS3 = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -93,4 +94,15 @@ select t.doc_id, case when removed is null then text else array_to_string(list_f
 from t left join rm using (doc_id)
 """
 
-ORACLE = {"op3_fm_decontamination": OP3, "op9_line_dedup": OP9, "op10_quality_rules": _op10()}
+OP5 = r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select * from (values (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'))),
+e as (select *, length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) as n from c)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(length(role) + n + 24)::bigint as formatted_chars, true as stable
+from e group by conv_id
+"""
+
+ORACLE = {"op5_chat_formatting": OP5, "op3_fm_decontamination": OP3, "op9_line_dedup": OP9, "op10_quality_rules": _op10()}
