@@ -72,7 +72,7 @@ def filled(matrix: np.ndarray) -> np.ndarray:
         known = ~np.isnan(row)
         if known.sum() >= 2:
             row[~known] = np.interp(x[~known], x[known], row[known])
-    return np.nanmean([out, out.T], axis=0)
+    return np.where(np.isnan(out), out.T, np.where(np.isnan(out.T), out, (out + out.T) / 2))
 
 
 def gaussian(matrix: np.ndarray, sigma: float) -> np.ndarray:
