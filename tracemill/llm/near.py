@@ -31,7 +31,7 @@ from tracemill.llm.hashing import mix
 SHINGLE, BANDS, PICKED = 5, 24, 5
 #: Similarity of at least 4/5.
 NUMERATOR, DENOMINATOR = 4, 5
-GROWTH = 32
+GROWTH, MAP_LONGS = 32, 64
 _rng = np.random.default_rng(20)
 _ODD = _rng.integers(0, 2**64, 64, np.uint64) | np.uint64(1)
 _SEED = _rng.integers(0, 2**64, (BANDS, 1), np.uint64)
@@ -191,13 +191,14 @@ def _texts(docs: DataFrame, keys: DataFrame, most_rows: int = 100_000) -> DataFr
 
 
 def _promising(members: DataFrame, body: DataFrame) -> DataFrame:
-    """The members that may still be similar to another one, with ``shared``: their shingles that any other of them has too.
+    """The members that may still be similar to one of another class, with ``shared``: their shingles that some member of
+    another class has too.
 
-    No alignment matches a shingle that no other text has. A text of n shingles, s of them shared, has at most s matched; with
-    the shortest partner that its length allows, 0.8 needs s >= 0.8 n. Texts that have just one passage in common with
-    others, and copies too far changed, fall out here without being compared.
+    No alignment with another class matches any other shingle. So a text of n shingles, s of them shared, has at most s
+    matched; with the shortest partner that its length allows, 0.8 needs s >= 0.8 n. Texts that have just one passage in common
+    with others, and copies too far changed, fall out here without being compared; as they go, others lose what they
+    shared with them, so the test is repeated while it helps.
     """
-    own = members.select("key", "n").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rest, texts in blocks(batches, "text", 4 << 20):
@@ -206,11 +207,39 @@ def _promising(members: DataFrame, body: DataFrame) -> DataFrame:
             key = rest.column(0).take(pa.array(np.repeat(np.arange(len(parts)), size)))
             yield pa.RecordBatch.from_arrays([key, pa.array(np.concatenate([p[0] for p in parts]).view(np.int64)), pa.array(np.concatenate([p[1] for p in parts]), pa.int32())], ["key", "shingle", "times"])
 
-    rows = body.join(own.select("key"), "key").mapInArrow(run, "key binary, shingle long, times int")
-    alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("key").alias("key"), F.sum("times").alias("times")).where("texts = 1")
-    alone = alone.groupBy("key").agg(F.sum("times").alias("alone"))
-    left = own.join(alone, "key", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).where(f"{DENOMINATOR} * shared >= {NUMERATOR} * n")
-    return checkpoint(members.join(left.select("key", "shared"), "key"))
+    own = checkpoint(members.select("key", "n", "label").distinct())
+    before = own.count()
+    while before:
+        rows = body.join(own.select("key"), "key").select("key", "text").mapInArrow(run, "key binary, shingle long, times int").join(own.select("key", "label"), "key")
+        kept_in = rows.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo = hi").select("shingle")
+        alone = rows.join(kept_in, "shingle").groupBy("key").agg(F.sum("times").alias("alone"))
+        own = own.select("key", "n", "label").join(alone, "key", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
+        own = checkpoint(own.where(f"{DENOMINATOR} * shared >= {NUMERATOR} * n").select("key", "n", "label", "shared"))
+        after = own.count()
+        if after > 0.9 * before:
+            break
+        before = after
+    maps = body.join(own.select("key"), "key").select("key", "text").mapInArrow(_bitmaps, "key binary, bits array<bigint>, lost int")
+    return checkpoint(members.join(own.select("key", "shared"), "key").join(maps, "key"))
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's labelled shingles as bits of a map, and how many fell on a bit already set."""
+    for rest, texts in blocks(batches, "text", 4 << 20):
+        bits, lost = [], []
+        for w in word_hashes(texts):
+            s = labelled(shingles(w))
+            on = np.zeros(64 * MAP_LONGS, bool)
+            on[(s % np.uint64(len(on))).astype(np.int64)] = True
+            bits.append(np.packbits(on, bitorder="little").view(np.int64))
+            lost.append(len(s) - int(on.sum()))
+        yield with_columns(rest, {"bits": pa.array(bits, pa.list_(pa.int64())), "lost": pa.array(lost, pa.int32())})
+
+
+def _common_at_most(a: str, b: str, lost_a: str, lost_b: str):
+    """No fewer than the shingles that two texts have in common: bits set in both maps, and those lost in one."""
+    both = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.get(b, F.lit(i)))) for i in range(MAP_LONGS)), F.lit(0))
+    return both + F.least(lost_a, lost_b)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -242,6 +271,8 @@ def classes(docs: DataFrame) -> DataFrame:
             open_ = checkpoint(open_.withColumn("rank", F.when(F.col("key") == F.col("top"), 0).otherwise(1).cast("long")).withColumn("shared", F.col("n").cast("long")))
         elif done == 1:
             open_ = _promising(open_, body)
+            if open_.isEmpty():
+                break
             ranks = ranked(open_.select("sketch", "key", (-F.col("weight")).alias("w")), ["sketch"], ["w", "key"], "rank").drop("w")
             open_ = checkpoint(open_.join(ranks, ["sketch", "key"]))
             members = open_.drop("label", "top")
@@ -250,9 +281,11 @@ def classes(docs: DataFrame) -> DataFrame:
         if open_.isEmpty():
             break
         is_lead = (F.col("rank") >= done) & (F.col("rank") < leaders)
-        lead = open_.where(is_lead).select("sketch", F.col("key").alias("lead"), F.col("label").alias("lead_label"), F.col("n").alias("lead_n"), F.col("shared").alias("lead_bound"))
+        lead = open_.where(is_lead).select("sketch", F.col("key").alias("lead"), F.col("label").alias("lead_label"), F.col("n").alias("lead_n"), F.col("shared").alias("lead_bound"), *[F.col(c).alias(f"lead_{c}") for c in ("bits", "lost") if done])
         both = F.col("n") + F.col("lead_n")
         may = (NUMERATOR + DENOMINATOR) * F.least("shared", "lead_bound") >= NUMERATOR * both
+        if done:
+            may = may & ((NUMERATOR + DENOMINATOR) * _common_at_most("bits", "lead_bits", "lost", "lead_lost") >= NUMERATOR * both)
         pairs = open_.join(lead, "sketch").where("key <> lead and label <> lead_label").where(may)
         swap = is_lead & (F.col("key") < F.col("lead"))  # so that a pair of two leaders comes up once
         pairs = checkpoint(pairs.select(F.when(swap, F.col("key")).otherwise(F.col("lead")).alias("a"), F.when(swap, F.col("lead")).otherwise(F.col("key")).alias("b")).distinct())
