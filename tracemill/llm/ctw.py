@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm.arrow import blocks
-from tracemill.llm.common import checkpoint, crc_mod, table
+from tracemill.llm.common import checkpoint, crc_mod, release, table
 from tracemill.llm.hashing import U, word_hashes
 
 DEPTH, TOP = 5, 2
-CHUNK_BYTES, BLOCK_BYTES = 2 << 20, 16 << 20
+CHUNK_BYTES, BLOCK_BYTES = 1 << 20, 16 << 20
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 #: White space that separates tokens becomes a space, A-Z become lower case.
 TOKENS = bytes(32 if x == 32 or 9 <= x <= 13 else LOWER[x] for x in range(256))
@@ -307,6 +307,8 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
             yield from _batches(part, {"value": predict(part, levels)})
 
     values = checkpoint(subtrees.mapInArrow(predictions, "key long, value double").unionAll(words.select("key", F.col("n").cast("double").alias("value"))))
+    del every, words, subtrees, sums
+    release(spark)
     n_blocks = max(1, -(-int(size) // BLOCK_BYTES))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))).repartition(max(n_blocks, 2), "block")
     asked = dealt.mapInArrow(_distinct, "key long, block long").join(values, "key").select("block", "key", "value")
