@@ -15,8 +15,8 @@ def sidecars(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.option("wholetext", True).text(path).withColumn("path", F.regexp_replace(F.input_file_name(), r"\.inf$", ""))
     number = lambda p, k=1: F.regexp_extract("value", p, k)
     return rows.select(
-        "path", number(r"frame dimensions = (\d+) x (\d+)").cast("int").alias("height"), number(r"frame dimensions = (\d+) x (\d+)", 2).cast("int").alias("width"),
-        number(r"number of frames = (\d+)").cast("int").alias("frames"), F.col("value").contains("big endian").alias("big_endian"),
+        "path", number(r"frame dimensions = (\d+) x (\d+)").try_cast("int").alias("height"), number(r"frame dimensions = (\d+) x (\d+)", 2).try_cast("int").alias("width"),
+        number(r"number of frames = (\d+)").try_cast("int").alias("frames"), F.col("value").contains("big endian").alias("big_endian"),
         *[F.expr(f"try_cast(regexp_extract(value, 'Stage {a} = ([-0-9.]+)', 1) as double)").alias(f"stage_{a.lower()}") for a in "XY"],
     )
 

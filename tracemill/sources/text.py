@@ -39,7 +39,7 @@ def region_name(name: Column) -> Column:
     """chr:start-end, with or without thousands separators, as a struct."""
     plain = F.regexp_replace(name, ",", "")
     part = lambda k: F.regexp_extract(plain, r"^([^:]+):(\d+)-(\d+)$", k)
-    return F.struct(part(1).alias("chr"), F.try_to_number(part(2), F.lit("999999999999")).cast("long").alias("start"), F.try_to_number(part(3), F.lit("999999999999")).cast("long").alias("end"))
+    return F.struct(part(1).alias("chr"), part(2).try_cast("long").alias("start"), part(3).try_cast("long").alias("end"))
 
 
 def regions(spark: SparkSession, path: str) -> DataFrame:
@@ -51,12 +51,12 @@ def regions(spark: SparkSession, path: str) -> DataFrame:
 def bed(spark: SparkSession, path: str) -> DataFrame:
     """BED or tagAlign: the fifth column is the score, 1 if missing."""
     p = spark.read.text(path).where(~F.col("value").rlike(r"^(#|track|browser|\s*$)")).select(F.split("value", r"\s+").alias("p"))
-    return p.select(F.get("p", 0).alias("chr"), F.get("p", 1).cast("long").alias("start"), F.get("p", 2).cast("long").alias("end"), F.get("p", 3).alias("name"), F.coalesce(F.try_to_number(F.get("p", F.lit(4)), F.lit("999999999D999999")).cast("double"), F.lit(1.0)).alias("score"))
+    return p.select(F.get("p", F.lit(0)).alias("chr"), F.get("p", F.lit(1)).try_cast("long").alias("start"), F.get("p", F.lit(2)).try_cast("long").alias("end"), F.get("p", F.lit(3)).alias("name"), F.coalesce(F.get("p", F.lit(4)).try_cast("double"), F.lit(1.0)).alias("score"))
 
 
 def wig(spark: SparkSession, path: str) -> DataFrame:
     p = spark.read.text(path).where(~F.col("value").rlike(r"^(#|track|\s*$)")).select(F.split("value", r"\s+").alias("p"))
-    return p.select(F.get("p", 0).alias("chr"), F.get("p", 1).cast("long").alias("start"), F.get("p", 2).cast("long").alias("end"), F.get("p", 3).cast("double").alias("count"))
+    return p.select(F.get("p", F.lit(0)).alias("chr"), F.get("p", F.lit(1)).try_cast("long").alias("start"), F.get("p", F.lit(2)).try_cast("long").alias("end"), F.get("p", F.lit(3)).try_cast("double").alias("count"))
 
 
 def colour_usage(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -65,13 +65,13 @@ def colour_usage(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     first, channels = rows.columns[0], rows.columns[1:]
     long = rows.unpivot([first], channels, "channel", "label").where("trim(label) <> ''")
     label = F.trim("label")
-    return long.select(F.col(first).alias("round"), "channel", label.alias("label"), F.regexp_extract(label, "^([A-Za-z]+)", 1).alias("kind"), F.regexp_extract(label, r"(\d+)$", 1).cast("int").alias("number"))
+    return long.select(F.col(first).alias("round"), "channel", label.alias("label"), F.regexp_extract(label, "^([A-Za-z]+)", 1).alias("kind"), F.regexp_extract(label, r"(\d+)$", 1).try_cast("int").alias("number"))
 
 
 def matrix(spark: SparkSession, path: str) -> DataFrame:
     """A labelled square matrix as rows (i, j, value)."""
     rows = spark.read.csv(path, sep="\t", header=True)
-    return rows.unpivot([rows.columns[0]], rows.columns[1:], "j", "value").select(F.col(rows.columns[0]).alias("i"), "j", F.col("value").cast("double").alias("value"))
+    return rows.unpivot([rows.columns[0]], rows.columns[1:], "j", "value").select(F.col(rows.columns[0]).alias("i"), "j", F.col("value").try_cast("double").alias("value"))
 
 
 def write_matrix(df: DataFrame, labels: list[str], path: str) -> None:
@@ -83,8 +83,8 @@ def trace_table(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.csv(path, sep="\t", header=True)
     get = lambda c: F.col(f"`{c}`")
     out = rows.select(
-        get("Chromosome copy number").cast("long").alias("copy"), region_name(get("Genomic coordinate")).alias("r"),
-        *[F.when(~F.isnan(v := get(f"{a}(nm)").cast("double")), v).alias(a.lower()) for a in "ZXY"],
+        get("Chromosome copy number").try_cast("long").alias("copy"), region_name(get("Genomic coordinate")).alias("r"),
+        *[F.when(~F.isnan(v := get(f"{a}(nm)").try_cast("double")), v).alias(a.lower()) for a in "ZXY"],
         *[F.split(get(c), ";").alias(n) for c, n in (("Gene names", "genes"), ("Transcription", "transcription")) if c in rows.columns],
     )
     return out.select("*", "r.*").drop("r")
