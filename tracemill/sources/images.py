@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 def sidecars(spark: SparkSession, path: str) -> DataFrame:
     """path (without suffix), height, width, frames, big_endian, stage_x, stage_y from .inf files."""
-    rows = spark.read.option("wholetext", True).text(path).withColumn("path", F.regexp_replace(F.input_file_name(), r"\.inf$", ""))
+    rows = spark.read.option("wholetext", True).text(path).withColumn("path", F.regexp_replace("_metadata.file_path", r"\.inf$", ""))
     number = lambda p, k=1: F.regexp_extract("value", p, k)
     return rows.select(
         "path", number(r"frame dimensions = (\d+) x (\d+)").try_cast("int").alias("height"), number(r"frame dimensions = (\d+) x (\d+)", 2).try_cast("int").alias("width"),
@@ -23,7 +23,7 @@ def sidecars(spark: SparkSession, path: str) -> DataFrame:
 
 def frames(spark: SparkSession, images: str, infos: str) -> DataFrame:
     """One row a frame: path, frame, height, width, pixels (little-endian bytes)."""
-    files = spark.read.format("binaryFile").load(images).select(F.regexp_replace("path", r"\.dax$", "").alias("path"), "content")
+    files = spark.read.format("binaryFile").load(images).select(F.regexp_replace("_metadata.file_path", r"\.dax$", "").alias("path"), "content")
     rows = files.join(sidecars(spark, infos), "path").select("path", "content", "height", "width", "frames", "big_endian")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
