@@ -63,8 +63,9 @@ def join_table(df: DataFrame, side: DataFrame, keys: list[str], most_rows: int =
 def ranked(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
     """Number the rows of each group 0, 1, ... in the given order, however large a group is.
 
-    Range partitions cut within groups; each task numbers its own rows, and the counts of the tasks before (one row for
-    each task and group in it) shift them. ``order`` should end in something nearly unique so that ranges can be cut.
+    Range partitions cut within groups. Each task numbers its own rows; a group's rows in a task count from the first of
+    them. Only groups that go on from one task to the next are shifted by their rows before: no more of those than tasks,
+    so that they are broadcast. ``order`` should end in something nearly unique so that ranges can be cut.
     """
     keys = [F.col(c) for c in (*groups, *order)]
     parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
@@ -73,6 +74,11 @@ def ranked(df: DataFrame, groups: list[str], order: list[str], name: str) -> Dat
     stats = cut.groupBy("_part", *groups).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     # a group's rows lie in consecutive tasks: this window has as many rows as a group has tasks
     before = Window.partitionBy(*groups or [F.lit(0)]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).drop("_first", "_n")
-    out = join_table(cut, stats, ["_part", *groups])
-    return out.withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+    stats = stats.withColumn("_before", F.sum("_n").over(before)).drop("_n")
+    if groups:
+        cut = cut.withColumn("_first", F.min("_at").over(Window.partitionBy("_part", *groups)))
+        stats = stats.drop("_first").where("_before > 0")
+    stats = stats.withColumnsRenamed({c: f"_s{c}" for c in ("_part", *groups)})
+    on = [F.col(c).eqNullSafe(F.col(f"_s{c}")) for c in ("_part", *groups)]
+    out = cut.join(F.broadcast(stats), on, "left")
+    return out.withColumn(name, F.col("_at") - F.col("_first") + F.coalesce("_before", F.lit(0))).select(*df.columns, name)
