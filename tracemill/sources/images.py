@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 def sidecars(spark: SparkSession, path: str) -> DataFrame:
     """path (without suffix), height, width, frames, big_endian, stage_x, stage_y from .inf files."""
-    rows = spark.read.option("wholetext", True).text(path).withColumn("path", F.regexp_replace("_metadata.file_path", r"\.inf$", ""))
+    rows = spark.read.text(path, wholetext=True).withColumn("path", F.regexp_replace("_metadata.file_path", r"\.inf$", ""))
     number = lambda p, k=1: F.regexp_extract("value", p, k)
     return rows.select(
         "path", number(r"frame dimensions = (\d+) x (\d+)").try_cast("int").alias("height"), number(r"frame dimensions = (\d+) x (\d+)", 2).try_cast("int").alias("width"),
