@@ -207,7 +207,7 @@ def _promising(members: DataFrame, body: DataFrame) -> DataFrame:
             key = rest.column(0).take(pa.array(np.repeat(np.arange(len(parts)), size)))
             yield pa.RecordBatch.from_arrays([key, pa.array(np.concatenate([p[0] for p in parts]).view(np.int64)), pa.array(np.concatenate([p[1] for p in parts]), pa.int32())], ["key", "shingle", "times"])
 
-    own = checkpoint(members.select("key", "n", "label").distinct())
+    own = checkpoint(members.select("key", "n", "label").distinct().withColumn("shared", F.col("n").cast("long")))
     before = own.count()
     while before:
         rows = body.join(own.select("key"), "key").select("key", "text").mapInArrow(run, "key binary, shingle long, times int").join(own.select("key", "label"), "key")

@@ -26,7 +26,7 @@ from tracemill.llm.common import crc_mod, table
 from tracemill.llm.decontaminate import FOLD, WORD
 
 #: Least share of the toxic documents, and least number of them, in which a lexicon entry stands; least log odds.
-SHARE, LEAST_DOCS, LEAST_ODDS = 0.0005, 5, 2.0
+SHARE, LEAST_DOCS, LEAST_ODDS = 0.002, 5, 2.0
 STEPS = (2.0, 3.5, 5.0)  # of log odds: an entry's strength is the number of steps it reaches
 BEGINNING, STRENGTHS = 4, 4
 #: The labelled sample that field and logistic function are fitted to: documents of each label, and the most bytes of one.
