@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import dna, geometry
-from tracemill.operators import aggregates, decode, domains, joins, library, picking, windows
+from tracemill.operators import aggregates, decode, domains, joins, library, merging, picking, windows
 from tracemill.plans import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -423,3 +423,74 @@ def probe_round_trip(s, d):
     five, three = F.get("p.readouts5", F.lit(0)), [F.get("p.readouts3", F.lit(k)) for k in (0, 1)]
     whole = dna.assembled(F.col("p.primer5"), [five], F.col("p.target"), three, F.col("p.primer3"))
     return out.select("uid", "p.primer5", "p.target", "p.primer3", whole.alias("whole"), dna.pack(F.substring("seq", 1, 15)).alias("packed"))
+
+
+# ---- merging ----
+
+VOXELS = "voxels as (select c_nationkey as fov_id, (c_custkey % 13)::int as z, (c_custkey % 29)::int as x, (c_custkey % 31)::int as y, (c_custkey % 7)::int as label from customer)"
+
+
+def _voxels(s, d):
+    return A.table(s, d, "customer").selectExpr("c_nationkey as fov_id", "cast(c_custkey % 13 as int) as z", "cast(c_custkey % 29 as int) as x", "cast(c_custkey % 31 as int) as y", "cast(c_custkey % 7 as int) as label")
+
+
+@query(f"""with {A.SPOTS}, rep as (select * from spots where bit >= 6) select uid from spots where (cell_id, region) not in (select (cell_id, region) from rep) union all select uid from rep""")
+def recombined_spots(s, d):
+    sp = A.spots(s, d)
+    return merging.recombined(sp, sp.where("bit >= 6"), ["cell_id", "region"]).select("uid")
+
+
+@query(f"""with {A.SPOTS}, refs as (select cell_id, region, arg_max(z, (height, -uid)) as z, arg_max(x, (height, -uid)) as x, arg_max(y, (height, -uid)) as y from spots where bit < 3 group by 1, 2)
+select a.uid from spots a left join refs b on a.cell_id = b.cell_id and a.region = b.region where b.z is null or {D} <= 150""")
+def spots_near_reference(s, d):
+    sp = A.spots(s, d)
+    return merging.near_reference(sp, picking.brightest(sp.where("bit < 3"), ["cell_id", "region"]), ["cell_id", "region"], 150.0).select("uid")
+
+
+@query(f"""with {VOXELS}, pt as (select event_id as uid, (event_id % 11)::int as z, (event_id % 27)::int as x, (event_id % 23)::int as y from events),
+f as (select uid, label, count(*) as n from pt a join voxels b on abs(a.z - b.z) <= 1 and abs(a.x - b.x) <= 1 and abs(a.y - b.y) <= 1 where label <> 0 group by 1, 2),
+g as (select uid, arg_max(label, (n, -label)) as label from f group by 1) select uid, coalesce(label, -1)::int as label from pt left join g using (uid)""")
+def spot_labels(s, d):
+    pt = A.table(s, d, "events").selectExpr("event_id as uid", "cast(event_id % 11 as double) as z", "cast(event_id % 27 as double) as x", "cast(event_id % 23 as double) as y")
+    return merging.labels_of(pt, _voxels(s, d), "uid")
+
+
+@query(f"""with {VOXELS} select fov_id, label, count(*) as volume, {', '.join(f'round((avg({c}) - {m}::double) * {p}::double, 6) as center_{c}, round((min({c}) - {m}::double) * {p}::double, 6) as min_{c}, round((max({c}) + 1 - {m}::double) * {p}::double, 6) as max_{c}' for c, m, p in (('z', 6.5, 0.2), ('x', 14.5, 0.108), ('y', 15.5, 0.108)))}
+from voxels where label > 0 group by 1, 2""")
+def cell_locations(s, d):
+    out = merging.cell_locations(_voxels(s, d), "fov_id", (6.5, 14.5, 15.5), (0.2, 0.108, 0.108))
+    return out.select("fov_id", "label", "volume", *[r(c).alias(c) for c in out.columns[3:]])
+
+
+@query(f"with {A.TRACES} select chr, label, round(count(*) / sum(count(*)) over (partition by chr), 9) as share from traces group by 1, 2")
+def confusion_shares(s, d):
+    return merging.confusion(A.traces(s, d), "chr", "label").select("chr", "label", r("share", 9).alias("share"))
+
+
+@query(f"""with {A.SPOTS}, m as (select channel, bit, median(height) as m from spots group by 1, 2), low as (select channel, bit from (select *, row_number() over (partition by channel order by m, bit) as k from m) where k <= 2),
+b as (select channel, avg(height) as mean, stddev_pop(height) as std from spots join low using (channel, bit) group by 1)
+select uid, case when (height - mean) / std > 4.753424 then 1 when (height - mean) / std <= 2.326348 then -1 else 0 end::int as flag from spots join b using (channel)""")
+def intensity_flags(s, d):
+    return merging.intensity_flags(A.spots(s, d), "channel", "bit", "height", 2).select("uid", "flag")
+
+
+@query(f"""with {A.SPOTS}, p as (select cell_id, z / 50 as z, x / 50 as x, y / 50 as y from spots), o as (select unnest(range(-1, 2)) as o),
+g as (select cell_id, (round(z) + a.o)::int as gz, (round(x) + b.o)::int as gx, (round(y) + c.o)::int as gy, p.z, p.x, p.y from p, o a, o b, o c)
+select cell_id, gz as z, gx as x, gy as y, round(sum(exp(-((gz - z) ** 2 + (gx - x) ** 2 + (gy - y) ** 2) / (2 * 0.8 * 0.8))), 6) as density from g group by 1, 2, 3, 4""")
+def spot_clouds(s, d):
+    p = A.spots(s, d).select("cell_id", *[(F.col(c) / 50).alias(c) for c in joins.AXES])
+    return merging.cloud(p, ["cell_id"], 0.8, 1).withColumn("density", r("density"))
+
+
+@query()
+def bootstrap_interval(s, d):
+    return merging.bootstrap(A.spots(s, d), ["cell_id"], "height", "uid").select("cell_id", r("low").alias("low"), r("high").alias("high"))
+
+
+@query(f"""with {A.TRACES}, p as (select a.chr as chr_a, b.chr as chr_b, a.label as kind_a, b.label as kind_b, {D} as d from traces a join traces b on a.copy = b.copy and a.event_id < b.event_id)
+select least(chr_a, chr_b) as chr_a, greatest(chr_a, chr_b) as chr_b, case when chr_a = chr_b then 'cis' else 'trans' end as kind, round(median(d), 6) as median, count(d) as n from p group by 1, 2, 3""")
+def cis_trans_map(s, d):
+    t = A.traces(s, d).select("copy", F.struct("event_id", "chr", *joins.AXES).alias("p"))
+    pairs = t.withColumnRenamed("p", "l").join(t.withColumnRenamed("p", "r"), "copy").where("l.event_id < r.event_id").withColumn("d", joins.distance("l", "r"))
+    kind = F.when(F.col("l.chr") == F.col("r.chr"), "cis").otherwise("trans").alias("kind")
+    return pairs.groupBy(F.least("l.chr", "r.chr").alias("chr_a"), F.greatest("l.chr", "r.chr").alias("chr_b"), kind).agg(r(F.percentile("d", 0.5)).alias("median"), F.count("d").alias("n"))
