@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 
@@ -39,3 +42,19 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str, least_bytes: int = BLOC
 
 def with_columns(rest: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*rest.columns, *columns.values()], names=[*rest.schema.names, *columns])
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, after which the worker gives its free memory back: workers outlive their tasks, next to whatever runs then."""
+
+    @wraps(run)
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:  # another C library
+            pass
+
+    return out

@@ -22,7 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tracemill.llm.arrow import blocks, with_columns
+from tracemill.llm.arrow import blocks, tidy, with_columns
 from tracemill.llm.common import table
 
 
@@ -195,7 +195,7 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text",
                 out["token_ids"] = pa.array([[i for w in p for i in word_ids[w]] for p in parts], pa.list_(pa.int32()))
             yield with_columns(rest, out)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op2_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:

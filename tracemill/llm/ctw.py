@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.arrow import blocks
+from tracemill.llm.arrow import blocks, tidy
 from tracemill.llm.common import checkpoint, crc_mod, release, table
 from tracemill.llm.hashing import U, word_hashes
 
@@ -287,7 +287,7 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
     """
     docs = docs.select("doc_id", held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
-    every = docs.select("held_out", "text").mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    every = docs.select("held_out", "text").mapInArrow(tidy(_count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     every = checkpoint(every)
     is_string = F.col("key") >= 0
     words = every.where(~is_string)
@@ -295,7 +295,7 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     subtrees = every.where(is_string).repartition(tasks, F.shiftright("key", 8 * (DEPTH - TOP + 1)))
-    sums = subtrees.mapInArrow(_sums, "context int, node int, zeros double, ones double, below double")
+    sums = subtrees.mapInArrow(tidy(_sums), "context int, node int, zeros double, ones double, below double")
     top = _top_levels(sums.groupBy("context", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).collect())
     top = spark.sparkContext.broadcast(top)
 
@@ -306,12 +306,12 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
             part = keys[lo : lo + (1 << 17)]
             yield from _batches(part, {"value": predict(part, levels)})
 
-    values = checkpoint(subtrees.mapInArrow(predictions, "key long, value double").unionAll(words.select("key", F.col("n").cast("double").alias("value"))))
+    values = checkpoint(subtrees.mapInArrow(tidy(predictions), "key long, value double").unionAll(words.select("key", F.col("n").cast("double").alias("value"))))
     del every, words, subtrees, sums
     release(spark)
     n_blocks = max(1, -(-int(size) // BLOCK_BYTES))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))).repartition(max(n_blocks, 2), "block")
-    asked = dealt.mapInArrow(_distinct, "key long, block long").join(values, "key").select("block", "key", "value")
+    asked = dealt.mapInArrow(tidy(_distinct), "key long, block long").join(values, "key").select("block", "key", "value")
     schema = "doc_id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double".format(docs.schema["doc_id"].dataType.simpleString())
     return dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_scored((n_all, n_distinct)), schema)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.arrow import blocks, with_columns
+from tracemill.llm.arrow import blocks, tidy, with_columns
 from tracemill.llm.common import table
 
 WINDOW, SAMPLE = 10, 8
@@ -197,7 +197,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame
     for k in range(n):  # one block as a rule
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases([(r.id, bytes(r.text)) for r in part.collect()]))
-        docs = docs.mapInArrow(_searcher(phrases, docs.columns, text), docs.schema)
+        docs = docs.mapInArrow(tidy(_searcher(phrases, docs.columns, text)), docs.schema)
     return docs
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.llm import hashing
-from tracemill.llm.arrow import blocks, with_columns
+from tracemill.llm.arrow import blocks, tidy, with_columns
 from tracemill.llm.common import checkpoint, ranked, table
 from tracemill.llm.decontaminate import FOLD
 from tracemill.llm.hashing import mix
@@ -146,7 +146,7 @@ def sketched(docs: DataFrame) -> DataFrame:
             s = [shingles(w) for w in word_hashes(texts)]
             yield with_columns(rest, {"n": pa.array(map(len, s), pa.int32()), "sketches": pa.array([sketches(x) for x in s], pa.list_(pa.int64()))})
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def _similar(ta: pd.Series, tb: pd.Series) -> pd.Series:
@@ -210,7 +210,7 @@ def _promising(members: DataFrame, body: DataFrame) -> DataFrame:
     own = checkpoint(members.select("key", "n", "label").distinct().withColumn("shared", F.col("n").cast("long")))
     before = own.count()
     while before:
-        rows = body.join(own.select("key"), "key").select("key", "text").mapInArrow(run, "key binary, shingle long, times int").join(own.select("key", "label"), "key")
+        rows = body.join(own.select("key"), "key").select("key", "text").mapInArrow(tidy(run), "key binary, shingle long, times int").join(own.select("key", "label"), "key")
         kept_in = rows.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo = hi").select("shingle")
         alone = rows.join(kept_in, "shingle").groupBy("key").agg(F.sum("times").alias("alone"))
         own = own.select("key", "n", "label").join(alone, "key", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
@@ -219,7 +219,7 @@ def _promising(members: DataFrame, body: DataFrame) -> DataFrame:
         if after > 0.9 * before:
             break
         before = after
-    maps = body.join(own.select("key"), "key").select("key", "text").mapInArrow(_bitmaps, "key binary, bits array<bigint>, lost int")
+    maps = body.join(own.select("key"), "key").select("key", "text").mapInArrow(tidy(_bitmaps), "key binary, bits array<bigint>, lost int")
     return checkpoint(members.join(own.select("key", "shared"), "key").join(maps, "key"))
 
 

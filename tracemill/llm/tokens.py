@@ -15,7 +15,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tracemill.llm.arrow import blocks, with_columns
+from tracemill.llm.arrow import blocks, tidy, with_columns
 from tracemill.llm.bpe import shipped
 from tracemill.llm.common import table
 
@@ -90,7 +90,7 @@ def counted(docs: DataFrame, vocabulary: str, limit: int = LIMIT, text: str = "t
                     n[owner[i]] += len(e)
             yield with_columns(rest, {"n_bytes": pa.array(list(map(len, texts)), pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([x > limit for x in n])})
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.arrow import blocks, with_columns
+from tracemill.llm.arrow import blocks, tidy, with_columns
 from tracemill.llm.common import crc_mod, table
 from tracemill.llm.decontaminate import FOLD, WORD
 
@@ -200,7 +200,7 @@ def fit(labelled: DataFrame) -> Model:
     """Fit to ``labelled`` (doc_id, text, toxic 0/1). Without toxic or without other documents the score is a constant."""
     per = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_other = per.get(1, 0), per.get(0, 0)
-    counts = labelled.select("toxic", "text").mapInArrow(_word_counts, "entry binary, other long, toxic long").groupBy("entry").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    counts = labelled.select("toxic", "text").mapInArrow(tidy(_word_counts), "entry binary, other long, toxic long").groupBy("entry").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("other") + 0.5) / (n_other + 1))
     entries = counts.withColumn("odds", odds).where((F.col("toxic") >= max(LEAST_DOCS, SHARE * n_toxic)) & (F.col("odds") >= LEAST_ODDS))
     strength = {bytes(r.entry): sum(r.odds >= s for s in STEPS) for r in entries.select("entry", "odds").collect()}
@@ -265,7 +265,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield with_columns(rest, {"score": pa.array(score), "predicted": pa.array(score >= PREDICT).cast(pa.int32()), "spans": pa.array(found, kind)})
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, held_out: Column, most_rows: int = 200_000) -> DataFrame:
