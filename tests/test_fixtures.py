@@ -156,3 +156,31 @@ def test_flags_by_overlap(spark):
     rows = [("g", "exon", 1, 10), ("g", "exon", 1, 10), ("g", "utr3", 8, 12)]
     out = library.flags(spark.createDataFrame(rows, "gene string, kind string, start long, end long"), {"exon": 2, "utr3": 3})
     assert sorted((r.start, r.end, r.flag) for r in out.collect()) == [(1, 7, 2), (8, 10, 6), (11, 12, 3)]
+
+
+def test_swap_of_a_part(spark):
+    assert one(spark, dna.swapped(F.lit("AAACCCGGG"), 4, F.lit("TTT"))) == "AAATTTGGG"
+    assert one(spark, dna.swapped(F.lit("AAACCCGGG"), -3, F.lit("TTT"))) == "AAACCCTTT"
+
+
+def test_complete_linkage():
+    x = np.array([0.0, 1.0, 10.0, 11.0, 30.0])
+    d = np.abs(x[:, None] - x[None])
+    assert domains.complete_linkage(d, 3).tolist() == [0, 0, 1, 1, 2] and domains.complete_linkage(d, 2).tolist() == [0, 0, 0, 0, 1]
+
+
+def test_interacting_domains():
+    m = np.full((15, 15), 100.0)
+    for a, b in ((0, 0), (1, 1), (2, 2), (0, 2), (2, 0)):
+        m[a * 5 : a * 5 + 5, b * 5 : b * 5 + 5] = 10.0
+    m += np.random.default_rng(0).uniform(0, 1, m.shape)
+    assert domains.interacting(m, [0, 5, 10], 2.0, 50.0, 0.5) == {(0, 2)}
+
+
+def test_scheme_and_aligner_tables(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("750,647\nnum_hyb,2\nnum_reg,2\nnum_color,2\n1,2,3,4\n5,,7,8\n")
+    got = {(r.colour, r.hyb, r.region): r.value for r in text.encoding_scheme(spark, str(tmp_path / "s.csv")).collect()}
+    assert got == {("750", 0, 0): 1, ("750", 0, 1): 2, ("647", 0, 0): 3, ("647", 0, 1): 4, ("750", 1, 0): 5, ("750", 1, 1): None, ("647", 1, 0): 7, ("647", 1, 1): 8}
+    spots = spark.createDataFrame([("c", 0, 1, 0.5, 0.0, 0.0)], "chr string, fiberidx int, hyb int, z_um double, x_um double, y_um double")
+    regions = spark.createDataFrame([("c", 1), ("c", 2)], "chr string, hyb int")
+    assert {(r.hyb, r.z) for r in text.aligned_traces(spots, regions).collect()} == {(1, 500.0), (2, None)}

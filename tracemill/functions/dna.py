@@ -70,3 +70,9 @@ def readout_ok(s: Column, gc_low: float = 0.4, gc_high: float = 0.6, c_low: floa
     windows = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.length(F.regexp_replace(F.substring(s, i, F.lit(6)), "[^C]", "")))
     six = kmers(s, 6)
     return (gc(s) > gc_low) & (gc(s) < gc_high) & (c > c_low) & (c < c_high) & ~s.rlike("AAAA|CCCC|GGGG|TTTT") & (F.size(F.array_distinct(six)) == F.size(six)) & ~F.exists(windows, lambda x: x >= 4)
+
+
+def swapped(probe: Column, start: int, part: Column) -> Column:
+    """The probe with ``part`` in place of as many bases from ``start`` (1-based; negative counts from the end)."""
+    at = F.lit(start) if start > 0 else F.length(probe) + start + 1
+    return F.concat(F.substring(probe, F.lit(1), at - 1), part, F.substring(probe, at + F.length(part), F.length(probe)))

@@ -163,3 +163,62 @@ def merged_runs(labels: np.ndarray, least: int = 4) -> np.ndarray:
             return out
         k = int(np.argmin(size))
         out[cuts[k] : cuts[k + 1]] = 1 - out[cuts[k]]
+
+
+def complete_linkage(distance: np.ndarray, clusters: int) -> np.ndarray:
+    """Labels of a complete-linkage tree cut at ``clusters``: the two clusters whose farthest members are nearest merge first
+    (lowest indexes on ties). Labels are numbered by first member."""
+    groups = [[k] for k in range(len(distance))]
+    d = distance.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    while len(groups) > max(clusters, 1):
+        i, j = divmod(int(np.argmin(d)), len(groups))
+        i, j = min(i, j), max(i, j)
+        groups[i] += groups.pop(j)
+        d[i] = np.maximum(d[i], d[j])
+        d[:, i] = d[i]
+        d[i, i] = np.inf
+        d = np.delete(np.delete(d, j, 0), j, 1)
+    out = np.zeros(len(distance), int)
+    for label, members in enumerate(sorted(groups, key=min)):
+        out[members] = label
+    return out
+
+
+def interacting(matrix: np.ndarray, starts: list[int], most_effect: float, threshold: float, least_contact: float, rounds: int = 20) -> set[tuple[int, int]]:
+    """Pairs of domains that interact: their region pairs are not farther than those inside the domains by more than
+    ``most_effect`` spreads, and at least ``least_contact`` of them are in contact.
+
+    Starts from the effects, then lets the accepted and the other pairs exchange: a pair belongs to the side to whose mean distance
+    its own median is nearer; until no pair moves. Missing distances are no contact."""
+    ends = [*starts[1:], len(matrix)]
+    block = {(a, b): matrix[starts[a] : ends[a], starts[b] : ends[b]].ravel() for a in range(len(starts)) for b in range(a + 1, len(starts))}
+    inside = {a: matrix[starts[a] : ends[a], starts[a] : ends[a]][np.triu_indices(ends[a] - starts[a], 1)] for a in range(len(starts))}
+    block = {k: v for k, v in block.items() if not np.isnan(v).all()}
+    chosen = {k for k, v in block.items() if effect(np.concatenate([inside[k[0]], inside[k[1]]]), v) <= most_effect}
+    middle = {k: float(np.nanmedian(v)) for k, v in block.items()}
+    for _ in range(rounds):
+        rest = set(block) - chosen
+        if not chosen or not rest:
+            break
+        near, far = np.mean([middle[k] for k in chosen]), np.mean([middle[k] for k in rest])
+        now = {k for k in block if abs(middle[k] - near) <= abs(middle[k] - far)}
+        if now == chosen:
+            break
+        chosen = now
+    return {k for k in chosen if np.mean(np.nan_to_num(block[k], nan=np.inf) <= threshold) >= least_contact}
+
+
+def interactions(pairs: DataFrame, copy: list[str], most_effect: float = 0.5, threshold: float = 50.0, least_contact: float = 0.3) -> DataFrame:
+    """Interacting domain pairs of each copy (domains by ``call``). A group is one copy's pair distances."""
+    schema = ", ".join([*[f"{c} {pairs.schema[c].dataType.simpleString()}" for c in copy], "domain_a int", "domain_b int"])
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        m = matrix_of(df, int(df["j"].max()) + 1)
+        found = sorted(interacting(m, call(m), most_effect, threshold, least_contact))
+        out = pd.DataFrame({"domain_a": [a for a, _ in found], "domain_b": [b for _, b in found]}, dtype="int32")
+        for c in reversed(copy):
+            out.insert(0, c, df[c].iloc[0])
+        return out
+
+    return pairs.groupBy(*copy).applyInPandas(run, schema)

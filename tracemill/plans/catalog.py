@@ -339,6 +339,11 @@ def boundary_share(s, d):
     return domains.boundary_share(called, ["copy"]).withColumn("share", r("share"))
 
 
+@query()
+def domain_interactions(s, d):
+    return domains.interactions(aggregates.pair_distances(A.traces(s, d), ["copy"], "region"), ["copy"])
+
+
 # ---- scalar transforms and filters ----
 
 

@@ -88,3 +88,30 @@ def trace_table(spark: SparkSession, path: str) -> DataFrame:
         *[F.split(get(c), ";").alias(n) for c, n in (("Gene names", "genes"), ("Transcription", "transcription")) if c in rows.columns],
     )
     return out.select("*", "r.*").drop("r")
+
+
+def encoding_scheme(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """Blocks of rounds x regions for each colour: colour, block, hyb, region (place in the row), value (null where blank).
+
+    The header names the colours; the next three rows give num_hyb, num_reg and num_color; then come the rows of the blocks. The file is
+    one small table that is read whole, as its rows have an order."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("n", "line"))
+    cells = lines.where("line <> ''").withColumn("cells", F.split("line", sep, -1))
+    head = cells.where("n < 4").agg(F.map_from_entries(F.collect_list(F.struct(F.when(F.col("n") == 0, "colours").otherwise(F.trim(F.get("cells", F.lit(0)))), "cells"))).alias("h"))
+    number = lambda k: F.get(F.col(f"h.{k}"), F.lit(1)).try_cast("int")
+    rows = cells.where("n >= 4").crossJoin(F.broadcast(head))  # one row
+    place = F.posexplode(F.col("cells")).alias("place", "value")
+    rows = rows.select((F.col("n") - 4).alias("row"), number("num_hyb").alias("hybs"), number("num_reg").alias("regs"), F.col("h.colours").alias("colours"), place)
+    colour = F.floor(F.col("place") / F.col("regs")).cast("int")
+    return rows.where(colour < F.size("colours")).select(
+        F.trim(F.get("colours", colour)).alias("colour"), F.floor(F.col("row") / F.col("hybs")).cast("int").alias("block"), (F.col("row") % F.col("hybs")).alias("hyb"),
+        (F.col("place") % F.col("regs")).alias("region"), F.col("value").try_cast("int").alias("value"),
+    )
+
+
+def aligned_traces(spots: DataFrame, regions: DataFrame) -> DataFrame:
+    """Traces from an aligner's table (chr, fiberidx, hyb, z_um, x_um, y_um), with a row without place for every region
+    (chr, hyb) that a fibre lacks; nm."""
+    fibres = spots.select("chr", "fiberidx").distinct().join(regions.select("chr", "hyb").distinct(), "chr")
+    place = [(F.col(f"{c}_um") * 1000).alias(c) for c in "zxy"]
+    return fibres.join(spots.select("chr", "fiberidx", "hyb", *place), ["chr", "fiberidx", "hyb"], "left")
