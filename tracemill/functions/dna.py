@@ -35,8 +35,8 @@ STACKS = {
 _PAIRS = STACKS | {"".join({"A": "T", "C": "G", "G": "C", "T": "A"}[c] for c in reversed(k)): v for k, v in STACKS.items()}
 
 
-def melting_temperature(s: Column, sodium: float = 0.39, strand: float = 25e-9) -> Column:
-    """Nearest-neighbour melting temperature (degrees C) of a duplex with the given sodium (M) and strand (M) concentrations:
+def melting_temperature(s: Column, sodium: float = 0.39, strand: float = 1e-9) -> Column:
+    """Nearest-neighbour melting temperature (degrees C) of a duplex with the given sodium (M) and effective strand (M) concentrations:
     entropy corrected by 0.368 (n - 1) ln[Na]; initiation 0.2 kcal/mol, -5.7 cal/mol K; a terminal AT pair adds 2.2 and 6.9."""
     upper = F.upper(s)
     pairs = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(upper, i, F.lit(2)))
@@ -44,7 +44,7 @@ def melting_temperature(s: Column, sodium: float = 0.39, strand: float = 25e-9)
     ends = F.length(F.regexp_replace(F.concat(F.substring(upper, 1, 1), F.substring(upper, -1, 1)), "[^AT]", ""))
     h = add(0) + 0.2 + 2.2 * ends
     t = add(1) - 5.7 + 6.9 * ends + 0.368 * (F.length(s) - 1) * F.log(F.lit(sodium))
-    return F.when(F.length(s) >= 2, 1000 * h / (t + 1.987 * F.log(F.lit(strand / 4))) - 273.15)
+    return F.when(F.length(s) >= 2, 1000 * h / (t + 1.987 * F.log(F.lit(strand))) - 273.15)
 
 
 def assembled(primer5: Column, readouts5: list[Column], target: Column, readouts3: list[Column], primer3: Column) -> Column:
