@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from tracemill.llm import hashing
 from tracemill.llm.arrow import blocks, tidy, with_columns
-from tracemill.llm.common import checkpoint, ranked, table
+from tracemill.llm.common import checkpoint, ranked, release, table
 from tracemill.llm.decontaminate import FOLD
 from tracemill.llm.hashing import mix
 
@@ -278,6 +278,7 @@ def classes(docs: DataFrame) -> DataFrame:
             members = open_.drop("label", "top")
         else:
             open_ = checkpoint(open_)
+            members = open_.drop("label", "top")  # classes only join, so that a bucket of one class stays so
         if open_.isEmpty():
             break
         is_lead = (F.col("rank") >= done) & (F.col("rank") < leaders)
@@ -294,6 +295,8 @@ def classes(docs: DataFrame) -> DataFrame:
         links = checkpoint(pairs.join(tb, "b").join(ta, "a").where(F.pandas_udf(_similar, T.BooleanType())("ta", "tb")).select("a", "b"))
         labels = components_from(labels, links)
         done, leaders = leaders, leaders * GROWTH
+        del now, stats, open_, lead, pairs, links
+        release(docs.sparkSession)  # the round's shuffles and checkpoints
     named = texts.select("key", "rep").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     of = named.groupBy("label").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("n_texts"))
     return rows.select("doc_id", "key").join(named.join(of, "label").select("key", "class_id", "n_texts"), "key")
