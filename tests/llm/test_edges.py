@@ -51,6 +51,27 @@ def test_toxicity_learns_words_and_beginnings(spark):
     assert all(r.predicted == int(r.score >= 0.3) for r in toxicity.scored(docs(spark), nothing).collect())
 
 
+def test_toxicity_keeps_rare_words_of_large_corpora(spark):
+    # 3,000 toxic documents; those of a small source are known by words that stand in five of them each
+    common = [(d, f"vileword plain{d % 97} other{d % 89}", 1) for d in range(2960)]
+    rare = [(5000 + d, f"{'abcdefgh'[d // 5]}rareword plain{d % 97} other{d % 89}", 1) for d in range(40)]
+    clean = [(10000 + d, f"plain{d % 97} other{d % 89} fine{d % 83}", 0) for d in range(12000)]
+    model = toxicity.fit(spark.createDataFrame(common + rare + clean, "doc_id long, text string, toxic int").repartition(4))
+    strength = {bytes(r.entry): r.strength for r in model.lexicon.collect()}
+    assert all(strength[f"{x}rareword".encode()] == strength[f"^{x}rar".encode()] == 2 for x in "abcdefgh") and b"plain1" not in strength
+    texts = [(k, f"fine{k} {'abcdefgh'[k]}rareword plain{k}") for k in range(8)] + [(k, f"fine{k} plain{k} other{k}") for k in range(8, 16)]
+    out = {r.doc_id: r for r in toxicity.scored(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert all(out[k].predicted == int(k < 8) for k in range(16))
+
+
+def test_toxicity_is_the_same_in_any_blocks(spark, monkeypatch):
+    labelled = spark.createDataFrame([(d, f"bad{d % 9}x plain{d % 7}" if d % 3 == 0 else f"plain{d % 7} more{d % 5}", int(d % 3 == 0)) for d in range(300)], "doc_id long, text string, toxic int")
+    model = toxicity.fit(labelled)
+    whole = Counter(map(str, toxicity.scored(labelled, model).collect()))
+    monkeypatch.setattr(toxicity, "JOIN_BYTES", 200)
+    assert Counter(map(str, toxicity.scored(labelled, model).collect())) == whole
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(0)
     score, switch = rng.normal(size=7), rng.normal(size=(2, 2))

@@ -1,8 +1,8 @@
 """Toxicity: a linear-chain conditional random field tags toxic tokens; its marginals make document scores and offending offsets.
 
 1. Over all labelled training documents, Spark counts in how many toxic and other documents each word and each word beginning (four
-   bytes) stands. Those that stand in a fixed share of the toxic documents and are several times likelier there are the lexicon; the share bounds
-   its size whatever the corpus (entries <= words of a document / share).
+   bytes) stands. Those that stand in a fixed number of toxic documents and are several times likelier there are the lexicon. It grows with
+   the corpus and stays a distributed table: blocks of texts are joined with the entries among their own distinct words.
 2. On a bounded sample of labelled documents, tokens get labels: a word of the lexicon in a toxic document is toxic, any token of another
    document is not. The field is fitted to them by its conditional likelihood. Its features are the lexicon strengths of the word, its
    beginning and its two neighbours, with words hidden at random so that beginnings count for words that training has not seen.
@@ -12,26 +12,30 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm.arrow import blocks, tidy, with_columns
-from tracemill.llm.common import crc_mod, table
+from tracemill.llm.common import checkpoint, crc_mod, release, table
 from tracemill.llm.decontaminate import FOLD, WORD
 
-#: Least share of the toxic documents, and least number of them, in which a lexicon entry stands; least log odds.
-SHARE, LEAST_DOCS, LEAST_ODDS = 0.002, 5, 2.0
+#: Least number of toxic documents in which a lexicon entry stands, at any size of the corpus; least log odds.
+LEAST_DOCS, LEAST_ODDS = 5, 2.0
 STEPS = (2.0, 3.5, 5.0)  # of log odds: an entry's strength is the number of steps it reaches
 BEGINNING, STRENGTHS = 4, 4
 #: The labelled sample that field and logistic function are fitted to: documents of each label, and the most bytes of one.
 SAMPLE, SAMPLE_BYTES = 500, 10_000
 PREDICT = 0.3
+#: Text bytes of a block that is joined with its entries, and of the pieces in which it is tagged; bits of the sieve, a power of two.
+JOIN_BYTES, TAG_BYTES, SIEVE_BITS = 8 << 20, 4 << 20, 1 << 24
 
 
 def words(text: bytes) -> list[bytes]:
@@ -43,14 +47,19 @@ def beginning(word: bytes) -> bytes:
 
 
 @dataclass
-class Model:
-    strength: dict[bytes, int]
+class Field:
     emission: np.ndarray  # [4 features, strengths]: ln odds that a feature's value adds for the toxic tag
     bias: float
     switch: np.ndarray  # ln potentials of tag pairs [from, to]
     logistic: np.ndarray  # for 1, ln(1 + sum), share, greatest
 
 
+@dataclass
+class Model:
+    lexicon: DataFrame  # entry, strength; of any size
+    field: Field
+
+
 def products(m: np.ndarray) -> np.ndarray:
     """Vectors v[t] ~ m[t] m[t-1] ... m[0] 1, each scaled to sum 1, for a sequence of 2x2 matrices.
 
@@ -152,9 +161,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return w
 
 
-def tagged(texts: list[bytes], model: Model, hide: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tagged(texts: list[bytes], strength: dict[bytes, int], hide: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of all tokens, tokens of each text, and which tokens are first. ``hide``: drop half the words' strengths."""
-    get = model.strength.get
+    get = strength.get
     parts = [words(t) for t in texts]
     n = np.fromiter(map(len, parts), np.int64, len(parts))
     first = np.zeros(int(n.sum()), bool)
@@ -166,8 +175,8 @@ def tagged(texts: list[bytes], model: Model, hide: np.random.Generator | None =
     return features(w, b, first), n, first
 
 
-def marginals(f: np.ndarray, first: np.ndarray, model: Model) -> np.ndarray:
-    return forward_backward(model.bias + sum(model.emission[k][f[:, k]] for k in range(4)), model.switch, first)[0]
+def marginals(f: np.ndarray, first: np.ndarray, field: Field) -> np.ndarray:
+    return forward_backward(field.bias + sum(field.emission[k][f[:, k]] for k in range(4)), field.switch, first)[0]
 
 
 def summaries(p: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -182,6 +191,14 @@ def summaries(p: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def entries_of(texts: list[bytes]) -> list[bytes]:
+    """The distinct words and beginnings of texts."""
+    own: set[bytes] = set()
+    for t in texts:
+        own.update(words(t))
+    return list(own | {beginning(w) for w in own})
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rest, texts in blocks(batches, "text", 8 << 20):
         toxic = rest.column(0).to_pylist()
@@ -202,28 +219,67 @@ def fit(labelled: DataFrame) -> Model:
     n_toxic, n_other = per.get(1, 0), per.get(0, 0)
     counts = labelled.select("toxic", "text").mapInArrow(tidy(_word_counts), "entry binary, other long, toxic long").groupBy("entry").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("other") + 0.5) / (n_other + 1))
-    entries = counts.withColumn("odds", odds).where((F.col("toxic") >= max(LEAST_DOCS, SHARE * n_toxic)) & (F.col("odds") >= LEAST_ODDS))
-    strength = {bytes(r.entry): sum(r.odds >= s for s in STEPS) for r in entries.select("entry", "odds").collect()}
-    model = Model(strength, np.zeros((4, STRENGTHS)), 0.0, np.zeros((2, 2)), np.zeros(4))
+    entries = counts.withColumn("odds", odds).where((F.col("toxic") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS))
+    strength = sum((F.col("odds") >= x).cast("int") for x in STEPS)
+    field = Field(np.zeros((4, STRENGTHS)), 0.0, np.zeros((2, 2)), np.zeros(4))
+    model = Model(checkpoint(entries.select("entry", strength.alias("strength"))), field)
     small = labelled.where(F.octet_length("text") <= SAMPLE_BYTES)
     rows = [r for x in (0, 1) for r in small.where(F.col("toxic") == x).orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE).select("text", "toxic").collect()]
     y = np.array([r.toxic for r in rows], float)
     if not n_toxic or not n_other or y.min(initial=1) == y.max(initial=0):
         share = min(max((n_toxic + 0.5) / (n_toxic + n_other + 1), 0.01), 0.99)
-        model.logistic[0] = np.log(share / (1 - share))
+        field.logistic[0] = np.log(share / (1 - share))
         return model
     texts = [r.text.encode() for r in rows]
-    f, n, first = tagged(texts, model)
+    # of the lexicon only what the sample's own words hold comes to the driver
+    own = labelled.sparkSession.createDataFrame(pa.table({"entry": pa.array(entries_of(texts), pa.binary())}))
+    strength = {bytes(r.entry): r.strength for r in own.join(model.lexicon, "entry").collect()}
+    f, n, first = tagged(texts, strength)
     strong = (f[:, 0] >= 2).astype(float)
     tags = strong * np.repeat(y, n)
-    hidden, _, _ = tagged(texts, model, np.random.default_rng(1))
+    hidden, _, _ = tagged(texts, strength, np.random.default_rng(1))
     f2, tags2, first2 = np.concatenate([f, hidden]), np.concatenate([tags, tags]), np.concatenate([first, first])
-    model.emission, model.bias, model.switch = fit_field(f2, tags2, first2)
+    field.emission, field.bias, field.switch = fit_field(f2, tags2, first2)
     weight = np.where(y == 1, n_toxic / y.sum(), n_other / (1 - y).sum())
-    model.logistic = fit_logistic(summaries(marginals(f, first, model), n), y, weight / weight.mean())
+    field.logistic = fit_logistic(summaries(marginals(f, first, field), n), y, weight / weight.mean())
     return model
 
 
+def sieve(lexicon: DataFrame) -> np.ndarray:
+    """A bit map of the entries' checksums, of fixed size: most words that are no entry are seen by it before the join."""
+    bit = F.crc32("entry") % SIEVE_BITS
+    one = F.expr("shiftleft(1L, cast(bit % 64 as int))")
+    held = lexicon.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(SIEVE_BITS // 64, np.int64)
+    out[held.column("at").to_numpy()] = held.column("bits").to_numpy()
+    return out
+
+
+def joined(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``docs`` in blocks: packed (an Arrow stream of its rows) and found (the lexicon's rows among its words)."""
+    bits = docs.sparkSession.sparkContext.broadcast(sieve(lexicon))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 33
+        for rest, texts in blocks(batches, "text", JOIN_BYTES):
+            names = entries_of(texts)
+            h = np.fromiter(map(zlib.crc32, names), np.int64, len(names)) % SIEVE_BITS
+            names = [names[k] for k in np.flatnonzero(bits.value[h >> 6] >> (h & 63) & 1)]
+            whole = with_columns(rest, {"text": pa.array(texts, pa.large_binary())})
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+                out.write_batch(whole)
+            columns = [pa.array([block]), pa.array([names], pa.list_(pa.binary())), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "names", "packed"])
+            block += 1
+
+    # written once, so that a block is the same rows on both sides
+    packed = checkpoint(docs.mapInArrow(tidy(pack), "block long, names array<binary>, packed binary"))
+    found = packed.select("block", F.explode("names").alias("entry")).join(lexicon, "entry")
+    found = found.groupBy("block").agg(F.collect_list(F.struct("entry", "strength")).alias("found"))
+    return packed.select("block", "packed").join(found, "block", "left").select("packed", "found")
+
+
 def spans(text: bytes, p: np.ndarray) -> list[dict[str, int]]:
     """Code-point offsets of runs of tokens that are likelier toxic than not."""
     out: list[list[int]] = []
@@ -250,22 +306,29 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """Replace ``text`` by score, predicted and spans (code-point offsets); other columns pass through, those with a result's name
     are replaced. Null and wordless texts get the score of a text without toxic tokens and no spans."""
     docs = docs.drop("score", "predicted", "spans")
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model.field)
     schema = docs.drop("text").selectExpr("*", "cast(0 as double) score", "0 predicted", "cast(null as array<struct<start: int, end: int>>) spans").schema
 
+    def score(rest: pa.RecordBatch, texts: list[bytes], strength: dict[bytes, int]) -> pa.RecordBatch:
+        field = held.value
+        f, n, first = tagged(texts, strength)
+        p = marginals(f, first, field)
+        x = summaries(p, n)
+        score = 1 / (1 + np.exp(-np.clip(x @ field.logistic, -30, 30)))
+        at = np.cumsum(n) - n
+        found = [spans(t, p[a : a + k]) if g > 0.5 else [] for t, a, k, g in zip(texts, at, n, x[:, 3], strict=True)]
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        return with_columns(rest, {"score": pa.array(score), "predicted": pa.array(score >= PREDICT).cast(pa.int32()), "spans": pa.array(found, kind)})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        for rest, texts in blocks(batches, "text", 4 << 20):
-            f, n, first = tagged(texts, m)
-            p = marginals(f, first, m)
-            x = summaries(p, n)
-            score = 1 / (1 + np.exp(-np.clip(x @ m.logistic, -30, 30)))
-            at = np.cumsum(n) - n
-            found = [spans(t, p[a : a + k]) if g > 0.5 else [] for t, a, k, g in zip(texts, at, n, x[:, 3], strict=True)]
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield with_columns(rest, {"score": pa.array(score), "predicted": pa.array(score >= PREDICT).cast(pa.int32()), "spans": pa.array(found, kind)})
+        for batch in batches:
+            for packed, found in zip(*batch.columns, strict=True):
+                own = found.values
+                strength = {} if own is None else dict(zip(own.field("entry").to_pylist(), own.field("strength").to_pylist(), strict=True))
+                for rest, texts in blocks(pa.ipc.open_stream(packed.as_buffer()), "text", TAG_BYTES):
+                    yield score(rest, texts, strength)
 
-    return docs.mapInArrow(tidy(run), schema)
+    return joined(docs, model.lexicon).mapInArrow(tidy(run), schema)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, held_out: Column, most_rows: int = 200_000) -> DataFrame:
@@ -280,4 +343,5 @@ def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_mod(F.col("doc_id"), 4) == 2
     model = fit(labelled(docs, table(spark, sf_dir, "labels"), held_out))
+    release(spark)  # the counts' shuffle
     return scored(docs.withColumn("held_out", held_out), model).select("doc_id", "held_out", "score", "predicted", "spans")
