@@ -205,6 +205,21 @@ def test_rewriting_template_is_seen():
     assert stable and [text[s[2] : s[3]] for s in spans] == ["hello", "world"]
 
 
+def test_templates_see_all_turns_before(spark):
+    numbered = lambda turns: "preamble;" + "".join(f"{k}[{r}]{t};" for k, (r, t) in enumerate(turns))
+    # the first turn is rewritten once the 70th is there
+    late = lambda turns: "".join(f"[{r}]{t.upper() if k == 0 and len(turns) >= 70 else t};" for k, (r, t) in enumerate(turns))
+    own = {c: [("user" if k % 2 else "assistant", f"turn {k} of {c}") for k in range(n)] for c, n in ((1, 3), (2, 33), (3, 64), (4, 150))}
+    df = spark.createDataFrame([(c, k, r, t) for c, x in own.items() for k, (r, t) in enumerate(x)], "conv_id long, turn long, role string, text string").repartition(7)
+    for template in (numbered, late):
+        out = chat.formatted(df, template).collect()
+        assert len(out) == len(own)
+        for r in out:
+            text, spans, stable = chat.render(own[r.conv_id], template)
+            assert r.formatted == text == template(own[r.conv_id]) and [(s.start, s.end, s.text_start, s.text_end) for s in r.spans] == spans
+            assert r.stable == stable == (template is numbered or r.conv_id != 4)
+
+
 # 6
 
 

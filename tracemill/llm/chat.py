@@ -2,9 +2,9 @@
 
 The template is any function from turns to a string. It is called with successive prefixes of the turns, and each output is compared with the one
 before: what is new is the turn's span, and an output that does not begin with the one before shows a template that rewrites history. Where
-a turn's text lies in its span is found in the same way, by rendering the turn with an empty text and with a probe. Rows are
-sorted by conversation and turn over range partitions, so that a conversation of any length is spread over tasks; each task renders
-pieces of ``PIECE`` turns at most.
+a turn's text lies in its span is found in the same way, by rendering the turn with an empty text and with a probe. A template may look at
+all turns before, so a conversation is rendered from its first turn by one task, which streams over conversations; the work for one grows
+with the square of its turns, as every prefix is an output of its own.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.common import table
 
-PIECE = 32
 PROBE = "\0"
 Turn = tuple[str, str]
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -81,11 +80,10 @@ SCHEMA = "conv_id {}, at long, formatted string, spans array<struct<role: string
 
 
 def formatted(conversations: DataFrame, template: Callable[[list[Turn]], str] = chatml) -> DataFrame:
-    """Pieces of the formatted conversations: conv_id, at (their order), formatted, spans (code points within the piece) and
-    stable. Rows go by turn, null first, then role and text; null roles and texts are empty, null ids one conversation."""
+    """The formatted conversations: conv_id, at (their order), formatted, spans (code points) and stable. Turns go by turn, null
+    first, then role and text; null roles and texts are empty, null ids one conversation."""
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, "conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     kind = rows.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +103,7 @@ def formatted(conversations: DataFrame, template: Callable[[list[Turn]], str] =
             kind_of = b.schema.field("conv_id").type
             columns = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("conv_id", "role", "text")]
             for c, role, text in zip(*columns, strict=True):
-                if held and (c != conv or len(held) >= PIECE):
+                if held and c != conv:
                     yield out()
                     held = []
                 conv = c
@@ -117,8 +115,8 @@ def formatted(conversations: DataFrame, template: Callable[[list[Turn]], str] =
 
 
 def digests(pieces: DataFrame, role: str = "assistant") -> DataFrame:
-    """Per conversation, read back from formatted pieces: n_turns, turns_sha256, loss_chars, loss_sha256 (text of ``role`` under the
-    mask), formatted_chars and stable. Pieces of a conversation stream through one task in order; one piece is in memory at a time."""
+    """Per conversation, read back from its formatted text: n_turns, turns_sha256, loss_chars, loss_sha256 (text of ``role`` under the
+    mask), formatted_chars and stable. Rows stream through a task; one is in memory at a time."""
     kind = pieces.schema["conv_id"].dataType.simpleString()
     rows = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "at")
 
