@@ -64,6 +64,27 @@ def test_toxicity_keeps_rare_words_of_large_corpora(spark):
     assert all(out[k].predicted == int(k < 8) for k in range(16))
 
 
+@pytest.mark.parametrize("long", [(1,), (0,), (0, 1)])
+def test_toxicity_learns_from_labels_of_long_documents(spark, monkeypatch, long):
+    rng = random.Random(7)
+    data = []
+    for d in range(60):
+        toxic = d % 3 == 0
+        words = [f"plain{rng.randint(0, 40)}" for _ in range(2000 if int(toxic) in long else 60)]
+        if toxic:
+            words[3::20] = ["vileword"] * len(words[3::20])
+        data.append((d, " ".join(words), int(toxic)))
+    labelled = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    model = toxicity.fit(labelled)
+    assert all(r.predicted == r.toxic for r in toxicity.scored(labelled, model).collect())
+    if long == (0, 1):
+        monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 30_000)
+        texts = toxicity.sample(labelled)
+        assert sum(map(len, texts)) == 30_000 and all(any(t.startswith(x) for _, t, _ in data) for x in texts)
+        monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 50)
+        assert [len(t) for t in toxicity.sample(labelled)] == [50]
+
+
 def test_toxicity_is_the_same_in_any_blocks(spark, monkeypatch):
     labelled = spark.createDataFrame([(d, f"bad{d % 9}x plain{d % 7}" if d % 3 == 0 else f"plain{d % 7} more{d % 5}", int(d % 3 == 0)) for d in range(300)], "doc_id long, text string, toxic int")
     model = toxicity.fit(labelled)

@@ -31,8 +31,8 @@ from tracemill.llm.decontaminate import FOLD, WORD
 LEAST_DOCS, LEAST_ODDS = 5, 2.0
 STEPS = (2.0, 3.5, 5.0)  # of log odds: an entry's strength is the number of steps it reaches
 BEGINNING, STRENGTHS = 4, 4
-#: The labelled sample that field and logistic function are fitted to: documents of each label, and the most bytes of one.
-SAMPLE, SAMPLE_BYTES = 500, 10_000
+#: The labelled sample that field and logistic function are fitted to: documents of each label, and their characters together.
+SAMPLE, SAMPLE_CHARS = 500, 1_500_000
 PREDICT = 0.3
 #: Text bytes of a block that is joined with its entries, and of the pieces in which it is tagged; bits of the sieve, a power of two.
 JOIN_BYTES, TAG_BYTES, SIEVE_BITS = 8 << 20, 4 << 20, 1 << 24
@@ -213,6 +213,21 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), *[pa.array([c[w] for w in part], pa.int64()) for c in counts]], ["entry", "other", "toxic"])
 
 
+def sample(docs: DataFrame) -> list[str]:
+    """Texts in the order of a hash, long ones too: ``SAMPLE`` of them or ``SAMPLE_CHARS`` together; the last is cut there."""
+    keys = docs.select(F.xxhash64(F.lit(1), "doc_id").alias("k0"), F.col("doc_id").alias("k1"), F.xxhash64("text").alias("k2"), "text")
+    room, last, n = SAMPLE_CHARS, 0, 0
+    # sizes first, so that tasks send no more texts than these
+    for r in keys.select("k0", "k1", "k2", F.length("text").alias("chars")).orderBy("k0", "k1", "k2").limit(SAMPLE).collect():
+        if room > 0:
+            room, last, n = room - r.chars, r.k0, n + 1
+    texts, room = [], SAMPLE_CHARS
+    for r in keys.where(F.col("k0") <= last).withColumn("text", F.substring("text", 1, SAMPLE_CHARS)).orderBy("k0", "k1", "k2").limit(n).collect():
+        texts.append(r.text[:room])
+        room -= len(texts[-1])
+    return texts
+
+
 def fit(labelled: DataFrame) -> Model:
     """Fit to ``labelled`` (doc_id, text, toxic 0/1). Without toxic or without other documents the score is a constant."""
     per = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -223,14 +238,13 @@ def fit(labelled: DataFrame) -> Model:
     strength = sum((F.col("odds") >= x).cast("int") for x in STEPS)
     field = Field(np.zeros((4, STRENGTHS)), 0.0, np.zeros((2, 2)), np.zeros(4))
     model = Model(checkpoint(entries.select("entry", strength.alias("strength"))), field)
-    small = labelled.where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = [r for x in (0, 1) for r in small.where(F.col("toxic") == x).orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE).select("text", "toxic").collect()]
-    y = np.array([r.toxic for r in rows], float)
-    if not n_toxic or not n_other or y.min(initial=1) == y.max(initial=0):
+    if not n_toxic or not n_other:
         share = min(max((n_toxic + 0.5) / (n_toxic + n_other + 1), 0.01), 0.99)
         field.logistic[0] = np.log(share / (1 - share))
         return model
-    texts = [r.text.encode() for r in rows]
+    rows = [(t, x) for x in (0, 1) for t in sample(labelled.where(F.col("toxic") == x))]
+    y = np.array([x for _, x in rows], float)
+    texts = [t.encode() for t, _ in rows]
     # of the lexicon only what the sample's own words hold comes to the driver
     own = labelled.sparkSession.createDataFrame(pa.table({"entry": pa.array(entries_of(texts), pa.binary())}))
     strength = {bytes(r.entry): r.strength for r in own.join(model.lexicon, "entry").collect()}
