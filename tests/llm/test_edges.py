@@ -200,6 +200,14 @@ def test_shards(spark):
     assert sorted(spread.values()) == [12] * 4 + [13] * 4
 
 
+def test_shards_go_on_while_fewer_links_are_cut(spark, monkeypatch):
+    cuts = iter([9, 7, 5, 4, 3, 2, 2])
+    moves = []
+    monkeypatch.setattr(shards, "cut", lambda now: next(cuts))
+    monkeypatch.setattr(shards, "move", lambda now, room: moves.append(1) or now)
+    assert shards.sharded(docs(spark), 5).count() == len(TEXTS) and len(moves) == 6
+
+
 # 5
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.common import checkpoint, ranked, table
 
-SHARDS, ROUNDS = 40, 3
+SHARDS = 40
 
 
 def quotas(n: int, shards: int) -> list[int]:
@@ -56,7 +56,7 @@ def move(docs: DataFrame, room: list[int]) -> DataFrame:
     return checkpoint(claims.where("in").withColumn("shard", F.col("to")).select(*own).unionAll(rest))
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Deal all rows of ``docs`` (doc_id, text) into ``shards``, counts at most one apart, equal texts together as far as that allows.
 
     Returns doc_id, size (UTF-8 bytes + 16; null text: 16), text_crc32, shard and slot (0, 1, ... within the shard, in order of
@@ -75,14 +75,12 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     now = ranked(rows, [], ["doc_id", "g", "k"], "start").withColumn("shard", (F.col("start") % shards).cast("int")).drop("start")
     now = checkpoint(now)
     best = cut(now)
-    for _ in range(rounds):
+    while best:  # each round that counts cuts fewer links
         then = move(now, room)
         after = cut(then)
         if after >= best:
             break
         now, best = then, after
-        if not best:
-            break
     out = ranked(now, ["shard"], ["g", "k", "doc_id"], "slot")
     return out.select("doc_id", "size", "text_crc32", "shard", "slot")
 
