@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -298,6 +299,69 @@ def test_chains_and_crowds_of_copies_join(spark):
     assert {of[d] for d in range(60)} == {0} and all(of[1000 + d] == 1000 + d for d in range(40))
 
 
+def qualifying(texts):
+    """Pairs of texts whose similarity is 0.8 or more, by full tables; a bound on common shingles spares hopeless ones."""
+    word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = [word.findall((t or "").encode().translate(near.FOLD)) for _, t in texts]
+    runs = [[tuple(w[k : k + min(5, len(w))]) for k in range(max(len(w) - 4, 1))] if w else [] for w in split]
+    bags = [Counter(r) for r in runs]
+    out = []
+    for i, a in enumerate(runs):
+        for j in range(i):
+            b = runs[j]
+            need = 4 * (len(a) + len(b))
+            if a and b and 9 * min(len(a), len(b)) >= need and 9 * (bags[i] & bags[j]).total() >= need and 9 * lcs(a, b) >= need:
+                out.append((texts[j][0], texts[i][0]))
+    return out
+
+
+def test_near_duplicates_recall(spark, monkeypatch):
+    """All pairs by brute force: of 40 texts in six versions each, with ever more words changed, moved or dropped; and of the ids
+    divisible by 50 against all of a given table."""
+    rng = random.Random(11)
+    data = []
+    for d in range(40):
+        base = [f"{rng.choice('abcdefgh')}{rng.randrange(500)}" for _ in range(rng.choice([8, 30, 120, 300]))]
+        data.append((10 * d, " ".join(base)))
+        for k in range(1, 6):
+            w = list(base)
+            for _ in range(max(1, len(w) * k // 250)):
+                at = rng.randrange(len(w))
+                w[at : at + 1] = rng.choice([[], [f"z{d}y{rng.randrange(9999)}"], [w[at], "and"]])
+            data.append((10 * d + k, " ".join(w)))
+    want = qualifying(data)
+    for block in (near.BLOCK, 400):  # buckets in one block, and in several
+        monkeypatch.setattr(near, "BLOCK", block)
+        of = {r.doc_id: r.class_id for r in near.classes(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+        found = sum(of[a] == of[b] for a, b in want)
+        assert len(want) > 100 and found >= 0.99 * len(want)
+        joined = {d: d for d in of}  # nothing is joined but over qualifying pairs
+        for a, b in want:
+            x, y = joined[a], joined[b]
+            joined = {d: min(x, y) if c in (x, y) else c for d, c in joined.items()}
+        assert all(joined[c] == joined[d] for d, c in of.items())
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    of = {r.doc_id: r.class_id for r in near.classes(docs).collect()}
+    pairs = qualifying([(r.doc_id, r.text) for r in docs.collect()])
+    queries = [(a, b) for a, b in pairs if a % 50 == 0 or b % 50 == 0]
+    assert sum(of[a] == of[b] for a, b in queries) >= 0.9 * len(queries) and sum(of[a] == of[b] for a, b in pairs) >= 0.99 * len(pairs)
+
+
+def test_alignment_of_long_repetitive_texts():
+    a = np.tile(np.array([3, 9], np.uint64), 40_000)
+    b = np.r_[a[:30_000], np.array([5, 6, 7], np.uint64), a[30_001:]]
+    start = time.time()
+    assert near.aligned(a, b) and not near.aligned(a, np.r_[b[:60_000], np.full(30_000, 3, np.uint64)])
+    assert time.time() - start < 60
+
+
+def test_near_duplicates_of_other_ids(spark):
+    rows_ = [("x", "one two three four five six", 1), ("y", "one two three four five six", 2), (None, "seven eight nine", 3), (None, None, 4), ("z", "", 5), ("y", "one two three four five six", 2)]
+    df = spark.createDataFrame(rows_, "doc_id string, text string, key int")
+    assert Counter(r.class_id for r in near.classes(df).collect()) == {"x": 3, None: 1, "z": 2}
+    assert Counter(map(tuple, near.deduped(df).collect())) == Counter([("x", "one two three four five six", 1), (None, "seven eight nine", 3), ("z", "", 5)])
+
+
 # 8
 
 
