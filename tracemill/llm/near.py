@@ -387,7 +387,8 @@ def _classified(docs: DataFrame) -> DataFrame:
     named = named.join(first, "label").select("key", "class_id", "n_texts", (F.col("key") == F.col("first")).alias("first"))
     named = texts.select("key", "rep").join(named, "key", "left")
     class_id = F.when(F.col("n_texts").isNull(), F.col("rep")).otherwise(F.col("class_id"))
-    named = named.select("key", "rep", class_id.alias("class_id"), F.coalesce("n_texts", F.lit(1)).alias("n_texts"), F.coalesce("first", F.lit(True)).alias("first"))
+    # written, so that both sides of the last join are dealt by key, and a text with a large share of the rows is split
+    named = checkpoint(named.select("key", "rep", class_id.alias("class_id"), F.coalesce("n_texts", F.lit(1)).alias("n_texts"), F.coalesce("first", F.lit(True)).alias("first")))
     stays = F.col("first") & F.col("doc_id").eqNullSafe(F.col("rep"))
     return rows.select("doc_id", "key").join(named, "key").select("doc_id", "key", "class_id", "n_texts", stays.alias("stays"))
 
