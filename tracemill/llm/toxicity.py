@@ -1,11 +1,12 @@
 """Toxicity: a linear-chain conditional random field tags toxic tokens; its marginals make document scores and offending offsets.
 
-1. Over all labelled training documents, Spark counts in how many toxic and other documents each word and each word beginning (four
-   bytes) stands. Those that stand in a fixed number of toxic documents and are several times likelier there are the lexicon. It grows with
-   the corpus and stays a distributed table: blocks of texts are joined with the entries among their own distinct words.
-2. On a bounded sample of labelled documents, tokens get labels: a word of the lexicon in a toxic document is toxic, any token of another
-   document is not. The field is fitted to them by its conditional likelihood. Its features are the lexicon strengths of the word, its
-   beginning and its two neighbours, with words hidden at random so that beginnings count for words that training has not seen.
+1. Over all labelled training documents, Spark counts in how many toxic and other documents each word and each word's beginning and ending
+   (four and three bytes) stands. Those that stand in a fixed number of toxic documents and are several times likelier there are the lexicon. It
+   grows with the corpus and stays a distributed table: blocks of texts are joined with the entries among their own distinct words.
+2. A token's observations are the strengths of its word, beginning and ending, those of its two neighbours, and its shape (case, digits, other
+   scripts, length). On a bounded sample of labelled documents the field is fitted to what document labels say about tokens: none of a clean document is
+   toxic, and at least one of a toxic document is. Its gradient spreads each toxic label over the document's tokens by expectation, the
+   marginals given that not all tokens are clean; words' own strengths are hidden at random, so that the rest counts for unseen words.
 3. Every text is tagged by forward-backward; a logistic function of the marginals (their sum, their share, the greatest) gives
    the document's probability, and runs of marginals over one half are the offending spans.
 """
@@ -30,7 +31,9 @@ from tracemill.llm.decontaminate import FOLD, WORD
 #: Least number of toxic documents in which a lexicon entry stands, at any size of the corpus; least log odds.
 LEAST_DOCS, LEAST_ODDS = 5, 2.0
 STEPS = (2.0, 3.5, 5.0)  # of log odds: an entry's strength is the number of steps it reaches
-BEGINNING, STRENGTHS = 4, 4
+BEGINNING, ENDING, STRENGTHS = 4, 3, 4
+#: Values of each observation: strengths of word, beginning, ending, word before and word after; shape; length.
+VALUES = (STRENGTHS,) * 5 + (6, 4)
 #: The labelled sample that field and logistic function are fitted to: documents of each label, and their characters together.
 SAMPLE, SAMPLE_CHARS = 500, 1_500_000
 PREDICT = 0.3
@@ -42,13 +45,14 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-def beginning(word: bytes) -> bytes:
-    return b"^" + word[:BEGINNING]
+def parts(word: bytes) -> tuple[bytes, bytes]:
+    """Entries for a word's beginning and its ending."""
+    return b"^" + word[:BEGINNING], b"$" + word[-ENDING:]
 
 
 @dataclass
 class Field:
-    emission: np.ndarray  # [4 features, strengths]: ln odds that a feature's value adds for the toxic tag
+    emission: list[np.ndarray]  # for each observation, the ln odds that its values add for the toxic tag
     bias: float
     switch: np.ndarray  # ln potentials of tag pairs [from, to]
     logistic: np.ndarray  # for 1, ln(1 + sum), share, greatest
@@ -91,14 +95,30 @@ def products(m: np.ndarray) -> np.ndarray:
     return out.reshape(-1, 2)[:n]
 
 
-def features(strength: list[int], begin: list[int], first: np.ndarray) -> np.ndarray:
-    """[tokens, 4]: strengths of the word, its beginning, the word before and the word after (0 beyond the text)."""
-    w, b = np.array(strength, np.int64), np.array(begin, np.int64)
-    f = np.zeros((len(w), 4), np.int64)
-    f[:, 0], f[:, 1] = w, b
+def shapes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of every token: its shape (lower case, one capital first, capitals only, with digits, with bytes beyond ASCII, other), and its length
+    (up to 3, 6, 10 or more bytes)."""
+    joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    inside = np.frombuffer(FOLD, np.uint8)[joined] != 32
+    edges = np.flatnonzero(np.r_[inside[0], inside[1:] != inside[:-1]])
+    start, length = edges[::2], np.diff(edges)[::2]
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    upper, digit, beyond = (joined >= 65) & (joined <= 90), (joined >= 48) & (joined <= 57), joined >= 128
+    # the bytes between words are neither upper case, digits nor beyond ASCII
+    n_upper, n_digit, n_beyond = (np.add.reduceat(x, start, dtype=np.int64) for x in (upper, digit, beyond))
+    shape = np.select([n_digit > 0, n_beyond > 0, n_upper == 0, (n_upper == 1) & upper[start], n_upper == length], [3, 4, 0, 1, 2], 5)
+    return shape, np.searchsorted([4, 7, 11], length, side="right")
+
+
+def features(strength: list[int], begin: list[int], end: list[int], first: np.ndarray, shape: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """[tokens, observations]: see ``VALUES``; 0 beyond the text."""
+    w, b, e = (np.array(x, np.int64) for x in (strength, begin, end))
+    f = np.zeros((len(w), len(VALUES)), np.int64)
+    f[:, 0], f[:, 1], f[:, 2], f[:, 5], f[:, 6] = w, b, e, shape, size
     both = np.maximum(w, b)
-    f[1:, 2] = np.where(first[1:], 0, both[:-1])
-    f[:-1, 3] = np.where(first[1:], 0, both[1:])
+    f[1:, 3] = np.where(first[1:], 0, both[:-1])
+    f[:-1, 4] = np.where(first[1:], 0, both[1:])
     return f
 
 
@@ -126,25 +146,44 @@ def forward_backward(score: np.ndarray, switch: np.ndarray, first: np.ndarray) -
     return p[:, 1], pairs
 
 
-def fit_field(f: np.ndarray, tags: np.ndarray, first: np.ndarray, rounds: int = 40, rate: float = 0.4) -> tuple[np.ndarray, float, np.ndarray]:
-    """Maximise the conditional likelihood of the tags, with a small ridge, by Adam."""
-    theta = np.zeros(4 * STRENGTHS + 1 + 4)
-    want = np.zeros_like(theta)
-    n = len(tags)
-    for k in range(4):
-        want[k * STRENGTHS : (k + 1) * STRENGTHS] = np.bincount(f[:, k], tags, STRENGTHS)
-    want[4 * STRENGTHS] = tags.sum()
-    inner = ~first[1:]
-    want[-4:] = np.bincount((2 * tags[:-1] + tags[1:])[inner].astype(int), minlength=4)
+def clamped(p: np.ndarray, pairs: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of tokens and pairs given the documents' labels (``toxic``: of each token's document): no toxic token in a clean one, at
+    least one in a toxic one.
+
+    All tokens are clean with the probability P0 of one path, a product of steps along the chain. Given that they are not, whatever holds a
+    toxic token is 1 / (1 - P0) times as likely.
+    """
+    clean = np.maximum(1 - p, 1e-300)
+    step = np.log(clean)
+    step[1:] = np.where(first[1:], step[1:], np.log(np.maximum(pairs[1:, 0, 0], 1e-300)) - step[:-1])
+    at = np.flatnonzero(first)
+    size = np.diff(np.r_[at, len(p)])
+    none = np.repeat(np.exp(np.minimum(np.add.reduceat(step, at), -1e-9)) if len(at) else np.zeros(0), size)
+    some = np.where(toxic, 1 / (1 - none), 0.0)
+    out = pairs * some[:, None, None]
+    out[:, 0, 0] = np.where(toxic, (pairs[:, 0, 0] - none) * some, 1)
+    out[first] = 0
+    return np.minimum(p * some, 1), np.maximum(out, 0)
+
+
+def fit_field(f: np.ndarray, toxic: np.ndarray, first: np.ndarray, rounds: int = 60, rate: float = 0.3) -> tuple[list[np.ndarray], float, np.ndarray]:
+    """Maximise the likelihood of the documents' labels, with a small ridge, by Adam; it starts where strong words are toxic."""
+    cuts = np.cumsum(VALUES)
+    theta = np.zeros(cuts[-1] + 1 + 4)
+    theta[:STRENGTHS], theta[cuts[-1]] = 2.0 * np.arange(STRENGTHS), -5.0
+    n = len(f)
+
+    def expected(p: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(f[:, k], p, v) for k, v in enumerate(VALUES)] + [[p.sum()], pairs.sum(axis=0).ravel()])
+
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
-        emission, bias, switch = theta[: 4 * STRENGTHS].reshape(4, -1), theta[4 * STRENGTHS], theta[-4:].reshape(2, 2)
-        p, pairs = forward_backward(bias + sum(emission[k][f[:, k]] for k in range(4)), switch, first)
-        got = np.concatenate([np.bincount(f[:, k], p, STRENGTHS) for k in range(4)] + [[p.sum()], pairs.sum(axis=0).ravel()])
-        g = (want - got) / max(n, 1) * 100 - 1e-4 * theta
+        emission, bias, switch = np.split(theta[: cuts[-1]], cuts[:-1]), theta[cuts[-1]], theta[-4:].reshape(2, 2)
+        p, pairs = forward_backward(bias + sum(e[f[:, k]] for k, e in enumerate(emission)), switch, first)
+        g = (expected(*clamped(p, pairs, first, toxic)) - expected(p, pairs)) / max(n, 1) * 100 - 1e-4 * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return theta[: 4 * STRENGTHS].reshape(4, -1), float(theta[4 * STRENGTHS]), theta[-4:].reshape(2, 2)
+    return np.split(theta[: cuts[-1]], cuts[:-1]), float(theta[cuts[-1]]), theta[-4:].reshape(2, 2)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -164,19 +203,20 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 def tagged(texts: list[bytes], strength: dict[bytes, int], hide: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of all tokens, tokens of each text, and which tokens are first. ``hide``: drop half the words' strengths."""
     get = strength.get
-    parts = [words(t) for t in texts]
-    n = np.fromiter(map(len, parts), np.int64, len(parts))
+    split = [words(t) for t in texts]
+    n = np.fromiter(map(len, split), np.int64, len(split))
     first = np.zeros(int(n.sum()), bool)
     first[(np.cumsum(n) - n)[n > 0]] = True
-    w = [get(x, 0) for p in parts for x in p]
-    b = [get(beginning(x), 0) for p in parts for x in p]
+    w = [get(x, 0) for p in split for x in p]
+    b = [get(b"^" + x[:BEGINNING], 0) for p in split for x in p]
+    e = [get(b"$" + x[-ENDING:], 0) for p in split for x in p]
     if hide is not None:
         w = (np.array(w, np.int64) * (hide.random(len(w)) < 0.5)).tolist()
-    return features(w, b, first), n, first
+    return features(w, b, e, first, *shapes(texts)), n, first
 
 
 def marginals(f: np.ndarray, first: np.ndarray, field: Field) -> np.ndarray:
-    return forward_backward(field.bias + sum(field.emission[k][f[:, k]] for k in range(4)), field.switch, first)[0]
+    return forward_backward(field.bias + sum(e[f[:, k]] for k, e in enumerate(field.emission)), field.switch, first)[0]
 
 
 def summaries(p: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -192,11 +232,11 @@ def summaries(p: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def entries_of(texts: list[bytes]) -> list[bytes]:
-    """The distinct words and beginnings of texts."""
+    """The distinct words of texts, their beginnings and endings."""
     own: set[bytes] = set()
     for t in texts:
         own.update(words(t))
-    return list(own | {beginning(w) for w in own})
+    return list(own.union(*map(parts, own)))
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +246,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, x in zip(texts, toxic, strict=True):
             own = set(words(t))
             counts[x].update(own)
-            counts[x].update({beginning(w) for w in own})
+            counts[x].update(set().union(*map(parts, own)))
         names = list(counts[0] | counts[1])
         for lo in range(0, len(names), 1 << 16):
             part = names[lo : lo + (1 << 16)]
@@ -236,7 +276,7 @@ def fit(labelled: DataFrame) -> Model:
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("other") + 0.5) / (n_other + 1))
     entries = counts.withColumn("odds", odds).where((F.col("toxic") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS))
     strength = sum((F.col("odds") >= x).cast("int") for x in STEPS)
-    field = Field(np.zeros((4, STRENGTHS)), 0.0, np.zeros((2, 2)), np.zeros(4))
+    field = Field([np.zeros(v) for v in VALUES], 0.0, np.zeros((2, 2)), np.zeros(4))
     model = Model(checkpoint(entries.select("entry", strength.alias("strength"))), field)
     if not n_toxic or not n_other:
         share = min(max((n_toxic + 0.5) / (n_toxic + n_other + 1), 0.01), 0.99)
@@ -249,11 +289,9 @@ def fit(labelled: DataFrame) -> Model:
     own = labelled.sparkSession.createDataFrame(pa.table({"entry": pa.array(entries_of(texts), pa.binary())}))
     strength = {bytes(r.entry): r.strength for r in own.join(model.lexicon, "entry").collect()}
     f, n, first = tagged(texts, strength)
-    strong = (f[:, 0] >= 2).astype(float)
-    tags = strong * np.repeat(y, n)
     hidden, _, _ = tagged(texts, strength, np.random.default_rng(1))
-    f2, tags2, first2 = np.concatenate([f, hidden]), np.concatenate([tags, tags]), np.concatenate([first, first])
-    field.emission, field.bias, field.switch = fit_field(f2, tags2, first2)
+    toxic = np.repeat(y == 1, n)
+    field.emission, field.bias, field.switch = fit_field(np.concatenate([f, hidden]), np.concatenate([toxic, toxic]), np.concatenate([first, first]))
     weight = np.where(y == 1, n_toxic / y.sum(), n_other / (1 - y).sum())
     field.logistic = fit_logistic(summaries(marginals(f, first, field), n), y, weight / weight.mean())
     return model
