@@ -106,6 +106,31 @@ def test_marginals_equal_enumeration():
         z = sum(weight.values())
         assert np.allclose(got[lo:hi], [sum(w for y, w in weight.items() if y[k]) / z for k in range(hi - lo)])
         assert np.isclose(pairs[lo + 1, 0, 1], sum(w for y, w in weight.items() if (y[0], y[1]) == (0, 1)) / z)
+        # given that some token is toxic, as of a toxic document; given that none is, as of another
+        some = {y: w for y, w in weight.items() if any(y)}
+        p, steps = toxicity.clamped(got, pairs, first, np.arange(7) < 4)
+        for k in range(hi - lo):
+            assert np.isclose(p[lo + k], lo == 0 and sum(w for y, w in some.items() if y[k]) / sum(some.values()))
+            for a, b in np.ndindex(2, 2) if k else ():
+                want = sum(w for y, w in some.items() if (y[k - 1], y[k]) == (a, b)) / sum(some.values()) if lo == 0 else a == b == 0
+                assert np.isclose(steps[lo + k, a, b], want)
+
+
+def test_shapes_of_tokens():
+    shape, size = toxicity.shapes([b"Big UPPER low x9", b"", "été mIx I".encode()])
+    assert shape.tolist() == [1, 2, 0, 3, 4, 5, 1] and size.tolist() == [0, 1, 0, 0, 1, 0, 0] and len(toxicity.shapes([b"", b" "])[0]) == 0
+
+
+def test_toxicity_of_held_out_documents(spark):
+    out = toxicity.op1_crf_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("toxic is not null"), "doc_id")
+    rows_ = out.where("held_out").select("score", "predicted", "toxic", "spans").collect()
+    toxic, clean = [r.score for r in rows_ if r.toxic], [r.score for r in rows_ if not r.toxic]
+    auc = sum((a > b) + (a == b) / 2 for a in toxic for b in clean) / (len(toxic) * len(clean))
+    missed, flagged = sum(not r.predicted for r in rows_ if r.toxic), sum(r.predicted for r in rows_ if not r.toxic)
+    print(f"held out: AUC {auc:.3f}, {missed} of {len(toxic)} toxic missed, {flagged} of {len(clean)} clean flagged, {len({r.score for r in rows_})} scores")
+    assert auc >= 0.94 and missed <= 0.15 * len(toxic) and flagged <= 0.02 * len(clean)
+    tagged = [bool(r.spans) for r in rows_ if r.predicted and r.toxic]
+    assert sum(tagged) >= 0.9 * len(tagged)
 
 
 # 2 and 7
@@ -466,14 +491,35 @@ def test_quality(spark):
     of = {r.doc_id: r for r in out}
     assert not of[100].kept and of[100].n_words == 0 and of[112].n_repeat_words == 200 and of[112].base_failed and not of[113].kept
     assert all(of[d].kept for d in range(12)) and of[108].kept
-    assert quality.filtered(docs(spark)).columns == docs(spark).drop("n_words", "kept").columns
+    kept = quality.filtered(docs(spark))
+    assert kept.columns == docs(spark).columns and all((r.n_words, r.kept, r.score) == (7, "x", 1.5) for r in kept.collect())
     assert quality.judged(empty(spark)).count() == 0
 
 
+def test_fences_follow_the_spread_of_each_source(spark):
+    rng = random.Random(4)
+    data = []
+    for d in range(1200):
+        wide = d % 2  # a source of long and short words, and one of even words
+        size = [rng.randint(3, 9) if wide else rng.choice([5, 5, 6]) for _ in range(60)]
+        data.append((d, " ".join("".join(rng.choice("abcdef") for _ in range(n + (d % 5 if wide else 0))) for n in size), "en", f"src{wide}"))
+    data += [(2000 + k, " ".join("abcdefgh" + "ijkl"[k] * 4 + str(x) for x in range(60)), "en", f"src{k % 2}") for k in range(4)]  # words of 13 letters
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    fence = {r.source: r.most_word_length for r in quality.thresholds(quality.rates(df)).collect()}
+    values = {x: sorted(len(t.replace(" ", "")) * 100 // 60 for _, t, _, s in data if s == x) for x in ("src0", "src1")}
+    floor = lambda v: v >> max(v.bit_length() - 6, 0) << max(v.bit_length() - 6, 0)
+    at = lambda v, p: floor(v[-(-len(v) * p // 100) - 1])
+    for x, v in values.items():
+        assert fence[x] == at(v, 50) + max(quality.REACH * (at(v, 75) - at(v, 50)), quality.GUARD["word_length"])
+    assert fence["src1"] > 2 * fence["src0"]
+    out = {r.doc_id: r.kept for r in quality.judged(df).collect()}
+    assert all(out[d] for d in range(1200)) and not out[2000] and not out[2002] and out[2001] and out[2003]
+
+
 def test_sketches_merge_exactly(spark):
     df = quality.rates(docs(spark))
-    whole = quality.sketches(df, list(quality.SLACK)).collect()
-    parts = quality.sketches(df.where("lang = 'en'"), list(quality.SLACK)).unionAll(quality.sketches(df.where("lang is null or lang <> 'en'"), list(quality.SLACK)))
+    whole = quality.sketches(df, list(quality.GUARD)).collect()
+    parts = quality.sketches(df.where("lang = 'en'"), list(quality.GUARD)).unionAll(quality.sketches(df.where("lang is null or lang <> 'en'"), list(quality.GUARD)))
     assert Counter(map(tuple, whole)) == Counter(map(tuple, parts.collect()))
     for v in (0, 5, 63, 64, 1000, 123456):
         b = spark.sql(f"select shiftleft(shiftright({v}L, greatest(length(bin({v}L)) - 6, 0)), greatest(length(bin({v}L)) - 6, 0)) b").first().b

@@ -39,21 +39,21 @@ _WS = r"[^\x20\x09-\x0D]"
 
 
 def _op10() -> str:
-    from tracemill.llm.quality import LEAST_DOCS, REACH, SLACK
+    from tracemill.llm.quality import GUARD, LEAST_DOCS, MARKS, REACH
 
-    slack = " ".join(f"when '{k}' then {v}" for k, v in SLACK.items())
+    guard = " ".join(f"when '{k}' then {v}" for k, v in GUARD.items())
 
     def fences(name: str, keys: str) -> str:
         by = f"{keys}, rate" if keys else "rate"
-        pick = ", ".join(f"max(fence) filter (where rate = '{r}') as most_{r}" for r in SLACK)
+        pick = ", ".join(f"max(fence) filter (where rate = '{r}') as most_{r}" for r in GUARD)
         return f"""{name} as (select {keys + ',' if keys else ''} max(docs) as docs, {pick} from (
   select {by}, docs, min(bucket) filter (where 100 * below >= 50 * docs) as q50, min(bucket) filter (where 100 * below >= 75 * docs) as q75,
-    q50 + greatest({REACH} * (q75 - q50), case rate {slack} end) as fence from (
+    q50 + greatest({REACH} * (q75 - q50), case rate {guard} end) as fence from (
     select {by}, bucket, sum(n) over (partition by {by} order by bucket) as below, sum(n) over (partition by {by}) as docs
     from (select {by}, bucket, count(*) as n from sk group by {by}, bucket)) group by {by}, docs){' group by ' + keys if keys else ''})"""
 
-    held = " and ".join(f"coalesce({r} <= case when a.docs >= {LEAST_DOCS} then a.most_{r} when l.docs >= {LEAST_DOCS} then l.most_{r} else g.most_{r} end, true)" for r in SLACK)
-    long = " union all ".join(f"select lang, source, '{r}' as rate, {r} as v from r" for r in SLACK)
+    held = " and ".join(f"coalesce({r} <= case when a.docs >= {LEAST_DOCS} then a.most_{r} when l.docs >= {LEAST_DOCS} then l.most_{r} else g.most_{r} end, true)" for r in GUARD)
+    long = " union all ".join(f"select lang, source, '{r}' as rate, {r} as v from r" for r in GUARD)
     return rf"""
 with t as (select doc_id, lang, source, coalesce(text, '') as text from documents),
 f as (select *, regexp_extract_all(text, '{_WS}+') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WS}')) as ln from t),
@@ -61,9 +61,10 @@ win as (select doc_id, s, list_aggregate(w[s:s + 7], 'string_agg', ' ') as x fro
 rep as (select doc_id, count(*) as k from (select distinct doc_id, unnest(range(s, s + 8)) from
   (select doc_id, s, count(*) over (partition by doc_id, x) as c from win) where c > 1) group by doc_id),
 c as (select doc_id, lang, source, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
-  len(ln) - len(list_distinct(ln)) as n_dup_lines, coalesce(k, 0) as n_repeat_words, len(ln) as n_lines, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) as n_capitals
+  len(ln) - len(list_distinct(ln)) as n_dup_lines, coalesce(k, 0) as n_repeat_words, len(ln) as n_lines, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) as n_capitals,
+  length(text) - length(translate(text, '{MARKS.replace("'", "''")}', '')) as n_marks
   from f left join rep using (doc_id)),
-r as (select *, case when word_chars > 0 then 10000 * n_symbols // word_chars end as symbol_rate, case when n_lines > 0 then 10000 * n_dup_lines // n_lines end as dup_line_rate,
+r as (select *, case when word_chars > 0 then 10000 * n_marks // word_chars end as mark_rate, case when n_lines > 0 then 10000 * n_dup_lines // n_lines end as dup_line_rate,
   case when word_chars > 0 then 10000 * n_capitals // word_chars end as capital_rate, case when n_words > 0 then 100 * word_chars // n_words end as word_length,
   n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from c),
 sk as (select lang, source, rate, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) as bucket from ({long}) where v is not null),
