@@ -3,7 +3,7 @@
 import pytest
 from oracle import duck, same
 
-from tracemill.operators import aggregates, decode, domains
+from tracemill.operators import decode, domains
 from tracemill.plans import adapters, catalog
 
 SF = "/root/testdata/sf0.001"
@@ -48,8 +48,7 @@ def test_placed_probes_keep_their_distance(spark):
 
 
 def test_domains_tile_each_copy(spark):
-    pairs = aggregates.pair_distances(adapters.traces(spark, SF), ["copy"], "region")
     by = {}
-    for r in domains.called(pairs, ["copy"]).collect():
+    for r in domains.called(adapters.traces(spark, SF), ["copy"]).collect():
         by.setdefault(r.copy, []).append((r.start, r.end))
     assert by and all(x == 0 if k == 0 else x == sorted(v)[k - 1][1] for v in by.values() for k, (x, _) in enumerate(sorted(v)))

@@ -19,8 +19,18 @@ def gc(s: Column) -> Column:
     return F.length(F.regexp_replace(s, "[^GCgc]", "")) / F.length(s)
 
 
+def tiles(s: Column, k: int, size: int = 128) -> Column:
+    """The text in pieces of ``size`` bases, each with the first k - 1 of the next: every window of k begins in one of them."""
+    size = max(size, 2 * k)
+    cut = F.regexp_extract_all(s, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    # the array of one binds the pieces, so that they are cut once
+    return F.transform(F.array(cut), lambda c: F.transform(c, lambda t, i: F.concat(t, F.substring(F.coalesce(F.get(c, i + 1), F.lit("")), 1, k - 1))))[0]
+
+
 def kmers(s: Column, k: int) -> Column:
-    return F.when(F.length(s) >= k, F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All windows of k bases, in order. Cut from short pieces, as a substring is found by counting from a text's start."""
+    own = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - k + 1), lambda i: F.substring(t, i, F.lit(k)))
+    return F.flatten(F.transform(F.filter(tiles(s, k), lambda t: F.length(t) >= k), own))
 
 
 def valid(s: Column) -> Column:
@@ -76,3 +86,55 @@ def swapped(probe: Column, start: int, part: Column) -> Column:
     """The probe with ``part`` in place of as many bases from ``start`` (1-based; negative counts from the end)."""
     at = F.lit(start) if start > 0 else F.length(probe) + start + 1
     return F.concat(F.substring(probe, F.lit(1), at - 1), part, F.substring(probe, at + F.length(part), F.length(probe)))
+
+
+def base5(s: Column, reverse: bool = False) -> Column:
+    """The first 27 bases as digits of base 5, the first lowest: anything else 0, A 1, C 2, G 3, T 4; ``reverse``: of the complement, backwards, where
+    anything else is 4."""
+    code = F.translate(F.regexp_replace(F.upper(s), "[^ACGT]", "N"), "NACGT", "01234")
+    digits = F.split(F.reverse(F.translate(code, "01234", "43210")) if reverse else code, "")
+    whole = F.filter(digits, lambda x: x != "")
+    return F.aggregate(F.reverse(whole), F.lit(0).cast("long"), lambda a, x: a * 5 + x.cast("long"))
+
+
+def lower_runs(s: Column) -> Column:
+    """The runs of lower-case bases, such as targets between upper-case handles."""
+    return F.regexp_extract_all(s, F.lit("[a-z]+"), F.lit(0))
+
+
+def masked(s: Column, mask: str = "N") -> Column:
+    """Soft-masked (lower-case) bases as ``mask``."""
+    return F.regexp_replace(s, "[acgtn]", mask)
+
+
+def unmasked_parts(s: Column) -> Column:
+    """The stretches between masked bases (n or N)."""
+    return F.filter(F.split(s, "[nN]+"), lambda x: x != "")
+
+
+def padded(s: Column, length: Column, pad: str, left: int = 5) -> Column:
+    """Fill up to ``length`` from ``pad``: up to ``left`` of its first bases in front, the others of its last bases behind, in the other case than
+    the end that they touch."""
+    missing = F.greatest(length - F.length(s), F.lit(0))
+    front = F.least(F.lit(left), missing)
+    back = missing - front
+    case = lambda part, end: F.when(end == F.lower(end), F.upper(part)).otherwise(F.lower(part))
+    head, tail = F.substring(F.lit(pad), F.lit(1), front), F.substring(F.lit(pad), F.lit(len(pad) + 1) - back, back)
+    return F.concat(F.when(front > 0, case(head, F.substring(s, 1, 1))).otherwise(""), s, F.when(back > 0, case(tail, F.substring(s, -1, 1))).otherwise(""))
+
+
+def up_down(s: Column, n: int) -> Column:
+    """The first and the last n bases."""
+    return F.struct(F.substring(s, 1, n).alias("up"), F.substring(s, -n, n).alias("down"))
+
+
+def probe_name(region: Column, gene: Column, number: Column, start: Column) -> Column:
+    return F.concat(F.lit("reg_"), region, F.lit("_gene_"), gene, F.lit("_pb_"), number.cast("string"), F.lit("_pos_"), start.cast("string"))
+
+
+def parsed_name(name: Column) -> Column:
+    """The parts of a ``probe_name``; null numbers where a part is missing."""
+    part = lambda p: F.regexp_extract(name, p, 1)
+    return F.struct(
+        part("^reg_(.*?)_gene_").alias("region"), part("_gene_(.*?)_pb_").alias("gene"), part(r"_pb_(\d+)").try_cast("int").alias("number"), part(r"_pos_(\d+)").try_cast("long").alias("start")
+    )

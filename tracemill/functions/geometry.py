@@ -29,9 +29,9 @@ def moved(spots: DataFrame, degrees: float, centre: tuple[float, float], drift:
     return spots.withColumns({"z": F.col("z") - drift[0], "x": c * dx - s * dy + centre[0] - drift[1], "y": s * dx + c * dy + centre[1] - drift[2]})
 
 
-def monomials(order: int, centre: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> list[Column]:
-    """All products of up to ``order`` centred coordinates, by rising order, combinations with replacement."""
-    base = [F.col(c) - m for c, m in zip(AXES, centre, strict=True)]
+def monomials(order: int, centre: tuple[float, float, float] = (0.0, 0.0, 0.0), scale: float = 1.0) -> list[Column]:
+    """All products of up to ``order`` centred (and scaled) coordinates, by rising order, combinations with replacement."""
+    base = [(F.col(c) - m) / scale if scale != 1 else F.col(c) - m for c, m in zip(AXES, centre, strict=True)]
     out = []
     for n in range(order + 1):
         for combination in combinations_with_replacement(base, n):
@@ -56,7 +56,8 @@ def centred(df: DataFrame, keys: list[str], scale: bool = False) -> DataFrame:
 
 
 def normalised(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    return df.withColumn(value, F.col(value) / F.avg(value).over(Window.partitionBy(*keys)))
+    """Values over the mean of their keys, which an aggregate finds: a few keys (channels) do not put the table into as few tasks."""
+    return df.join(df.groupBy(*keys).agg(F.avg(value).alias("_mean")), keys).withColumn(value, F.col(value) / F.col("_mean")).select(*df.columns)
 
 
 def log_distance_score(d: Column, ref: float = 2000.0) -> Column:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.operators.joins import AXES, distance, radius_pairs
+from tracemill.operators.joins import AXES, distance, radius_join, radius_pairs
 
 
 def melted(codebook: DataFrame, bits: list[str]) -> DataFrame:
@@ -31,10 +31,13 @@ def invalid_pairs(codes: DataFrame) -> DataFrame:
 def candidate_pairs(spots: DataFrame, codes: DataFrame, radius: float, keys: list[str], uid: str = "uid") -> DataFrame:
     """Spot pairs within ``radius`` whose bits belong to a code: region, both spots, centre, distance, mean height, its
     coefficient of variation."""
-    # the pairs of bits are joined before distances are taken, as each spot's partners
-    pairs = radius_pairs(spots, radius, keys, uid)
-    lo, hi = F.least("l.bit", "r.bit"), F.greatest("l.bit", "r.bit")
-    pairs = pairs.withColumns({"bit_a": lo, "bit_b": hi}).join(valid_pairs(codes), ["bit_a", "bit_b"])
+    # a spot is listed with the bits that may join its own, so that spots meet by cell, bit and bucket: only valid pairs are measured
+    valid = valid_pairs(codes)
+    partners = valid.select(F.col("bit_a").alias("bit"), F.col("bit_b").alias("_need"), "region_id").unionAll(valid.select(F.col("bit_b").alias("bit"), F.col("bit_a").alias("_need"), "region_id"))
+    left = spots.join(F.broadcast(partners), "bit")  # a codebook's bit pairs
+    right = spots.withColumn("_need", F.col("bit"))
+    pairs = radius_join(left, right, radius, [*keys, "_need"], F.col(f"l.{uid}") < F.col(f"r.{uid}"))
+    pairs = pairs.withColumns({"bit_a": F.least("l.bit", "r.bit"), "bit_b": F.greatest("l.bit", "r.bit"), "region_id": F.col("l.region_id")})
     mean = (F.col("l.height") + F.col("r.height")) / 2
     return pairs.select(
         *[F.col(f"l.{k}").alias(k) for k in keys], "region_id", F.col(f"l.{uid}").alias("a"), F.col(f"r.{uid}").alias("b"), "bit_a", "bit_b", "distance",
@@ -53,6 +56,7 @@ def third_spots(pairs: DataFrame, spots: DataFrame, codes: DataFrame, radius: fl
 
 def scored(groups: DataFrame, keys: list[str], greater: list[str], less: list[str]) -> DataFrame:
     """Sum of ln shares: for metrics where more is better the share at or below, else the share at or above; nulls add 0."""
+    # a group is a cell's candidates
     score = F.lit(0.0)
     for metric in [*greater, *less]:
         by = Window.partitionBy(*keys, F.col(metric).isNull()).orderBy(F.col(metric) if metric in greater else F.col(metric).desc())
@@ -60,6 +64,9 @@ def scored(groups: DataFrame, keys: list[str], greater: list[str], less: list[st
     return groups.withColumn("score", score)
 
 
+DIGITS = 9  # of scores that are compared; beyond, engines' logarithms differ
+
+
 def greedy(pairs: DataFrame, keys: list[str], most: int = 1) -> DataFrame:
     """Take pairs by falling score (ties: lower a, then b) while each spot has been used less than ``most`` times.
 
@@ -68,7 +75,7 @@ def greedy(pairs: DataFrame, keys: list[str], most: int = 1) -> DataFrame:
     def take(df: pd.DataFrame) -> pd.DataFrame:
         used: dict[int, int] = {}
         rows = []
-        df = df.sort_values(["score", "a", "b"], ascending=[False, True, True], kind="stable")
+        df = df.assign(_s=df["score"].round(DIGITS)).sort_values(["_s", "a", "b"], ascending=[False, True, True], kind="stable").drop(columns="_s")
         for i, a, b in zip(df.index, df["a"], df["b"], strict=True):
             if used.get(a, 0) < most and used.get(b, 0) < most:
                 used[a] = used.get(a, 0) + 1
@@ -79,6 +86,47 @@ def greedy(pairs: DataFrame, keys: list[str], most: int = 1) -> DataFrame:
     return pairs.groupBy(*keys).applyInPandas(take, pairs.schema)
 
 
+def greedy_triples(pairs: DataFrame, thirds: DataFrame, keys: list[str], correct: bool = True) -> DataFrame:
+    """Complete codes of three bits: pairs by falling score (ties: lower a, then b) are extended by their best third spot that is still free
+    (nearest to the centre, then lowest), each spot used once; then, if errors of one bit are corrected, pairs whose spots are still free stand alone.
+
+    pairs: keys, region_id, a, b, score; thirds: keys, a, b, c, to_centre. Columns keys, region_id, a, b, c (null for pairs), score. A group is one cell."""
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = ", ".join([*[f"{k} {kind(pairs, k)}" for k in keys], f"region_id {kind(pairs, 'region_id')}", f"a {kind(pairs, 'a')}", f"b {kind(pairs, 'b')}", f"c {kind(thirds, 'c')}", "score double"])
+
+    def take(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        p = p.assign(_s=p["score"].round(DIGITS)).sort_values(["_s", "a", "b"], ascending=[False, True, True], kind="stable")
+        t = t.assign(_d=t["to_centre"].round(DIGITS)).sort_values(["_d", "c"], kind="stable")
+        third: dict[tuple, list] = {}
+        for a, b, c in zip(t["a"], t["b"], t["c"], strict=True):
+            third.setdefault((a, b), []).append(c)
+        used, rows = set(), []
+        for row in p.itertuples(index=False):
+            c = next((c for c in third.get((row.a, row.b), []) if c not in used), None) if row.a not in used and row.b not in used else None
+            if c is not None:
+                used |= {row.a, row.b, c}
+                rows.append((*[getattr(row, k) for k in keys], row.region_id, row.a, row.b, c, row.score))
+        for row in p.itertuples(index=False) if correct else ():
+            if row.a not in used and row.b not in used:
+                used |= {row.a, row.b}
+                rows.append((*[getattr(row, k) for k in keys], row.region_id, row.a, row.b, None, row.score))
+        out = pd.DataFrame(rows, columns=[*keys, "region_id", "a", "b", "c", "score"])
+        return out.astype({"c": "Int64"})
+
+    left, right = [*keys, "region_id", "a", "b", "score"], [*keys, "a", "b", "c", "to_centre"]
+    # columns of their own, as thirds are made from pairs
+    return pairs.select(*left).toDF(*left).groupBy(*keys).cogroup(thirds.select(*right).toDF(*right).groupBy(*keys)).applyInPandas(take, schema)
+
+
+def completed(spots: DataFrame, codes: DataFrame, radius: float, keys: list[str], uid: str = "uid") -> DataFrame:
+    """Every set of spots that carries all bits of a code of three, with each spot within ``radius`` of the centre of the other two: keys, region_id, a < b < c by bit."""
+    pairs = candidate_pairs(spots, codes, radius, keys, uid)
+    triples = third_spots(pairs, spots, codes, radius, keys, uid)
+    named = triples.select(*keys, "region_id", F.array_sort(F.array("a", "b", "c")).alias("s"))
+    whole = named.groupBy(*keys, "region_id", "s").agg(F.count(F.lit(1)).alias("n")).where("n = 3")
+    return whole.select(*keys, "region_id", *[F.get("s", F.lit(k)).alias(x) for k, x in enumerate("abc")])
+
+
 def unused(spots: DataFrame, groups: DataFrame, uid: str = "uid") -> DataFrame:
     """Spots that are in no group."""
     used = groups.select(F.explode(F.array("a", "b")).alias(uid)).distinct()

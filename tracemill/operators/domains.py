@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.operators.joins import AXES
+
 
 def find_peaks(x: np.ndarray, distance: int = 1, prominence: float = 0.0) -> np.ndarray:
     """Local maxima (middle of plateaus) at least ``distance`` apart, higher ones first, with at least ``prominence``."""
@@ -92,14 +94,81 @@ def gaussian(matrix: np.ndarray, sigma: float) -> np.ndarray:
 
 def call(matrix: np.ndarray, width: int = 4, distance: int = 3, prominence: float = 0.1, least_effect: float = 0.3) -> list[int]:
     """Domain starts: peaks of the sliding effect, then neighbours whose effect is too small are merged, weakest first."""
-    starts = [0, *find_peaks(sliding(filled(matrix), width), distance, prominence).tolist()]
+    return merged_starts(matrix, find_peaks(sliding(filled(matrix), width), distance, prominence).tolist(), least_effect)
+
+
+def distances(df: pd.DataFrame, order: str) -> np.ndarray:
+    """The distance matrix of one copy's points by their order; missing places are missing rows and columns."""
+    n = int(df[order].max()) + 1 if len(df) else 0
+    xyz = np.full((n, 3), np.nan)
+    xyz[df[order].to_numpy(int)] = df[list(AXES)].to_numpy(float)
+    out = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(2))
+    np.fill_diagonal(out, 0.0)
+    return out
+
+
+def per_copy(traces: DataFrame, copy: list[str], order: str, columns: str, run) -> DataFrame:
+    """Rows that ``run`` makes of each copy's distance matrix. The points of a copy are what is shuffled; the matrix is made in the kernel."""
+    schema = ", ".join([*[f"{c} {traces.schema[c].dataType.simpleString()}" for c in copy], columns])
+
+    def kernel(df: pd.DataFrame) -> pd.DataFrame:
+        out = run(distances(df, order))
+        for c in reversed(copy):
+            out.insert(0, c, df[c].iloc[0])
+        return out
+
+    return traces.select(*copy, order, *AXES).groupBy(*copy).applyInPandas(kernel, schema)
+
+
+def called(traces: DataFrame, copy: list[str], order: str = "region", width: int = 4, distance: int = 3, prominence: float = 0.1, least_effect: float = 0.3) -> DataFrame:
+    """Domains of each copy's points: domain number, start, end (exclusive)."""
+
+    def run(m: np.ndarray) -> pd.DataFrame:
+        starts = call(m, width, distance, prominence, least_effect)
+        return pd.DataFrame({"domain": range(len(starts)), "start": starts, "end": [*starts[1:], len(m)]})
+
+    return per_copy(traces, copy, order, "domain int, start int, end int", run)
+
+
+def sliding_effects(traces: DataFrame, copy: list[str], order: str = "region", width: int = 4, method: str = "median") -> DataFrame:
+    """The effect at each region of each copy; see ``sliding``."""
+    return per_copy(traces, copy, order, f"{order} int, effect double", lambda m: pd.DataFrame({order: range(len(m)), "effect": sliding(m, width, method)}))
+
+
+def insulation(matrix: np.ndarray, width: int = 4) -> np.ndarray:
+    """At each region the mean distance across over the mean distance within the ``width`` regions to either side; 0 near the ends."""
+    return sliding(matrix, width, "insulation")
+
+
+def insulation_call(matrix: np.ndarray, width: int = 4, distance: int = 3, prominence: float = 0.05) -> list[int]:
+    """Domain starts at the peaks of the insulation."""
+    return [0, *find_peaks(insulation(filled(matrix), width), distance, prominence).tolist()]
+
+
+def correlation_call(matrix: np.ndarray, width: int = 4, distance: int = 3, prominence: float = 0.1, least_r: float = 0.0) -> list[int]:
+    """Domain starts where the correlation of neighbouring regions' rows, smoothed over ``width``, has its lows; neighbours whose mean rows still correlate more
+    than ``least_r`` are merged, most alike first. (0 keeps only starts between rows that oppose each other; -1 keeps none, 1 all.)"""
+    r = np.nan_to_num(np.corrcoef(filled(matrix)))
+    step = np.r_[1.0, r[np.arange(1, len(r)), np.arange(len(r) - 1)]]
+    smooth = np.convolve(np.pad(step, width // 2, mode="edge"), np.ones(width) / width, "valid")[: len(step)]
+    starts = [0, *find_peaks(-smooth, distance, prominence).tolist()]
+    while len(starts) > 1:
+        ends = [*starts[1:], len(r)]
+        rows = [r[a:b].mean(0) for a, b in zip(starts, ends, strict=True)]
+        alike = [float(np.nan_to_num(np.corrcoef(x, y)[0, 1])) for x, y in zip(rows, rows[1:], strict=False)]
+        k = int(np.argmax(alike))
+        if alike[k] <= least_r:
+            break
+        del starts[k + 1]
+    return starts
+
+
+def merged_starts(matrix: np.ndarray, candidates: list[int], least_effect: float = 0.3) -> list[int]:
+    """Of candidate starts those that are left when neighbours with too small an effect merge, weakest first."""
+    starts = sorted({0, *candidates})
     while len(starts) > 1:
         ends = [*starts[1:], len(matrix)]
-        strengths = []
-        for k in range(len(starts) - 1):
-            a, b, c = starts[k], starts[k + 1], ends[k + 1]
-            intra = np.concatenate([matrix[a:b, a:b][np.triu_indices(b - a, 1)], matrix[b:c, b:c][np.triu_indices(c - b, 1)]])
-            strengths.append(effect(intra, matrix[a:b, b:c].ravel()))
+        strengths = [between(matrix, starts[k], starts[k + 1], ends[k + 1]) for k in range(len(starts) - 1)]
         weakest = int(np.argmin(strengths))
         if strengths[weakest] >= least_effect:
             break
@@ -107,28 +176,125 @@ def call(matrix: np.ndarray, width: int = 4, distance: int = 3, prominence: floa
     return starts
 
 
-def matrix_of(df: pd.DataFrame, n: int) -> np.ndarray:
-    out = np.full((n, n), np.nan)
-    np.fill_diagonal(out, 0.0)
-    i, j, d = df["i"].to_numpy(int), df["j"].to_numpy(int), df["d"].to_numpy(float)
-    out[i, j] = d
-    out[j, i] = d
-    return out
+def between(matrix: np.ndarray, a: int, b: int, c: int, method: str = "median") -> float:
+    """The effect between the neighbouring domains [a, b) and [b, c)."""
+    intra = np.concatenate([matrix[a:b, a:b][np.triu_indices(b - a, 1)], matrix[b:c, b:c][np.triu_indices(c - b, 1)]])
+    return effect(intra, matrix[a:b, b:c].ravel(), method)
 
 
-def called(pairs: DataFrame, copy: list[str], width: int = 4, distance: int = 3, prominence: float = 0.1, least_effect: float = 0.3) -> DataFrame:
-    """Domains of each copy from its pair distances (i, j, d): domain number, start, end (exclusive). A group is one copy."""
-    schema = ", ".join([*[f"{c} {pairs.schema[c].dataType.simpleString()}" for c in copy], "domain int", "start int", "end int"])
+def local_call(matrix: np.ndarray, size: int = 5, distance: int = 3, prominence: float = 0.1, least_effect: float = 0.3) -> list[int]:
+    """As ``call``, with candidates from the distance between the mean rows of the ``size`` regions to either side."""
+    m, n = filled(matrix), len(matrix)
+    jump = np.zeros(n)
+    for i in range(size, n - size):
+        jump[i] = np.linalg.norm(m[i - size : i].mean(0) - m[i : i + size].mean(0)) / max(np.sqrt(n), 1)
+    scale = jump.max() or 1.0
+    return merged_starts(matrix, find_peaks(jump / scale, distance, prominence).tolist(), least_effect)
+
+
+def iterative_call(matrix: np.ndarray, width: int = 4, rounds: int = 10, **how) -> list[int]:
+    """``call``, then again inside each domain found until none is split any more."""
+    starts = call(matrix, width, **how)
+    for _ in range(rounds):
+        ends = [*starts[1:], len(matrix)]
+        inner = {a + s for a, b in zip(starts, ends, strict=True) if b - a > 2 * width for s in call(matrix[a:b, a:b], width, **how)}
+        then = merged_starts(matrix, sorted({*starts, *inner}))
+        if then == starts:
+            break
+        starts = then
+    return starts
+
+
+CALLERS = {"sliding": call, "insulation": insulation_call, "correlation": correlation_call, "local": local_call, "iterative": iterative_call}
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        n = int(df["j"].max()) + 1
-        starts = call(matrix_of(df, n), width, distance, prominence, least_effect)
-        out = pd.DataFrame({"domain": range(len(starts)), "start": starts, "end": [*starts[1:], n]})
-        for c in reversed(copy):
-            out.insert(0, c, df[c].iloc[0])
-        return out
 
-    return pairs.groupBy(*copy).applyInPandas(run, schema)
+def called_by(traces: DataFrame, copy: list[str], method: str, order: str = "region", **how) -> DataFrame:
+    """Domains of each copy by one of ``CALLERS``."""
+
+    def run(m: np.ndarray) -> pd.DataFrame:
+        starts = CALLERS[method](m, **how)
+        return pd.DataFrame({"domain": range(len(starts)), "start": starts, "end": [*starts[1:], len(m)]})
+
+    return per_copy(traces, copy, order, "domain int, start int, end int", run)
+
+
+def ks_p(d: float, n: int, m: int) -> float:
+    """Two-sided p-value of a two-sample Kolmogorov-Smirnov statistic, by the limiting distribution with Stephens' correction."""
+    root = np.sqrt(n * m / (n + m))
+    x = (root + 0.12 + 0.11 / root) * d
+    if x < 0.2:
+        return 1.0
+    k = np.arange(1, 101)
+    return float(np.clip(2 * np.sum((-1.0) ** (k - 1) * np.exp(-2 * k * k * x * x)), 0, 1))
+
+
+def t_p(t: float, df: float) -> float:
+    """Two-sided p-value of Student's t: the integral of its density, which tends to 0 as the tangent of the bound, by Simpson's rule."""
+    if not np.isfinite(t):
+        return 0.0
+    a = np.linspace(np.arctan(abs(t) / np.sqrt(df)), np.pi / 2, 4001)
+    y = np.cos(a) ** (df - 1)
+    whole = np.cos(np.linspace(0, np.pi / 2, 4001)) ** (df - 1)
+    simpson = lambda v, h: h / 3 * (v[0] + v[-1] + 4 * v[1:-1:2].sum() + 2 * v[2:-1:2].sum())
+    return float(np.clip(simpson(y, a[1] - a[0]) / simpson(whole, np.pi / 8000), 0, 1))
+
+
+def contrast(intra: np.ndarray, inter: np.ndarray, method: str = "ks") -> tuple[float, float]:
+    """Statistic and p-value of the difference between inter- and intra-domain distances: ks, signed by their medians, or t (Welch)."""
+    intra, inter = intra[~np.isnan(intra)], inter[~np.isnan(inter)]
+    if len(intra) < 2 or len(inter) < 2:
+        return 0.0, 1.0
+    if method == "ks":
+        d = effect(intra, inter, "ks")
+        return float(np.sign(np.median(inter) - np.median(intra)) * d), ks_p(d, len(intra), len(inter))
+    va, vb = intra.var(ddof=1) / len(intra), inter.var(ddof=1) / len(inter)
+    if va + vb == 0:
+        return 0.0, 1.0
+    t = float((inter.mean() - intra.mean()) / np.sqrt(va + vb))
+    return t, t_p(t, (va + vb) ** 2 / (va**2 / (len(intra) - 1) + vb**2 / (len(inter) - 1)))
+
+
+def domain_stats(traces: DataFrame, copy: list[str], order: str = "region", method: str = "ks", **how) -> DataFrame:
+    """For each pair of a copy's neighbouring domains (by ``call``): statistic and p-value of inter- against intra-domain distances."""
+
+    def run(m: np.ndarray) -> pd.DataFrame:
+        starts = call(m, **how)
+        ends, rows = [*starts[1:], len(m)], []
+        for k in range(len(starts) - 1):
+            a, b, c = starts[k], starts[k + 1], ends[k + 1]
+            intra = np.concatenate([m[a:b, a:b][np.triu_indices(b - a, 1)], m[b:c, b:c][np.triu_indices(c - b, 1)]])
+            rows.append((k, *contrast(intra, m[a:b, b:c].ravel(), method)))
+        return pd.DataFrame(rows, columns=["domain", "statistic", "p"]).astype({"domain": "int32"})
+
+    return per_copy(traces, copy, order, "domain int, statistic double, p double", run)
+
+
+def correlation_distances(matrix: np.ndarray, starts: list[int]) -> np.ndarray:
+    """Distances between domains: Euclidean between their mean rows of the correlation matrix, over the number of regions."""
+    r = np.corrcoef(filled(matrix))
+    rows = np.array([np.nanmean(r[a:b], axis=0) for a, b in zip(starts, [*starts[1:], len(r)], strict=True)])
+    return np.sqrt(((rows[:, None] - rows[None]) ** 2).sum(2)) / len(r)
+
+
+def compartment_calls(pairs: DataFrame, regions: DataFrame, sigma: float = 1.0, least_run: int = 4) -> DataFrame:
+    """A/B calls of a population map (i, j, median): region, score (first component) and label. The map is bounded by the codebook's regions
+    (region, midpoint), so that it is one kernel's input."""
+    joined = pairs.groupBy().agg(F.collect_list(F.struct("i", "j", "median")).alias("m")).crossJoin(F.broadcast(regions.groupBy().agg(F.collect_list(F.struct("region", "midpoint")).alias("g"))))
+
+    def run(batches):
+        for df in batches:
+            for r in df.itertuples(index=False):
+                place = {x["region"]: k for k, x in enumerate(sorted(r.g, key=lambda x: x["midpoint"]))}
+                m = np.full((len(place), len(place)), np.nan)
+                np.fill_diagonal(m, 0.0)
+                for x in r.m:
+                    if x["i"] in place and x["j"] in place and x["median"] is not None:
+                        m[place[x["i"]], place[x["j"]]] = m[place[x["j"]], place[x["i"]]] = x["median"]
+                pc, labels = compartments(filled(m), np.array(sorted(float(x["midpoint"]) for x in r.g)), sigma)
+                labels = merged_runs(labels, least_run)
+                yield pd.DataFrame({"region": list(place), "score": pc, "label": np.where(labels == 1, "A", "B")})
+
+    return joined.mapInPandas(run, f"region {regions.schema['region'].dataType.simpleString()}, score double, label string")
 
 
 def boundary_share(domains: DataFrame, copy: list[str]) -> DataFrame:
@@ -209,16 +375,11 @@ def interacting(matrix: np.ndarray, starts: list[int], most_effect: float, thres
     return {k for k in chosen if np.mean(np.nan_to_num(block[k], nan=np.inf) <= threshold) >= least_contact}
 
 
-def interactions(pairs: DataFrame, copy: list[str], most_effect: float = 0.5, threshold: float = 50.0, least_contact: float = 0.3) -> DataFrame:
-    """Interacting domain pairs of each copy (domains by ``call``). A group is one copy's pair distances."""
-    schema = ", ".join([*[f"{c} {pairs.schema[c].dataType.simpleString()}" for c in copy], "domain_a int", "domain_b int"])
+def interactions(traces: DataFrame, copy: list[str], order: str = "region", most_effect: float = 0.5, threshold: float = 50.0, least_contact: float = 0.3) -> DataFrame:
+    """Interacting domain pairs of each copy (domains by ``call``)."""
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        m = matrix_of(df, int(df["j"].max()) + 1)
+    def run(m: np.ndarray) -> pd.DataFrame:
         found = sorted(interacting(m, call(m), most_effect, threshold, least_contact))
-        out = pd.DataFrame({"domain_a": [a for a, _ in found], "domain_b": [b for _, b in found]}, dtype="int32")
-        for c in reversed(copy):
-            out.insert(0, c, df[c].iloc[0])
-        return out
+        return pd.DataFrame({"domain_a": [a for a, _ in found], "domain_b": [b for _, b in found]}, dtype="int32")
 
-    return pairs.groupBy(*copy).applyInPandas(run, schema)
+    return per_copy(traces, copy, order, "domain_a int, domain_b int", run)

@@ -11,7 +11,8 @@ from tracemill.functions import dna
 
 def word_table(sequences: DataFrame, k: int, seq: str = "seq", clip: int | None = 65535) -> DataFrame:
     """word -> occurrences over all windows of all sequences, clipped."""
-    words = sequences.select(F.explode(dna.kmers(F.col(seq), k)).alias("word"))
+    pieces = sequences.select(F.explode(dna.tiles(F.col(seq), k)).alias("t"))  # a row each, so that no row lists a chromosome's words
+    words = pieces.select(F.explode(dna.kmers(F.col("t"), k)).alias("word"))
     n = F.count(F.lit(1))
     return words.groupBy("word").agg((F.least(n, F.lit(clip)) if clip else n).cast("long").alias("n"))
 
@@ -23,10 +24,13 @@ def hits(probes: DataFrame, words: DataFrame, k: int, uid: str, seq: str = "seq"
     return own.join(words, "word", "left").groupBy(uid).agg(F.sum(F.coalesce("n", F.lit(0))).alias("hits"))
 
 
-def candidates(sequences: DataFrame, length: int, uid: str, seq: str = "seq") -> DataFrame:
-    """Every window of a sequence: uid, start (0-based), seq."""
-    at = F.sequence(F.lit(0), F.length(seq) - length)
-    return sequences.where(F.length(seq) >= length).select(uid, F.explode(at).alias("start"), F.col(seq)).withColumn("seq", F.substring(F.col(seq), F.col("start") + 1, F.lit(length))).select(uid, "start", "seq")
+def candidates(sequences: DataFrame, length: int, uid: str, seq: str = "seq", size: int = 128) -> DataFrame:
+    """Every window of a sequence: uid, start (0-based), seq. Sequences are cut into pieces first, a row each."""
+    size = max(size, 2 * length)
+    pieces = sequences.select(uid, F.posexplode(dna.tiles(F.col(seq), length, size)).alias("_n", "_t")).where(F.length("_t") >= length)
+    at = F.explode(F.sequence(F.lit(0), F.length("_t") - length))
+    windows = pieces.select(uid, "_n", "_t", at.alias("_at"))
+    return windows.select(uid, (F.col("_n") * size + F.col("_at")).alias("start"), F.substring(F.col("_t"), F.col("_at") + 1, F.lit(length)).alias("seq"))
 
 
 def gated(probes: DataFrame, gc: tuple[float, float], tm: tuple[float, float]) -> DataFrame:
@@ -101,3 +105,86 @@ def flags(exons: DataFrame, weights: dict[str, int]) -> DataFrame:
     change = F.when((F.lag("flag").over(by) == F.col("flag")) & (F.lag("to").over(by) + 1 == F.col("at")), 0).otherwise(1)
     run = pieces.withColumn("_c", change).withColumn("run", F.sum("_c").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     return run.groupBy("gene", "run").agg(F.min("at").alias("start"), F.max("to").alias("end"), F.first("flag").alias("flag")).drop("run")
+
+
+def blast_counts(hits: DataFrame, probe: str, hard: int = 30, soft: int = 17) -> DataFrame:
+    """Per probe the alignments (length, score) that reach the hard and the soft limit in both."""
+    reach = lambda n: F.sum(F.when((F.col("length") >= n) & (F.col("score") >= n), 1).otherwise(0))
+    return hits.groupBy(probe).agg(reach(hard).alias("hard"), reach(soft).alias("soft"))
+
+
+def screened(probes: DataFrame, counts: DataFrame, region: str, uid: str, n: int, mode: str = "center", most_soft: int = 30, least_share: float = 0.75) -> DataFrame:
+    """Probes with one or two hard hits and few soft ones; where enough would be left, only those with one. Of more than ``n`` in a region those
+    nearest to its middle stay, or its first, or its last ones."""
+    ok = probes.join(counts, uid, "left").where(F.col("hard").between(1, 2) & (F.col("soft") <= most_soft))
+    left, once = F.count(F.lit(1)), F.sum(F.when(F.col("hard") == 1, 1).otherwise(0))
+    enough = ok.groupBy(region).agg(((once >= least_share * left) & (left >= least_share * n)).alias("_once"))
+    ok = ok.join(enough, region).where(~F.col("_once") | (F.col("hard") == 1)).drop("_once", "hard", "soft")
+    span = probes.groupBy(region).agg(F.max("start").alias("_hi"), F.min("start").alias("_lo"))
+    rank = {"center": [F.abs(F.col("start") - (F.col("_lo") + F.col("_hi")) / 2), F.col("start")], "front": [F.col("start")], "end": [F.col("start").desc()]}[mode]
+    w = Window.partitionBy(region).orderBy(*rank, uid)
+    return ok.join(span, region).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).select(*probes.columns)
+
+
+def not_overlapping(probes: DataFrame, region: str) -> DataFrame:
+    """Of the first two neighbours (by start) that overlap the earlier goes, until none do. A group is one region."""
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["start", "end"], kind="stable")
+        stack: list[int] = []
+        for i, start in enumerate(df["start"]):
+            while stack and df["end"].iloc[stack[-1]] > start:
+                stack.pop()
+            stack.append(i)
+        return df.iloc[stack]
+
+    return probes.groupBy(region).applyInPandas(run, probes.schema)
+
+
+def extracted(regions: DataFrame, genome: DataFrame) -> DataFrame:
+    """The bases of regions (chr, start, end: from 1, both ends belong; strand - gives the reverse complement) out of chromosomes (chr, seq), which stand
+    in blocks (chr, first, seq) so that a row is never a whole chromosome: see ``blocked``."""
+    width = 1 << 16
+    at = F.explode(F.sequence(F.floor((F.greatest(F.lit(1), "start") - 1) / width), F.floor((F.col("end") - 1) / width)))
+    asked = regions.where("start <= end").select(*regions.columns, at.alias("_b"))
+    parts = asked.join(genome.select("chr", F.floor((F.col("first") - 1) / width).alias("_b"), "first", "seq"), ["chr", "_b"])
+    lo = F.greatest(F.col("start"), F.col("first")) - F.col("first") + 1
+    hi = F.least(F.col("end"), F.col("first") + F.length("seq") - 1) - F.col("first") + 1
+    piece = F.substring(F.col("seq"), lo.cast("int"), F.greatest(hi - lo + 1, F.lit(0)).cast("int"))
+    got = parts.select(*regions.columns, "first", piece.alias("piece")).groupBy(*regions.columns).agg(F.array_sort(F.collect_list(F.struct("first", "piece"))).alias("p"))
+    whole = F.array_join(F.transform("p", lambda x: x["piece"]), "")
+    if "strand" in regions.columns:
+        whole = F.when(F.col("strand") == "-", dna.reverse_complement(whole)).otherwise(whole)
+    return got.select(*regions.columns, whole.alias("seq"))
+
+
+def blocked(sequences: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """Chromosomes (chr, seq) as blocks: chr, first (from 1), seq."""
+    cut = F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))).alias("_n", "seq")
+    return sequences.select("chr", cut).select("chr", (F.col("_n").cast("long") * width + 1).alias("first"), "seq")
+
+
+def start_sites(genes: DataFrame, flank: int) -> DataFrame:
+    """Regions about transcription starts: the start on the + strand, the end on the - strand, ``flank`` to either side."""
+    at = F.when(F.col("strand") == "-", F.col("end")).otherwise(F.col("start"))
+    return genes.withColumns({"start": F.greatest(F.lit(1), at - flank), "end": at + flank})
+
+
+def shortest_parts(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """What all intervals of a group share: the positions that each of its transcripts covers, as intervals. parts: keys, transcript, start, end."""
+    n = parts.groupBy(*keys).agg(F.count_distinct("transcript").alias("_all"))
+    ends = parts.select(*keys, F.explode(F.array("start", F.col("end") + 1)).alias("at")).distinct()
+    by = Window.partitionBy(*keys).orderBy("at")
+    cuts = ends.withColumn("to", F.lead("at").over(by) - 1).where("to is not null")
+    cover = cuts.join(parts, keys).where("start <= at and end >= to").groupBy(*keys, "at", "to").agg(F.count_distinct("transcript").alias("n")).join(n, keys).where("n = _all")
+    run = cover.withColumn("_c", F.when(F.lag("to").over(by) + 1 == F.col("at"), 0).otherwise(1))
+    run = run.withColumn("run", F.sum("_c").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return run.groupBy(*keys, "run").agg(F.min("at").alias("start"), F.max("to").alias("end")).drop("run")
+
+
+def introns(exons: DataFrame, keys: list[str]) -> DataFrame:
+    """The gaps between a transcript's exons (start and end belong to them)."""
+    by = Window.partitionBy(*keys).orderBy("start", "end")
+    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    gaps = exons.withColumn("_reach", reach).where(F.col("start") > F.col("_reach") + 1)
+    return gaps.select(*keys, (F.col("_reach") + 1).alias("start"), (F.col("start") - 1).alias("end"))

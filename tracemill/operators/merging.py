@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import factorial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,7 @@ def intensity_flags(df: DataFrame, channel: str, uid: str, value: str, dimmest:
 
     on and off are the z values of p = 1e-6 and p = 0.01: above on 1, at or below off -1, else 0."""
     medians = df.groupBy(channel, uid).agg(F.percentile(value, 0.5).alias("_m"))
+    # one row for each id, not for each spot
     low = medians.withColumn("_n", F.row_number().over(Window.partitionBy(channel).orderBy("_m", uid))).where(F.col("_n") <= dimmest).select(channel, uid)
     back = df.join(low, [channel, uid]).groupBy(channel).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
     z = (F.col(value) - F.col("_mean")) / F.nullif("_std", F.lit(0.0))
@@ -77,16 +80,21 @@ def cloud(points: DataFrame, keys: list[str], sigma: float, reach: int = 2) -> D
     return out.groupBy(*keys, *AXES).agg(F.sum(F.exp(-d2 / (2 * sigma * sigma))).alias("density"))
 
 
+#: The shares of Poisson(1) up to 0, 1, ..., 7.
+POISSON = [sum(2.718281828459045**-1 / factorial(j) for j in range(k + 1)) for k in range(8)]
+PRIME = 2147483647
+
+
 def bootstrap(df: DataFrame, keys: list[str], value: str, uid: str, replicates: int = 100, level: float = 0.95) -> DataFrame:
     """Percentile interval of the mean under Poisson resampling, seeded by ``uid`` and replicate: a row's weight in a replicate depends on
-    nothing else, so any partitioning gives the same interval."""
-    u = F.pmod(F.xxhash64(uid, "replicate"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    cut, total, term = [], 0.0, 2.718281828459045**-1
-    for k in range(8):
-        total += term
-        cut.append(total)
-        term /= k + 1
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cut), F.lit(0))
-    drawn = df.select(*keys, uid, value, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("w", weight)
+    nothing else, so any partitioning gives the same interval. Three numbers from an id's digest give all its replicates' numbers, as
+    a polynomial modulo a prime; weights are added up per replicate before anything is shuffled."""
+    digest = F.md5(F.col(uid).cast("string"))
+    part = lambda k: F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("long") % PRIME
+    rep = F.col("replicate").cast("long")
+    u = ((F.col("_h0") + rep * F.col("_h1") + rep * rep * F.col("_h2")) % PRIME) / F.lit(float(PRIME))
+    weight = sum((F.when(u >= c, 1).otherwise(0) for c in POISSON), F.lit(0))
+    drawn = df.where(F.col(value).isNotNull()).select(*keys, value, *[part(k).alias(f"_h{k}") for k in range(3)])
+    drawn = drawn.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", weight)
     means = drawn.groupBy(*keys, "replicate").agg((F.sum(F.col(value) * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     return means.groupBy(*keys).agg(F.percentile("m", (1 - level) / 2).alias("low"), F.percentile("m", (1 + level) / 2).alias("high"))

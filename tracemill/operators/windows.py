@@ -12,23 +12,46 @@ def ecdf(df: DataFrame, value: str, keys: list[str], smoothing: str = "weak", gr
     """Add ``score``: the share of a group's values at or below a value, by one of the modes
 
     weak: F (or 1 - F); strict: share strictly below; a: F + 0.5/n, or 1 - F + 0.5/n; b: (F n + 1) / (n + 2), or its complement.
-    Null values get null and are no part of the group.
+    Null values get null and are no part of the group. Counts are taken per distinct value before they are added up in order, so what a task
+    orders is a group's values, not its rows.
     """
-    by = Window.partitionBy(*keys, F.col(value).isNull())
-    n = F.count(value).over(by)
-    f = F.cume_dist().over(by.orderBy(value))
-    strict = (F.rank().over(by.orderBy(value)) - 1) / n
+    per = cumulated(df.where(F.col(value).isNotNull()), keys, value)
+    n = F.col("_total")
+    f, strict = F.col("_upto") / n, (F.col("_upto") - F.col("_here")) / n
     up = {"weak": f, "strict": strict, "a": f + 0.5 / n, "b": (f * n + 1) / (n + 2)}[smoothing]
     down = {"weak": 1 - f, "strict": 1 - strict, "a": 1 - f + 0.5 / n, "b": 1 - (f * n + 1) / (n + 2)}[smoothing]
-    return df.withColumn("score", F.when(F.col(value).isNotNull(), up if greater else down))
+    shares = per.select(*keys, F.col(value).alias("_value"), (up if greater else down).alias("score"))
+    shares = shares.withColumnsRenamed({k: f"_k{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in keys]
+    return df.join(shares, [*on, F.col(value) == F.col("_value")], "left").drop("_value", *[f"_k{k}" for k in keys])
+
+
+def cumulated(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Per group and distinct value: rows of it (_here), rows up to it (_upto) and rows of the group (_total)."""
+    per = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_here"))
+    by = Window.partitionBy(*keys or [F.lit(0)]).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    total = per.groupBy(*keys).agg(F.sum("_here").alias("_total")).withColumnsRenamed({k: f"_k{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in keys]
+    per = per.withColumn("_upto", F.sum("_here").over(by))
+    return (per.join(total, on) if keys else per.join(F.broadcast(total))).drop(*[f"_k{k}" for k in keys])  # without keys, the total is one row
 
 
 def foreign_ecdf(df: DataFrame, refs: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """Add ``score``: the share of the reference values of the same keys at or below the row's value."""
-    both = df.withColumn("_ref", F.lit(0)).unionByName(refs.select(*keys, value).withColumn("_ref", F.lit(1)), allowMissingColumns=True).where(F.col(value).isNotNull())
-    by = Window.partitionBy(*keys)
-    upto = F.sum("_ref").over(by.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("score", upto / F.nullif(F.sum("_ref").over(by), F.lit(0))).where("_ref = 0").drop("_ref")
+    """Add ``score``: the share of the reference values of the same keys at or below the row's value. Both sides are counted per distinct value
+    first; rows without a value go."""
+    own = df.where(F.col(value).isNotNull())
+    both = own.select(*keys, value, F.lit(0).alias("_ref")).unionByName(refs.where(F.col(value).isNotNull()).select(*keys, value, F.lit(1).alias("_ref")))
+    per = both.groupBy(*keys, value).agg(F.sum("_ref").alias("_ref"))
+    by = Window.partitionBy(*keys).orderBy(value)
+    upto = F.sum("_ref").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    shares = per.select(*keys, value, (upto / F.nullif(F.sum("_ref").over(Window.partitionBy(*keys)), F.lit(0))).alias("score"))
+    return own.join(shares, [*keys, value])
+
+
+def limited_share(share: Column, low: Column, high: Column, n: Column | None = None) -> Column:
+    """A share rescaled so that the limits become 0 and 1, and clamped to them, or to 1/n from them."""
+    edge = F.lit(0.0) if n is None else 1 / n
+    return F.least(F.greatest((share - low) / F.nullif(high - low, F.lit(0.0)), edge), 1 - edge)
 
 
 def neighbour_distance(traces: DataFrame, copy: list[str], order: str, step: int = 1) -> DataFrame:
@@ -88,3 +111,57 @@ def domain_ends(df: DataFrame, keys: list[str], start: str, size: str) -> DataFr
 
 def top(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def index_distance(df: DataFrame, keys: list[str], order: str, radius: int) -> DataFrame:
+    """Distance of each row to the mean place of the ``radius`` rows before and after it, itself excluded, by place in the order and not by its value."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-radius, radius)
+    n = F.count("x").over(w) - F.when(F.col("x").isNotNull(), 1).otherwise(0)
+    mean = lambda c: (F.sum(c).over(w) - F.coalesce(c, F.lit(0.0))) / F.nullif(n, F.lit(0))
+    return df.withColumn("distance", F.sqrt(sum((F.pow(F.col(c) - mean(c), 2) for c in AXES), F.lit(0.0))))
+
+
+def step_distance(candidates: DataFrame, copy: list[str], order: str, uid: str, step: int = 1) -> DataFrame:
+    """For candidates, of which a region may have several: the median distance to those ``step`` regions on (backwards if negative)."""
+    there = candidates.select(*copy, (F.col(order) - step).alias(order), *[F.col(c).alias(f"_{c}") for c in AXES])
+    d = F.sqrt(sum((F.pow(F.col(c) - F.col(f"_{c}"), 2) for c in AXES), F.lit(0.0)))
+    return candidates.join(there, [*copy, order], "left").groupBy(*copy, order, uid).agg(F.percentile(d, 0.5).alias("distance"))
+
+
+def reference_distance(candidates: DataFrame, references: DataFrame, copy: list[str], order: str, uid: str, size: int) -> DataFrame:
+    """Distance of candidates to the mean place of the reference points of the ``size`` regions to either side, their own region excluded."""
+    at = F.explode(F.concat(F.sequence(F.lit(-size), F.lit(-1)), F.sequence(F.lit(1), F.lit(size)))).alias("_o")
+    near = references.select(*copy, F.col(order).alias("_r"), *[F.col(c).alias(f"_{c}") for c in AXES], at).withColumn(order, F.col("_r") + F.col("_o"))
+    both = candidates.join(near, [*copy, order], "left")
+    mean = both.groupBy(*copy, order, uid, *AXES).agg(*[F.avg(f"_{c}").alias(f"_{c}") for c in AXES])
+    return mean.select(*copy, order, uid, F.sqrt(sum((F.pow(F.col(c) - F.col(f"_{c}"), 2) for c in AXES), F.lit(0.0))).alias("distance"))
+
+
+def local_loop_outs(traces: DataFrame, copy: list[str], order: str, size: int, least: float) -> DataFrame:
+    """Flag regions that are at least ``least`` from the mean place of their neighbours."""
+    return local_distance(traces, copy, order, size).withColumn("loop_out", F.coalesce(F.col("distance") >= least, F.lit(False))).drop("distance")
+
+
+def matched_starts(starts: DataFrame, refs: DataFrame, keys: list[str], size: int, first_of_many: bool = False) -> DataFrame:
+    """Per start the reference start at most size // 2 away; starts that match several get none, or the least if asked."""
+    half = size // 2
+    near = F.explode(F.sequence(F.col("start") - half, F.col("start") + half))
+    both = starts.select(*keys, "start", near.alias("ref")).join(refs.select(*keys, F.col("start").alias("ref")).distinct(), [*keys, "ref"])
+    found = both.groupBy(*keys, "start").agg(F.count(F.lit(1)).alias("n"), F.min("ref").alias("ref"))
+    return (found if first_of_many else found.where("n = 1")).select(*keys, "start", "ref")
+
+
+def loop_out_hits(pairs: DataFrame, domains: DataFrame, copy: list[str], most: float = 0.0) -> DataFrame:
+    """Per region and domain of a copy, whether the region is nearer to the domain than to its own: (median distance to it - median distance to its own) / root of the
+    sum of both median squared deviations, below ``most``. Regions at the ends of their domain are left out. pairs: copy, i, j, d; domains: copy, domain, start, end."""
+    both = pairs.select(*copy, "i", "j", "d").unionAll(pairs.select(*copy, F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    of = domains.select(*copy, "domain", "start", "end", F.explode(F.sequence("start", F.col("end") - 1)).alias("j"))
+    of = of.select(*copy, "domain", "j", ((F.col("j") == F.col("start")) | (F.col("j") == F.col("end") - 1)).alias("edge"))
+    own = of.select(*copy, F.col("j").alias("i"), F.col("domain").alias("home"), F.col("edge").alias("at_edge")).where("not at_edge").drop("at_edge")
+    d = both.join(own, [*copy, "i"]).join(of.drop("edge"), [*copy, "j"])
+    keys = [*copy, "i", "home", "domain"]
+    middle = d.groupBy(*keys).agg(F.percentile("d", 0.5).alias("m"))
+    spread = d.join(middle, keys).groupBy(*keys).agg(F.first("m").alias("m"), F.percentile(F.pow(F.col("d") - F.col("m"), 2), 0.5).alias("v"))
+    home = spread.where("home = domain").select(*copy, "i", F.col("m").alias("m0"), F.col("v").alias("v0"))
+    metric = (F.col("m") - F.col("m0")) / F.sqrt(F.nullif(F.col("v") + F.col("v0"), F.lit(0.0)))
+    return spread.join(home, [*copy, "i"]).where("home <> domain").select(*copy, "i", "domain", metric.alias("metric"), F.coalesce(metric < most, F.lit(False)).alias("hit"))

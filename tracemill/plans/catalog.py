@@ -330,18 +330,17 @@ def iterative_pick(s, d):
 
 @query()
 def sliding_window_domains(s, d):
-    return domains.called(aggregates.pair_distances(A.traces(s, d), ["copy"], "region"), ["copy"])
+    return domains.called(A.traces(s, d), ["copy"])
 
 
 @query()
 def boundary_share(s, d):
-    called = domains.called(aggregates.pair_distances(A.traces(s, d), ["copy"], "region"), ["copy"])
-    return domains.boundary_share(called, ["copy"]).withColumn("share", r("share"))
+    return domains.boundary_share(domains.called(A.traces(s, d), ["copy"]), ["copy"]).withColumn("share", r("share"))
 
 
 @query()
 def domain_interactions(s, d):
-    return domains.interactions(aggregates.pair_distances(A.traces(s, d), ["copy"], "region"), ["copy"])
+    return domains.interactions(A.traces(s, d), ["copy"])
 
 
 # ---- scalar transforms and filters ----
@@ -499,3 +498,6 @@ def cis_trans_map(s, d):
     pairs = t.withColumnRenamed("p", "l").join(t.withColumnRenamed("p", "r"), "copy").where("l.event_id < r.event_id").withColumn("d", joins.distance("l", "r"))
     kind = F.when(F.col("l.chr") == F.col("r.chr"), "cis").otherwise("trans").alias("kind")
     return pairs.groupBy(F.least("l.chr", "r.chr").alias("chr_a"), F.greatest("l.chr", "r.chr").alias("chr_b"), kind).agg(r(F.percentile("d", 0.5)).alias("median"), F.count("d").alias("n"))
+
+
+from tracemill.plans import more  # noqa: E402, F401

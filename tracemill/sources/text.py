@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def fasta(spark: SparkSession, path: str, upper: bool = False) -> DataFrame:
-    """name (the whole header line), seq."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    """name (the whole header line), seq. A record begins at a > in front of a line; other > belong to headers."""
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^>", "").alias("value")).where(F.trim("value") != "")
     seq = F.regexp_replace(F.regexp_extract("value", r"(?s)^[^\r\n]*\r?\n?(.*)$", 1), r"\s", "")
     return rows.select(F.trim(F.regexp_extract("value", r"^([^\r\n]*)", 1)).alias("name"), (F.upper(seq) if upper else seq).alias("seq"))
 
@@ -115,3 +115,91 @@ def aligned_traces(spots: DataFrame, regions: DataFrame) -> DataFrame:
     fibres = spots.select("chr", "fiberidx").distinct().join(regions.select("chr", "hyb").distinct(), "chr")
     place = [(F.col(f"{c}_um") * 1000).alias(c) for c in "zxy"]
     return fibres.join(spots.select("chr", "fiberidx", "hyb", *place), ["chr", "fiberidx", "hyb"], "left")
+
+
+def typed(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
+    """A table with a header whose columns come in any order: those of ``schema``, cast; what does not fit is null. Whole numbers may be
+    written as 1200.0 or 1e6."""
+    rows = spark.read.csv(path, sep=sep, header=True)
+    names = {c.strip(): c for c in rows.columns}
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+
+    def cast(c: str, kind: str) -> Column:
+        v = F.trim(F.col(f"`{names[c]}`"))
+        return v.try_cast("double").try_cast(kind) if kind in ("int", "long") else v.try_cast(kind)
+
+    return rows.select(*[(cast(c, kind) if c in names else F.lit(None).cast(kind)).alias(c) for c, kind in fields])
+
+
+def region_positions(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    return typed(spark, path, "id int, chr string, start long, end long, midpoint long", sep)
+
+
+def chip_peaks(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    return typed(spark, path, "chr string, start long, end long, midpoint double, fold double", sep)
+
+
+def rna_info(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    return typed(spark, path, "RNA_id string, gene_name string, chr string, strand string, start long, end long, midpoint double", sep)
+
+
+def gene_info(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    return typed(spark, path, "gene_id int, gene_name string, chr string, TSS_position long", sep)
+
+
+def readouts(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    return typed(spark, path, "Bit int, ReadoutName string", sep).select(F.col("Bit").alias("bit"), F.col("ReadoutName").alias("name"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of small files in their order: path, n (from 0), line. Each file is read whole."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("n", "line"))
+    return rows.where("line <> ''")
+
+
+def positions(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """Stage positions without a header: fov_id (the line's number), x, y."""
+    cell = lambda k: F.get(F.split("line", sep), F.lit(k)).try_cast("double")
+    return numbered_lines(spark, path).select(F.col("n").alias("fov_id"), cell(0).alias("x"), cell(1).alias("y"))
+
+
+def microscope(spark: SparkSession, path: str) -> DataFrame:
+    """transpose, flip_horizontal, flip_vertical; false where the file does not say."""
+    rows = spark.read.schema("transpose boolean, flip_horizontal boolean, flip_vertical boolean").json(path, multiLine=True)
+    return rows.select(*[F.coalesce(c, F.lit(False)).alias(c) for c in rows.columns])
+
+
+def gff3_directives(spark: SparkSession, path: str) -> DataFrame:
+    """The header's directives: name, value."""
+    rows = spark.read.text(path).where("value like '##%' and value not like '###%'")
+    return rows.select(F.regexp_extract("value", r"^##(\S+)", 1).alias("name"), F.trim(F.regexp_extract("value", r"^##\S+(.*)$", 1)).alias("value"))
+
+
+def gff3_sections(spark: SparkSession, path: str) -> DataFrame:
+    """The features of each section between ### lines: section, and the nine fields' line."""
+    rows = numbered_lines(spark, path)
+    cuts = rows.where("line like '###%'").groupBy("path").agg(F.array_sort(F.collect_list("n")).alias("cuts"))
+    section = F.size(F.filter(F.coalesce("cuts", F.array().cast("array<int>")), lambda c: c < F.col("n")))
+    return rows.where("line not like '#%'").join(cuts, "path", "left").select(section.alias("section"), "line")
+
+
+def genes_by_name(annotation: DataFrame, names: list[str]) -> DataFrame:
+    """Features whose id or Name attribute is one of the names."""
+    return annotation.where(F.col("id").isin(names) | F.expr("try_element_at(attributes, 'Name')").isin(names))
+
+
+def descendants(annotation: DataFrame, depth: int = 3) -> DataFrame:
+    """Feature and ancestor, over up to ``depth`` parents: id, ancestor, distance."""
+    step = annotation.select("id", F.explode("parents").alias("ancestor")).where("id is not null").distinct()
+    out, last = step.withColumn("distance", F.lit(1)), step
+    for k in range(2, depth + 1):
+        last = last.join(step.withColumnsRenamed({"id": "ancestor", "ancestor": "_up"}), "ancestor").select("id", F.col("_up").alias("ancestor")).distinct()
+        out = out.unionByName(last.withColumn("distance", F.lit(k)))
+    return out
+
+
+def packed_points(name: Column) -> Column:
+    """Places written as [z x y];[z x y]; as an array of structs."""
+    parts = F.regexp_extract_all(name, F.lit(r"\[([^\]]*)\]"), F.lit(1))
+    number = lambda t, k: F.get(F.split(F.trim(t), r"[\s,]+"), F.lit(k)).try_cast("double")
+    return F.transform(parts, lambda t: F.struct(*[number(t, k).alias(c) for k, c in enumerate("zxy")]))
