@@ -1,7 +1,7 @@
 """Token counts: batch encoding inside Arrow functions that return lengths only.
 
-Texts are cut at places where the tokenizer would cut anyway, so that no piece is longer than ``PIECE`` characters if the text
-allows, and pieces are packed into batches of about equal bytes. The counts of a text's pieces add up to the count of the text.
+Texts are cut at places where the tokenizer would cut anyway, so that pieces are little longer than ``PIECE`` characters if the text
+allows (a run of letters without any break stays whole), and pieces are packed into batches of about equal bytes. The counts of a text's pieces add up to the count of the text.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from tracemill.llm.bpe import shipped
 from tracemill.llm.common import table
 
 PIECE, BATCH_BYTES, LIMIT = 1 << 16, 1 << 20, 512
-#: Between two ASCII letters that one space separates, the space starts the second word's token: no merge spans the cut, and
-#: no special token holds a space.
-SAFE = regex.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
+#: Between a letter and white space or a mark of punctuation a token ends, in any script, and no special token holds such a place: no merge spans
+#: the cut. (Numbers and other signs may join with what follows them.)
+SAFE = regex.compile(r"(?<=\p{L})(?=[\s.,!?;:\u3001\u3002\uFF01\uFF0C\uFF1A\uFF1B\uFF1F\u060C\u061F\u0964])")
 
 
 def pieces(text: str, most: int = PIECE) -> list[str]:
@@ -37,16 +37,16 @@ def pieces(text: str, most: int = PIECE) -> list[str]:
     return [*out, text[start:]]
 
 
-def batches_by_bytes(parts: list[str], size: int = BATCH_BYTES) -> list[list[int]]:
-    """Indexes of ``parts`` packed into batches of about ``size`` bytes, long ones first."""
+def batches_by_bytes(sizes: list[int], size: int = BATCH_BYTES) -> list[list[int]]:
+    """Indexes of pieces of the given bytes packed into batches of about ``size`` bytes, long ones first."""
     out: list[list[int]] = []
     room = 0
-    for i in sorted(range(len(parts)), key=lambda i: -len(parts[i])):
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
         if room <= 0:
             out.append([])
             room = size
         out[-1].append(i)
-        room -= len(parts[i]) + 16
+        room -= sizes[i] + 16
     return out
 
 
@@ -79,13 +79,14 @@ def counted(docs: DataFrame, vocabulary: str, limit: int = LIMIT, text: str = "t
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(name)
         for rest, texts in blocks(rows, text, 8 << 20):
-            parts, owner = [], []
+            parts, sizes, owner = [], [], []
             for i, t in enumerate(texts):
                 cut = pieces(t.decode())
                 parts += cut
+                sizes += [len(t)] if len(cut) == 1 else [len(p.encode()) for p in cut]
                 owner += [i] * len(cut)
             n = [0] * len(texts)
-            for batch in batches_by_bytes(parts):
+            for batch in batches_by_bytes(sizes):
                 for i, e in zip(batch, tokenizer.encode_batch_fast([parts[i] for i in batch], add_special_tokens=False), strict=True):
                     n[owner[i]] += len(e)
             yield with_columns(rest, {"n_bytes": pa.array(list(map(len, texts)), pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([x > limit for x in n])})
