@@ -6,6 +6,7 @@ half, rank of what follows it 2^(k-1) lines on), as counted pairs sorted by rang
 occur again go on, so each round has fewer. Suffixes that agree on their first L lines are an interval of the suffix array whose longest
 common prefix is L or more; two ranks that overlap, of the first and the last 2^k <= L of the L lines, name it.
 
+The maximal repeated runs are not listed one by one: their lines are found through their smallest parts, which name the same lines.
 A line goes if it lies in a run of lines, of ``least_words`` words or more together, that starts at an earlier place
 as well (earlier document id, or earlier in the document): the first copy of a run stays whole. Such runs are found from their smallest parts, the
 shortest runs from each line onwards and up to each line that have the words; these cover exactly the maximal repeated runs.
@@ -26,8 +27,13 @@ DOC = ["d", "h"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows that agree in id and text are one document; null ids come first."""
-    return docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("h", F.xxhash64("text"))
+    """doc_id and text as d and h, which name a document: rows that agree in both are one. Whole numbers are ordered as such, other ids as strings; null ids come
+    first."""
+    if docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        d = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    else:
+        d = F.coalesce(F.concat(F.lit("1"), F.col("doc_id").cast("string")), F.lit("0"))
+    return docs.withColumns({"d": d, "h": F.xxhash64("text")})
 
 
 def _lines(text: Column) -> Column:
@@ -42,7 +48,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
         F.transform(_lines(F.col("text")), lambda x, n: F.struct(n.alias("line"), F.xxhash64(F.trim(x)).alias("x"), F.xxhash64(F.lit(7), F.trim(x)).alias("y"), words(x).alias("w"))), lambda s: s["w"] > 0
     )
     has = F.length(F.translate(F.coalesce("text", F.lit("")), SPACES, "")) > 0
-    lines = _keyed(docs.select("doc_id", "text").where(has)).select(*DOC, of.alias("s")).dropDuplicates(DOC)
+    lines = _keyed(docs.select("doc_id", "text")).where(has).select(*DOC, of.alias("s")).dropDuplicates(DOC)
     lines = checkpoint(lines.select(*DOC, F.posexplode("s").alias("i", "s")).select(*DOC, "i", "s.*"))
     again = lines.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     kept = lines.join(_in_order(again, ["x", "y"], "r0"), ["x", "y"]).select(*DOC, "i", "line", "w", "r0")
@@ -104,6 +110,7 @@ def later_copies(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     every = checkpoint(reduce(DataFrame.unionAll, named))
     interval = ["n", "ra", "rb"]
     first = every.groupBy(*interval).agg(F.min(F.struct("d", "h", "i")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    first = checkpoint(first)  # so that both sides of the join are dealt out by the run, and a run with a large share of the rows is split
     copies = every.join(first.drop("copies"), interval).where(F.struct("d", "h", "i") != F.col("first"))
     return copies.select(*DOC, "i", "n", F.col("first.d").alias("first_doc"), F.col("first.i").alias("first_i"))
 
@@ -126,19 +133,21 @@ def deduped(docs: DataFrame, least_words: int = LEAST_WORDS, lines: bool = False
 
     Documents that lose their last words go; null, empty and wordless texts stay as they are. Rows that repeat an id
     together with its text count as one document and all get its result. ``lines``: keep every row, and add n_lines and
-    removed_lines (numbers of lines in the text, from 0). Other columns pass through; the names d, h and gone are taken.
+    removed_lines (numbers of lines in the text, from 0), in place of columns of these names. Other columns pass through, whatever their names.
     """
-    own = docs.columns
-    joined = _keyed(docs.drop("d", "h", "gone")).join(removals(docs, least_words), DOC, "left")
+    rows = _keyed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")).select("row", "text", *DOC)
+    joined = rows.join(removals(docs, least_words), DOC, "left")
     hit = F.col("gone").isNotNull()
-    added = [F.size(_lines(F.col("text"))).cast("long").alias("n_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines")] * lines
     text = F.when(hit, without(F.col("text"), F.col("gone"))).otherwise(F.col("text"))
-    joined = joined.select(*[F.col(c) for c in own if c != "text"], text.alias("text"), hit.alias("gone"), *added)
-    if "n_chars" in own:
-        joined = joined.withColumn("n_chars", F.when(F.col("gone"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    joined = joined.select("row", text.alias("text"), "gone")
+    row = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
     if lines:
-        return joined.select(*own, "n_lines", "removed_lines")
-    return joined.where(~F.col("gone") | (F.length(F.translate("text", SPACES, "")) > 0)).select(*own)
+        n = F.size(_lines(F.col("row.text"))).cast("long")
+        joined = joined.select(row.alias("row"), n.alias("n_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines"))
+        return joined.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_lines", "removed_lines")], "n_lines", "removed_lines")
+    return joined.where(~hit | (F.length(F.translate("text", SPACES, "")) > 0)).select(row.alias("row")).select("row.*")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
