@@ -42,6 +42,7 @@ def move(docs: DataFrame, room: list[int]) -> DataFrame:
     # at most one row for each shard and group
     by = Window.partitionBy("g").orderBy(F.col("n").desc(), F.xxhash64("g", "shard"))
     wish = linked.groupBy("g", "shard").agg(F.count(F.lit(1)).alias("n")).withColumn("choice", F.row_number().over(by) - 1).select("g", "choice", F.col("shard").alias("to"))
+    wish = checkpoint(wish)  # written, as sizes below: joins with a written side are dealt out by key on both, so that a large group is split
     wishes = linked.withColumn("choice", F.floor(F.col("k") / quota).cast("int")).join(wish, ["g", "choice"], "left").drop("choice")
     wishes = wishes.withColumn("large", -F.col("size_g"))
     claims = ranked(wishes, ["to"], ["large", "g", "k"], "claim")
@@ -67,8 +68,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("g"))
     rows = ranked(rows, ["g"], ["doc_id", "size"], "k")
     rows = checkpoint(rows)
-    # a group's size goes to its members; a large group is split by the join's salt
-    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("size_g")).where("size_g > 1")
+    sizes = checkpoint(rows.groupBy("g").agg(F.count(F.lit(1)).alias("size_g")).where("size_g > 1"))
     rows = rows.join(sizes, "g", "left").withColumn("size_g", F.coalesce("size_g", F.lit(1)))
     n = docs.count()
     room = quotas(n, shards)
