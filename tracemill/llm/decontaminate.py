@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.llm.arrow import blocks, tidy, with_columns
-from tracemill.llm.common import table
+from tracemill.llm.common import checkpoint, table
 
 WINDOW, SAMPLE = 10, 8
 #: Text bytes of a benchmark block, and of a shard.
-PHRASE_BYTES, SHARD_BYTES = 16 << 20, 8 << 20
+PHRASE_BYTES, SHARD_BYTES = 4 << 20, 8 << 20
 #: Lower-cases A-Z; every ASCII byte that is neither a digit nor a letter separates words.
 FOLD = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -198,6 +198,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases([(r.id, bytes(r.text)) for r in part.collect()]))
         docs = docs.mapInArrow(tidy(_searcher(phrases, docs.columns, text)), docs.schema)
+        if k < n - 1:
+            # one block is in memory at a time
+            docs = checkpoint(docs)
+            phrases.destroy()
     return docs
 
 
@@ -239,19 +243,20 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with every benchmark passage cut out of the texts (and n_chars to match); other documents stay as they are."""
-    own = docs.columns
+    """``docs`` with every benchmark passage cut out of the texts (and n_chars to match); other documents stay as they are, and so do
+    columns of any name."""
 
     @F.pandas_udf("string")
     def without(text, spans):
         return text.combine(spans, lambda t, s: cut(t.encode(), [(x["start"], x["end"]) for x in s]).decode())
 
-    out = hits(docs, benchmark)
+    out = hits(docs.select(F.struct(*docs.columns).alias("row"), "text"), benchmark)
     clean = F.size("hit_spans") == 0
-    out = out.withColumn("text", F.when(clean, F.col("text")).otherwise(without(F.when(~clean, F.col("text")).otherwise(""), "hit_spans")))
-    if "n_chars" in own:
-        out = out.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*own)
+    out = out.select("row", clean.alias("clean"), F.when(clean, F.col("text")).otherwise(without(F.when(~clean, F.col("text")).otherwise(""), "hit_spans")).alias("text"))
+    row = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(F.col("clean"), F.col("row.n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(row.alias("row")).select("row.*")
 
 
 def op3_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
