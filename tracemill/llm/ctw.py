@@ -27,6 +27,8 @@ from tracemill.llm.hashing import U, word_hashes
 
 DEPTH, TOP = 5, 2
 CHUNK_BYTES, BLOCK_BYTES = 1 << 20, 16 << 20
+#: Strings of a task of subtrees, on average.
+TASK_STRINGS = 1 << 20
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 #: White space that separates tokens becomes a space, A-Z become lower case.
 TOKENS = bytes(32 if x == 32 or 9 <= x <= 13 else LOWER[x] for x in range(256))
@@ -244,13 +246,13 @@ def _scored(constants: tuple[int, int]):
         order = np.argsort(keys)
         keys, value = keys[order], value[order]
         out = docs.select(["doc_id", "held_out"])
-        columns: list[list[np.ndarray]] = [[], [], [], []]
+        columns: list[list[np.ndarray]] = [[], [], [], [], []]
         for _, texts in blocks(docs.to_batches(), "text", CHUNK_BYTES):
             for lo in range(0, len(texts), 1 << 15):
                 for c, x in zip(columns, _chunk(texts[lo : lo + (1 << 15)], keys, value, n_all, n_distinct), strict=True):
                     c.append(x)
-        n, n_known, base, score = (np.concatenate(c) if c else np.zeros(0) for c in columns)
-        more = {"n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array(np.full(len(n), n_all), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())}
+        n, n_known, base, score, length = (np.concatenate(c) if c else np.zeros(0) for c in columns)
+        more = {"n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array(np.full(len(n), n_all), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()), "code_length": pa.array(length, pa.float64())}
         for k, x in more.items():
             out = out.append_column(k, x)
         return out
@@ -275,14 +277,14 @@ def _chunk(texts: list[bytes], keys: np.ndarray, value: np.ndarray, n_all: int,
     whole = n_all + n_distinct + 1
     end = value[np.searchsorted(keys, END)]
     base = np.bincount(doc, np.log10((c + 1) / whole), m) + math.log10((end + 1) / whole)
-    return n + 1, np.bincount(doc[c > 0], minlength=m) + int(end > 0), base, score
+    return n + 1, np.bincount(doc[c > 0], minlength=m) + int(end > 0), base, score, -score * math.log2(10) / size
 
 
 def scored(docs: DataFrame, held_out) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text), learning from the rows where ``held_out`` is false.
 
-    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, both log10 probabilities; a null text is
-    empty and has one token, its end. Repeated rows are learned from and scored as often as they stand there; other
+    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, both log10 probabilities, and code_length, the bits that the model
+    takes for a byte (the end is one); a null text is empty and has one token, its end. Repeated rows are learned from and scored as often as they stand there; other
     columns are not looked at. Without any training text, each bit has probability 1/2.
     """
     docs = docs.select("doc_id", held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
@@ -293,7 +295,8 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
     words = every.where(~is_string)
     n_all, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many tasks as their strings need, whatever the session's number; a two-byte context is the smallest unit
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-every.where(is_string).count() // TASK_STRINGS))
     subtrees = every.where(is_string).repartition(tasks, F.shiftright("key", 8 * (DEPTH - TOP + 1)))
     sums = subtrees.mapInArrow(tidy(_sums), "context int, node int, zeros double, ones double, below double")
     top = _top_levels(sums.groupBy("context", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).collect())
@@ -312,7 +315,7 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
     n_blocks = max(1, -(-int(size) // BLOCK_BYTES))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))).repartition(max(n_blocks, 2), "block")
     asked = dealt.mapInArrow(tidy(_distinct), "key long, block long").join(values, "key").select("block", "key", "value")
-    schema = "doc_id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double".format(docs.schema["doc_id"].dataType.simpleString())
+    schema = "doc_id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, code_length double".format(docs.schema["doc_id"].dataType.simpleString())
     return dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_scored((n_all, n_distinct)), schema)
 
 
