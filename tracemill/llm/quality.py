@@ -35,18 +35,23 @@ def _rate(a: str, b: str, scale: int) -> Column:
     return F.expr(f"case when {b} > 0 then {scale} * {a} div {b} end")
 
 
+def _without(t: Column, characters: str) -> Column:
+    """Code points of a text beside some ASCII characters. (Runs are cut out by a pattern, in half the time of a translation.)"""
+    return F.length(F.regexp_replace(t, "[" + "".join(f"\\x{ord(c):02x}" for c in characters) + "]+", "")).cast("long")
+
+
 def _count(t: Column, characters: str) -> Column:
-    return (F.length(t) - F.length(F.translate(t, characters, ""))).cast("long")
+    return F.length(t).cast("long") - _without(t, characters)
 
 
 def _lines(t: Column) -> Column:
-    return F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    return F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
 
 
 def rates(docs: DataFrame) -> DataFrame:
     """lang, source and the rates that the sketches need of each document, without the counts that only the base rule needs."""
     t = F.coalesce("text", F.lit(""))
-    chars = F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars")
+    chars = _without(t, SPACES).alias("word_chars")
     words = F.size(F.array_remove(F.split(t, WHITE), "")).cast("long").alias("n_words")
     df = docs.select("lang", "source", _lines(t).alias("_lines"), chars, _count(t, CAPITALS).alias("n_capitals"), _count(t, MARKS).alias("n_marks"), words)
     lines = F.size("_lines").cast("long")
@@ -81,7 +86,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.aggregate(F.transform("_twice", lambda x, i: F.when(i == 0, WINDOW).otherwise(F.least(F.lit(WINDOW), x - F.get("_twice", i - 1)))), F.lit(0).cast("long"), lambda a, x: a + x)
     counts = F.struct(
         n.cast("long").alias("n_words"),
-        F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
+        _without(t, SPACES).alias("word_chars"),
         _count(t, SYMBOLS).alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size("_lines").cast("long").alias("n_lines"),
