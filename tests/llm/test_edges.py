@@ -86,6 +86,17 @@ def test_toxicity_learns_from_labels_of_long_documents(spark, monkeypatch, long)
         assert [len(t) for t in toxicity.sample(labelled)] == [50]
 
 
+def test_toxicity_of_ties_repeated_rows_and_null_ids(spark):
+    base = [(d, "badword here", 1) if d % 4 == 0 else (d, "good word here", 0) for d in range(80)]
+    df = spark.createDataFrame(base + base[:8] + [(None, "badword", 1), (None, None, 0), (81, None, 1), (82, "", 0)], "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.withColumn("text", F.coalesce("text", F.lit(""))))
+    out = toxicity.scored(df, model).collect()
+    assert len(out) == df.count() and all(r.predicted == r.toxic for r in out if r.doc_id is not None and r.doc_id < 80)
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    rows_ = toxicity.labelled(df.select("doc_id", "text"), labels, F.lit(False)).collect()
+    assert Counter((r.doc_id, r.toxic) for r in rows_) == {(0, 1): 2, (1, 0): 2}
+
+
 def test_toxicity_is_the_same_in_any_blocks(spark, monkeypatch):
     labelled = spark.createDataFrame([(d, f"bad{d % 9}x plain{d % 7}" if d % 3 == 0 else f"plain{d % 7} more{d % 5}", int(d % 3 == 0)) for d in range(300)], "doc_id long, text string, toxic int")
     model = toxicity.fit(labelled)
@@ -160,12 +171,18 @@ def test_token_counts_equal_the_library(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in out) == want
     assert tokens.counted(empty(spark), path).count() == 0
     rng = random.Random(2)
-    for _ in range(300):
-        s = "".join(rng.choice([" ", "a", "bc", " the", "\n", "'s", "<|endoftext|>", "1", "."]) for _ in range(60))
+    for _ in range(600):
+        s = "".join(rng.choice([" ", "a", "bc", " the", "\n", "'s", "<|endoftext|>", "1", ".", "é", "日本", "。", "، ", "и", "\x1c", "\u3000", "́", "|", "<"]) for _ in range(60))
         assert "".join(tokens.pieces(s, 9)) == s
         assert sum(len(t.encode(x, add_special_tokens=False)) for x in tokens.pieces(s, 9)) == len(t.encode(s, add_special_tokens=False))
 
 
+def test_pieces_in_any_script_and_batches_by_bytes():
+    for text in ("слово " * 3000, "句子很长。" * 3000, "शब्द, " * 3000):
+        assert max(map(len, tokens.pieces(text, 1000))) < 1100
+    assert tokens.batches_by_bytes([600_000, 10, 500_000, 600_000], 1 << 20) == [[0, 3], [2, 1]]
+
+
 # 3
 
 
@@ -201,6 +218,9 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
     clean = {r.doc_id: r for r in decontaminate.decontaminated(docs(spark), bench).where("doc_id is not null").collect()}
     assert clean[105].text == HEAD + "\n\nTail one." and clean[105].n_chars == len(clean[105].text) and clean[100].text is None and clean[0].text == TEXTS[0][1]
     assert decontaminate.hits(empty(spark), bench).count() == 0
+    clashing = docs(spark).withColumns({"hit_spans": F.lit(5), "hit_items": F.lit("z"), "row": F.lit(1), "clean": F.lit(2)})
+    kept = decontaminate.decontaminated(clashing, bench)
+    assert kept.columns == clashing.columns and all((r.n_words, r.hit_spans, r.hit_items, r.row, r.clean) == (7, 5, "z", 1, 2) for r in kept.collect())
     assert all(not r.hit_items for r in decontaminate.hits(docs(spark), bench.limit(0)).collect())
 
 
@@ -253,6 +273,24 @@ def test_chat(spark):
     assert chat.digests(chat.formatted(df.limit(0))).count() == 0
 
 
+def test_chat_with_ids_of_strings(spark, tmp_path):
+    spark.createDataFrame([("x", "0", "user", "q"), ("x", "1", "assistant", "a")], "conv_id string, turn string, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = {r.conv_id: r for r in chat.op5_chat_formatting(spark, str(tmp_path)).collect()}
+    assert set(out) == {"x", "-1"} and out["x"].loss_chars == 1 and out["-1"].n_turns == 2 and out["-1"].loss_chars == len("<|im_end|><|im_start|>assistant ok")
+
+
+def test_chat_is_the_same_under_any_partitioning(spark, monkeypatch):
+    late = lambda turns: "".join(f"[{r}]{t.upper() if k == 0 and len(turns) >= 40 else t};" for k, (r, t) in enumerate(turns))
+    df = spark.createDataFrame([(c, k, "user" if k % 2 else "assistant", f"turn {k} of {c}") for c in range(5) for k in range(40 * c)], "conv_id long, turn long, role string, text string")
+    results = []
+    for parts in ("1", "50"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        monkeypatch.setattr(chat, "BATCH_CHARS", int(parts) * 100)
+        results.append(sorted((r.conv_id, r.formatted, str(r.spans), r.stable) for r in chat.formatted(df, late).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert results[0] == results[1] and [r[3] for r in results[0]] == [False] * 4
+
+
 def test_rewriting_template_is_seen():
     forget = lambda turns: "".join(f"[{r}]{t if k == len(turns) - 1 else t[:2]};" for k, (r, t) in enumerate(turns))
     assert not chat.render([("user", "hello"), ("assistant", "world")], forget)[2]
@@ -440,6 +478,13 @@ def test_context_trees_equal_recursion(spark):
     train = [t for d, t in small if d % 4 != 1]
     want = dict(zip([d for d, _ in small], naive_ctw(train, [t for _, t in small], ctw.DEPTH), strict=True))
     assert all(abs(out[d].score - want[d]) < 1e-6 for d in want)
+    count = Counter(w for t in train for w in [*re.findall(rb"[^\x20\x09-\x0D]+", t.encode().translate(ctw.LOWER)), b""])
+    for d, t in small:  # the end is the token b""
+        own = [*re.findall(rb"[^\x20\x09-\x0D]+", t.encode().translate(ctw.LOWER)), b""]
+        whole = sum(count.values()) + len(count) + 1
+        assert (out[d].n_tokens, out[d].n_known, out[d].train_tokens) == (len(own), sum(count[w] > 0 for w in own), sum(count.values()))
+        assert abs(out[d].base_score - sum(np.log10((count[w] + 1) / whole) for w in own)) < 1e-9 * len(own)
+        assert abs(out[d].code_length * (len(t.encode()) + 1) + out[d].score * np.log2(10)) < 1e-6
     assert {r.held_out for r in out.values()} == {True, False}
 
 
@@ -464,6 +509,18 @@ def test_line_dedup(spark):
     assert lines.deduped(empty(spark)).count() == 0
 
 
+def test_line_dedup_of_other_ids_and_any_columns(spark):
+    run = "\n".join(f"{k} a shared line of text with some words in it" for k in range(8))
+    df = spark.createDataFrame([("b", run + "\nown b", 1), ("a", "head\n" + run, 2), (None, run, 3), ("c", None, 4)], "doc_id string, text string, d int")
+    df = df.withColumns({c: F.col("d") for c in ("h", "gone", "row", "n_lines", "i", "line", "seg")})
+    out = lines.deduped(df)
+    assert out.columns == df.columns
+    got = {r.d: r for r in out.collect()}
+    assert {k: r.text for k, r in got.items()} == {1: "own b", 2: "head", 3: run, 4: None}  # null ids come first
+    assert all((r.h, r.gone, r.row, r.n_lines, r.seg) == (k,) * 5 for k, r in got.items())
+    assert {r.d: r.removed_lines for r in lines.deduped(df, lines=True).collect()} == {1: list(range(8)), 2: list(range(1, 9)), 3: [], 4: []}
+
+
 def test_line_runs_equal_brute_force(spark):
     rng = random.Random(6)
     data = [(d, "\n".join(rng.choice(["a b", "c", "d e f", "", f"u{d}"]) for _ in range(rng.randint(0, 30)))) for d in range(30)]
@@ -526,6 +583,17 @@ def test_sketches_merge_exactly(spark):
         assert b <= v <= b * 33 / 32 + 1
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tracemill.llm import common
+
+    context = lambda master: SimpleNamespace(getCheckpointDir=lambda: None, master=master)
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            common.shared_folder(SimpleNamespace(sparkContext=context(master), conf={}))
+
+
 @pytest.mark.parametrize("schema", [SCHEMA])
 def test_cases_have_what_they_promise(schema):
     assert any(r[1] is None for r in rows()) and len(LONG) > 50_000

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,11 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``. Where a session has none, as in
-    tests on one machine, a temporary folder becomes it."""
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``. Where a session on one machine has none, as in
+    tests, a temporary folder becomes it; on a cluster that is refused, as executors would not see each other's files."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracemill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="tracemill-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -33,6 +39,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Ask for a collection, after which Spark deletes the shuffles and checkpoints of frames that are out of reach."""
     gc.collect()

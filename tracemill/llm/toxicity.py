@@ -269,7 +269,8 @@ def sample(docs: DataFrame) -> list[str]:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """Fit to ``labelled`` (doc_id, text, toxic 0/1). Without toxic or without other documents the score is a constant."""
+    """Fit to ``labelled`` (doc_id, text, toxic 0/1). Without toxic or without other documents the score is a constant. Repeated rows
+    count as often as they stand there; ids serve for the order of the sample only, null ones too."""
     per = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_other = per.get(1, 0), per.get(0, 0)
     counts = labelled.select("toxic", "text").mapInArrow(tidy(_word_counts), "entry binary, other long, toxic long").groupBy("entry").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
