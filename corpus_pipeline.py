@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tracemill.llm import bpe, decontaminate, lines, near, quality
-from tracemill.llm.common import shared_folder, table
+from tracemill.llm.common import delete, shared_folder, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,16 +44,21 @@ STAGES = [
     ("decontamination", decontamination),
     ("encoding", encoding),
 ]
-#: Encoding has no SQL; the tests hold the result against a brute-force version.
+#: Encoding has no SQL; tests/llm/test_pipeline.py holds the result against a brute-force version in plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the tables between them lie in the shared folder."""
+    """All stages over ``documents``; the tables between them lie in the shared folder, each until the next one is written. The last one's folder is the
+    result's and stays."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            delete(spark, last)
+        last = path
     return docs
