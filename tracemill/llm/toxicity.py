@@ -38,16 +38,28 @@ VALUES = (STRENGTHS,) * 5 + (6, 4)
 SAMPLE, SAMPLE_CHARS = 500, 1_500_000
 PREDICT = 0.3
 #: Text bytes of a block that is joined with its entries, and of the pieces in which it is tagged; bits of the sieve, a power of two.
-JOIN_BYTES, TAG_BYTES, SIEVE_BITS = 8 << 20, 4 << 20, 1 << 24
+JOIN_BYTES, TAG_BYTES, SIEVE_BITS = 4 << 20, 4 << 20, 1 << 24
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-def parts(word: bytes) -> tuple[bytes, bytes]:
-    """Entries for a word's beginning and its ending."""
-    return b"^" + word[:BEGINNING], b"$" + word[-ENDING:]
+def entries(own: set[bytes]) -> set[bytes]:
+    """Words with the entries for their beginnings and endings."""
+    return own | {b"^" + w[:BEGINNING] for w in own} | {b"$" + w[-ENDING:] for w in own}
+
+
+class Strengths(dict):
+    """word -> its strength and those of its beginning and ending as one number, looked up once for each distinct word."""
+
+    def __init__(self, strength: dict[bytes, int]):
+        super().__init__()
+        self.of = strength.get
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = (self.of(word, 0) * STRENGTHS + self.of(b"^" + word[:BEGINNING], 0)) * STRENGTHS + self.of(b"$" + word[-ENDING:], 0)
+        return code
 
 
 @dataclass
@@ -111,12 +123,11 @@ def shapes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return shape, np.searchsorted([4, 7, 11], length, side="right")
 
 
-def features(strength: list[int], begin: list[int], end: list[int], first: np.ndarray, shape: np.ndarray, size: np.ndarray) -> np.ndarray:
+def features(code: np.ndarray, first: np.ndarray, shape: np.ndarray, size: np.ndarray) -> np.ndarray:
     """[tokens, observations]: see ``VALUES``; 0 beyond the text."""
-    w, b, e = (np.array(x, np.int64) for x in (strength, begin, end))
-    f = np.zeros((len(w), len(VALUES)), np.int64)
-    f[:, 0], f[:, 1], f[:, 2], f[:, 5], f[:, 6] = w, b, e, shape, size
-    both = np.maximum(w, b)
+    f = np.zeros((len(code), len(VALUES)), np.int64)
+    f[:, 0], f[:, 1], f[:, 2], f[:, 5], f[:, 6] = code // STRENGTHS**2, code // STRENGTHS % STRENGTHS, code % STRENGTHS, shape, size
+    both = np.maximum(f[:, 0], f[:, 1])
     f[1:, 3] = np.where(first[1:], 0, both[:-1])
     f[:-1, 4] = np.where(first[1:], 0, both[1:])
     return f
@@ -202,17 +213,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 def tagged(texts: list[bytes], strength: dict[bytes, int], hide: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of all tokens, tokens of each text, and which tokens are first. ``hide``: drop half the words' strengths."""
-    get = strength.get
-    split = [words(t) for t in texts]
+    split, held = [words(t) for t in texts], Strengths(strength)
     n = np.fromiter(map(len, split), np.int64, len(split))
     first = np.zeros(int(n.sum()), bool)
     first[(np.cumsum(n) - n)[n > 0]] = True
-    w = [get(x, 0) for p in split for x in p]
-    b = [get(b"^" + x[:BEGINNING], 0) for p in split for x in p]
-    e = [get(b"$" + x[-ENDING:], 0) for p in split for x in p]
+    code = np.fromiter((held[x] for p in split for x in p), np.int64, len(first))
     if hide is not None:
-        w = (np.array(w, np.int64) * (hide.random(len(w)) < 0.5)).tolist()
-    return features(w, b, e, first, *shapes(texts)), n, first
+        code = np.where(hide.random(len(code)) < 0.5, code, code % STRENGTHS**2)
+    return features(code, first, *shapes(texts)), n, first
 
 
 def marginals(f: np.ndarray, first: np.ndarray, field: Field) -> np.ndarray:
@@ -236,7 +244,7 @@ def entries_of(texts: list[bytes]) -> list[bytes]:
     own: set[bytes] = set()
     for t in texts:
         own.update(words(t))
-    return list(own.union(*map(parts, own)))
+    return list(entries(own))
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,9 +252,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic = rest.column(0).to_pylist()
         counts: tuple[Counter, Counter] = Counter(), Counter()
         for t, x in zip(texts, toxic, strict=True):
-            own = set(words(t))
-            counts[x].update(own)
-            counts[x].update(set().union(*map(parts, own)))
+            counts[x].update(entries(set(words(t))))
         names = list(counts[0] | counts[1])
         for lo in range(0, len(names), 1 << 16):
             part = names[lo : lo + (1 << 16)]
