@@ -155,6 +155,14 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encoded(empty(spark), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_words_met_before_keep_their_ids(monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 5)
+    known, enc = bpe.Known(bpe.MergeReplay(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)), encoder()
+    for words in (["anean", "the", "xqzzt"], ["anean", "b", "ceeth", "dqq"], [f"w{k}q" for k in range(9)], ["w3q", "anean", "xqzzt"]):
+        assert [x[0] for x in known.of(words)] == [enc.encode_ordinary(w) for w in words] and len(known.words) <= 5
+        assert [x[1:] for x in known.of(words)] == [(",".join(map(str, enc.encode_ordinary(w))), w.encode()) for w in words]
+
+
 def test_merge_replay_on_random_texts():
     enc, replay, rng = encoder(), bpe.MergeReplay(bpe.read_ranks(RANKS), public_tokenizers.PATTERN), random.Random(1)
     letters = " \t\n\r\x0b\x1c\x85\xa0aAbeZ'sét019²_-<|日😀́‍"

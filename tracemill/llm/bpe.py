@@ -1,10 +1,12 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-Texts are split by the vocabulary's pattern. A block of texts (bounded bytes) is one corpus: its distinct words are laid out
-once as one linked list of symbols, and an inverted index maps each adjacent symbol pair that merges to the positions where it stands.
-Merges are then replayed over the whole block in rank order, each touching just the positions listed for its pair and
-re-indexing only the two neighbours of what it joined. Documents are assembled from their words' ids. Blocks never need
-each other, so nothing is shuffled and a lost task repeats its own rows only.
+Texts are split by the vocabulary's pattern. A block of texts (bounded bytes) is laid out by its distinct words: those that the worker
+process has not met before form one linked list of symbols, and an inverted index maps each adjacent symbol pair that merges to the positions where it
+stands. Merges are then replayed over all of them in rank order, each touching just the positions listed for its pair and
+re-indexing only the two neighbours of what it joined. Words met before keep their ids from block to block and task to task (``KNOWN_WORDS`` of them
+at most, then the process begins anew), so that a word is replayed once for each process, as a rule, and not for each block. Documents are assembled from
+their words' ids. Blocks never need each other, so nothing is shuffled and a lost task repeats its own rows only; a table of all words of the corpus would
+have to be joined to the words of each block, which is more rows than the text has kilobytes by far.
 """
 
 from __future__ import annotations
@@ -134,16 +136,17 @@ class MergeReplay:
     def split(self, text: str) -> list[str]:
         return self.words.findall(text)
 
-    def encode_block(self, texts: Iterable[str]) -> tuple[list[array], list[list[int]]]:
-        """Numbers of the words of each text, and the ids of each word by its number."""
+    def numbered(self, texts: Iterable[str]) -> tuple[list[array], list[str]]:
+        """Numbers of the words of each text, and the distinct words by their numbers."""
         numbers: dict[str, int] = {}
         parts = []
         for t in texts:
             parts.append(array("I", [numbers.setdefault(w, len(numbers)) for w in self.split(t)]))
-        return parts, self.encode_words([w.encode() for w in numbers])
+        return parts, list(numbers)
 
     def encode(self, text: str) -> list[int]:
-        parts, ids = self.encode_block([text])
+        parts, words = self.numbered([text])
+        ids = self.encode_words([w.encode() for w in words])
         return [i for w in parts[0] for i in ids[w]]
 
     def decode(self, ids: Iterable[int]) -> bytes:
@@ -156,13 +159,39 @@ def shipped(spark: SparkSession, path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-_held: dict[tuple[str, str], MergeReplay] = {}
+#: Words that a worker process remembers, with their ids.
+KNOWN_WORDS = 400_000
+Word = tuple[list[int], str, bytes]  # ids, their digits, what they spell
 
 
-def replay_of(name: str, pattern: str) -> MergeReplay:
-    """The encoder for a shipped vocabulary, built once in each worker process."""
+class Known:
+    """The words that were encoded before."""
+
+    def __init__(self, replay: MergeReplay):
+        self.replay = replay
+        self.words: dict[str, Word] = {}
+
+    def of(self, words: list[str]) -> list[Word]:
+        get = self.words.get
+        out = [get(w) for w in words]
+        new = [k for k, x in enumerate(out) if x is None]
+        found = self.replay.encode_words([words[k].encode() for k in new])
+        if len(self.words) + len(new) > KNOWN_WORDS:
+            self.words.clear()
+        for k, ids in zip(new, found, strict=True):
+            out[k] = (ids, ",".join(map(str, ids)), self.replay.decode(ids))
+            if len(self.words) < KNOWN_WORDS:
+                self.words[words[k]] = out[k]
+        return out
+
+
+_held: dict[tuple[str, str], Known] = {}
+
+
+def known_of(name: str, pattern: str) -> Known:
+    """The encoder for a shipped vocabulary with the words it knows, built once in each worker process."""
     if (name, pattern) not in _held:
-        _held[name, pattern] = MergeReplay(read_ranks(SparkFiles.get(name)), pattern)
+        _held[name, pattern] = Known(MergeReplay(read_ranks(SparkFiles.get(name)), pattern))
     return _held[name, pattern]
 
 
@@ -179,20 +208,19 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text",
     name = shipped(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay = replay_of(name, pattern)
+        known = known_of(name, pattern)
         for rest, texts in blocks(batches, text, 8 << 20):
-            parts, word_ids = replay.encode_block(t.decode() for t in texts)
+            parts, words = known.replay.numbered(t.decode() for t in texts)
+            of = known.of(words)
             # a word's digits and its decoded bytes are made once; both join up to those of the text
-            digits = [",".join(map(str, x)) for x in word_ids]
-            spelled = [replay.decode(x) for x in word_ids]
-            length = list(map(len, word_ids))
+            length, digits, spelled = [len(x[0]) for x in of], [x[1] for x in of], [x[2] for x in of]
             out = {
                 "n_tokens": pa.array([sum(map(length.__getitem__, p)) for p in parts], pa.int64()),
                 "ids_sha256": pa.array([hashlib.sha256(",".join(map(digits.__getitem__, p)).encode()).hexdigest() for p in parts]),
                 "decoded_sha256": pa.array([hashlib.sha256(b"".join(map(spelled.__getitem__, p))).hexdigest() for p in parts]),
             }
             if ids:
-                out["token_ids"] = pa.array([[i for w in p for i in word_ids[w]] for p in parts], pa.list_(pa.int32()))
+                out["token_ids"] = pa.array([[i for w in p for i in of[w][0]] for p in parts], pa.list_(pa.int32()))
             yield with_columns(rest, out)
 
     return docs.mapInArrow(tidy(run), schema)
