@@ -46,14 +46,12 @@ def centroids(traces: DataFrame, copy: list[str]) -> DataFrame:
     return traces.groupBy(*copy).agg(*[F.percentile(c, 0.5).alias(c) for c in AXES])
 
 
-def densities(traces: DataFrame, cell: list[str], uid: str, label: str, sigma: float, normalize: bool = False) -> DataFrame:
-    """Per point the sum (or mean) of exp(-d^2 / 2 sigma^2) over the points of each label in its cell, itself excluded."""
-    p = traces.dropna(subset=list(AXES))
-    a = p.select(*cell, F.struct(uid, *AXES).alias("l"))
-    b = p.select(*cell, F.struct(uid, *AXES).alias("r"), F.col(label).alias("label"))
-    pairs = a.join(b, cell).where(F.col(f"l.{uid}") != F.col(f"r.{uid}"))
-    near = F.exp(-F.pow(distance("l", "r"), 2) / (2 * sigma * sigma))
-    return pairs.groupBy(F.col(f"l.{uid}").alias(uid), "label").agg((F.avg if normalize else F.sum)(near).alias("density"))
+def densities(traces: DataFrame, cell: list[str], uid: str, label: str, sigma: float, normalize: bool = False, reach: float | None = None) -> DataFrame:
+    """Per point the sum (or mean) of exp(-d^2 / 2 sigma^2) over the points of each label in its cell, itself excluded; ``reach`` as in
+    ``compartments.side_densities``."""
+    from tracemill.operators.compartments import side_densities
+
+    return side_densities(traces, cell, uid, label, uid, sigma, normalize=normalize, reach=reach).withColumnRenamed(label, "label")
 
 
 def density_overlap(densities_wide: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

@@ -92,20 +92,35 @@ def flag_sets(flags: DataFrame, keys: list[str]) -> DataFrame:
     return flags.groupBy(*keys).agg(F.array_sort(F.collect_set("flag")).alias("flags"))
 
 
-def _in_hull(point: np.ndarray, cloud: np.ndarray, rounds: int = 200) -> bool:
-    """Whether a point lies in the hull of others: Gilbert's steps towards it either reach it, or find a plane that cuts it off."""
+def _in_hull(point: np.ndarray, cloud: np.ndarray) -> bool:
+    """Whether a point is a mean of others with weights of at least 0 that add up to 1: such weights are sought by least squares, letting in one point
+    after the other as long as that helps and dropping those whose weight would fall below 0."""
     c = cloud - point
-    scale = np.abs(c).max() or 1.0
-    x = c[np.argmin((c**2).sum(1))].copy()
-    for _ in range(rounds):
-        if x @ x <= 1e-16 * scale * scale:
-            return True
-        s = c[np.argmin(c @ x)]
-        if s @ x > 1e-12 * scale * scale:
-            return False  # all points lie beyond the plane through x
-        step = x - s
-        x = x - min(1.0, max(0.0, float(x @ step) / float(step @ step))) * step
-    return bool(x @ x <= 1e-6 * scale * scale)
+    a = np.vstack([c.T / (np.abs(c).max() or 1.0), np.ones(len(c))])
+    b = np.r_[0.0, 0.0, 0.0, 1.0]
+    w, used = np.zeros(len(c)), np.zeros(len(c), bool)
+    for _ in range(3 * len(c) + 10):
+        gain = a.T @ (b - a @ w)
+        gain[used] = -np.inf
+        if used.all() or gain.max() <= 1e-10:
+            break
+        used[int(gain.argmax())] = True
+        while True:
+            s = np.zeros(len(c))
+            s[used] = np.linalg.lstsq(a[:, used], b, rcond=None)[0]
+            low = used & (s <= 1e-12)
+            if not low.any():
+                break
+            part = np.min(w[low] / np.maximum(w[low] - s[low], 1e-300))
+            w = w + min(part, 1.0) * (s - w)
+            used &= w > 1e-12
+            w[~used] = 0.0
+            if not used.any():
+                break
+        else:
+            break
+        w = s if used.any() else w
+    return bool(np.linalg.norm(a @ w - b) <= 1e-7)
 
 
 def hull_shares(points: DataFrame, keys: list[str], uid: str, label: str, target: str, size: int = 20, replicates: int = 100, seed: int = 0) -> DataFrame:

@@ -151,7 +151,8 @@ def correlation_call(matrix: np.ndarray, width: int = 4, distance: int = 3, prom
     r = np.nan_to_num(np.corrcoef(filled(matrix)))
     step = np.r_[1.0, r[np.arange(1, len(r)), np.arange(len(r) - 1)]]
     smooth = np.convolve(np.pad(step, width // 2, mode="edge"), np.ones(width) / width, "valid")[: len(step)]
-    starts = [0, *find_peaks(-smooth, distance, prominence).tolist()]
+    lows = [max(0, p - width // 2) + int(np.argmin(step[max(0, p - width // 2) : p + width // 2 + 1])) for p in find_peaks(-smooth, distance, prominence).tolist()]
+    starts = sorted({0, *lows})
     while len(starts) > 1:
         ends = [*starts[1:], len(r)]
         rows = [r[a:b].mean(0) for a, b in zip(starts, ends, strict=True)]
@@ -192,13 +193,13 @@ def local_call(matrix: np.ndarray, size: int = 5, distance: int = 3, prominence:
     return merged_starts(matrix, find_peaks(jump / scale, distance, prominence).tolist(), least_effect)
 
 
-def iterative_call(matrix: np.ndarray, width: int = 4, rounds: int = 10, **how) -> list[int]:
+def iterative_call(matrix: np.ndarray, width: int = 4, rounds: int = 10, least_effect: float = 0.3, **how) -> list[int]:
     """``call``, then again inside each domain found until none is split any more."""
-    starts = call(matrix, width, **how)
+    starts = call(matrix, width, least_effect=least_effect, **how)
     for _ in range(rounds):
         ends = [*starts[1:], len(matrix)]
-        inner = {a + s for a, b in zip(starts, ends, strict=True) if b - a > 2 * width for s in call(matrix[a:b, a:b], width, **how)}
-        then = merged_starts(matrix, sorted({*starts, *inner}))
+        inner = {a + s for a, b in zip(starts, ends, strict=True) if b - a > 2 * width for s in call(matrix[a:b, a:b], width, least_effect=least_effect, **how)}
+        then = merged_starts(matrix, sorted({*starts, *inner}), least_effect)
         if then == starts:
             break
         starts = then

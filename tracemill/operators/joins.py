@@ -12,14 +12,17 @@ def distance(a: str, b: str) -> Column:
     return F.sqrt(sum((F.pow(F.col(f"{a}.{c}") - F.col(f"{b}.{c}"), 2) for c in AXES), F.lit(0.0)))
 
 
-def _buckets(df: DataFrame, radius: float, spread: bool) -> DataFrame:
-    """Grid cell of each point; with ``spread`` a row for each of the 27 cells around it."""
+_OFFSETS = "flatten(flatten(transform(sequence(-1, 1), a -> transform(sequence(-1, 1), b -> transform(sequence(-1, 1), c -> struct(a, b, c))))))"
+
+
+def _buckets(df: DataFrame, radius: float, spread: bool, half: bool = False) -> DataFrame:
+    """Grid cell of each point; with ``spread`` a row for each of the 27 cells around it, or for itself and the 13 that follow it (``half``), with the step _o."""
     cell = [F.floor(F.col(c) / radius) for c in AXES]
     if not spread:
         return df.withColumns({f"_b{c}": v for c, v in zip(AXES, cell, strict=True)})
-    offsets = F.expr("flatten(flatten(transform(sequence(-1, 1), a -> transform(sequence(-1, 1), b -> transform(sequence(-1, 1), c -> struct(a, b, c))))))")
+    offsets = F.expr(f"filter({_OFFSETS}, o -> o.a > 0 or (o.a = 0 and (o.b > 0 or (o.b = 0 and o.c >= 0))))" if half else _OFFSETS)
     df = df.withColumn("_o", F.explode(offsets))
-    return df.withColumns({f"_b{c}": v + F.col(f"_o.{o}") for (c, v), o in zip(zip(AXES, cell, strict=True), "abc", strict=True)}).drop("_o")
+    return df.withColumns({f"_b{c}": v + F.col(f"_o.{o}") for (c, v), o in zip(zip(AXES, cell, strict=True), "abc", strict=True)})
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius: float, keys: list[str], extra: Column | None = None) -> DataFrame:
@@ -37,16 +40,36 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, keys: list[str
 
 
 def radius_pairs(points: DataFrame, radius: float, keys: list[str], uid: str) -> DataFrame:
-    """Unordered pairs of distinct points within ``radius``."""
-    return radius_join(points, points, radius, keys, F.col(f"l.{uid}") < F.col(f"r.{uid}"))
-
-
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], uid: str, other: str) -> DataFrame:
-    """For each left point its nearest right point of equal keys (lowest ``other`` on ties): uid, nearest, distance."""
-    a, b = left.select(F.struct(*left.columns).alias("l"), *keys), right.select(F.struct(*right.columns).alias("r"), *keys)
-    pairs = a.join(b, keys).withColumn("distance", distance("l", "r"))
+    """Unordered pairs of distinct points within ``radius``, the lower uid as l. Each point is listed under its own cell and the 13 that follow it, so
+    that a pair meets once."""
+    ok = points.dropna(subset=list(AXES))
+    by = [F.col(k).alias(f"_k{k}") for k in keys]
+    at = [f"_b{c}" for c in AXES]
+    a = _buckets(ok, radius, False).select(F.struct(*points.columns).alias("p"), *by, *at)
+    b = _buckets(ok, radius, True, half=True).select(F.struct(*points.columns).alias("q"), *by, *at, (F.col("_o") == F.expr("struct(0 as a, 0 as b, 0 as c)")).alias("_own"))
+    pairs = a.join(b, [f"_k{k}" for k in keys] + at).where(~F.col("_own") | (F.col(f"p.{uid}") < F.col(f"q.{uid}")))
+    first = F.col(f"p.{uid}") < F.col(f"q.{uid}")
+    pairs = pairs.withColumn("distance", distance("p", "q")).where(F.col("distance") <= radius)
+    return pairs.select(F.when(first, F.col("p")).otherwise(F.col("q")).alias("l"), F.when(first, F.col("q")).otherwise(F.col("p")).alias("r"), "distance")
+
+
+def _met(left: DataFrame, right: DataFrame, keys: list[str], uid: str, least: int, radius: float | None) -> DataFrame:
+    """Pairs l, r, distance that hold each left point's ``least`` nearest right points of equal keys.
+
+    With a radius, points meet by buckets, and only those left points that find fewer than ``least`` others there meet all of their keys. Without, all do."""
+    every = lambda df: df.select(F.struct(*left.columns).alias("l"), *keys).join(right.select(F.struct(*right.columns).alias("r"), *keys), keys).select("l", "r").withColumn("distance", distance("l", "r")).where("distance is not null")
+    if radius is None:
+        return every(left)
+    near = radius_join(left, right, radius, keys)
+    done = near.groupBy(F.col(f"l.{uid}").alias("_u")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("_u")
+    return near.join(done, F.col(f"l.{uid}") == F.col("_u"), "left_semi").unionByName(every(left.join(done, F.col(uid) == F.col("_u"), "left_anti")))
+
+
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], uid: str, other: str, radius: float | None = None) -> DataFrame:
+    """For each left point its nearest right point of equal keys (lowest ``other`` on ties): uid, nearest, distance. ``radius``: a distance within which most
+    find one."""
     best = F.min(F.struct(F.col("distance"), F.col(f"r.{other}").alias("other"))).alias("best")
-    return pairs.where("distance is not null").groupBy(F.col(f"l.{uid}").alias(uid)).agg(best).select(uid, F.col("best.other").alias("nearest"), F.col("best.distance").alias("distance"))
+    return _met(left, right, keys, uid, 1, radius).groupBy(F.col(f"l.{uid}").alias(uid)).agg(best).select(uid, F.col("best.other").alias("nearest"), F.col("best.distance").alias("distance"))
 
 
 def mutual_unique(left: DataFrame, right: DataFrame, radius: float, keys: list[str], uid: str, other: str) -> DataFrame:
@@ -56,12 +79,11 @@ def mutual_unique(left: DataFrame, right: DataFrame, radius: float, keys: list[s
     return pairs.withColumns({"_na": n("a"), "_nb": n("b")}).where("_na = 1 and _nb = 1").drop("_na", "_nb")
 
 
-def mean_neighbours(points: DataFrame, k: int, keys: list[str], uid: str) -> DataFrame:
-    """Mean distance to the k nearest points of equal keys, itself included; null where there are fewer than k."""
-    a, b = points.select(F.struct(*points.columns).alias("l"), *keys), points.select(F.struct(*points.columns).alias("r"), *keys)
-    pairs = a.join(b, keys).select(F.col(f"l.{uid}").alias(uid), distance("l", "r").alias("d"), F.col(f"r.{uid}").alias("_o"))
-    near = pairs.withColumn("_n", F.row_number().over(Window.partitionBy(uid).orderBy("d", "_o"))).where(F.col("_n") <= k)
-    return near.groupBy(uid).agg(F.when(F.count(F.lit(1)) == k, F.avg("d")).alias("mean_distance"))
+def mean_neighbours(points: DataFrame, k: int, keys: list[str], uid: str, radius: float | None = None) -> DataFrame:
+    """Mean distance to the k nearest points of equal keys, itself included; null where there are fewer than k. ``radius``: see ``nearest``."""
+    d = _met(points, points, keys, uid, k, radius).groupBy(F.col(f"l.{uid}").alias(uid)).agg(F.slice(F.array_sort(F.collect_list("distance")), 1, k).alias("_d"))
+    mean = F.aggregate("_d", F.lit(0.0), lambda a, x: a + x) / k
+    return d.select(uid, F.when(F.size("_d") == k, mean).alias("mean_distance"))
 
 
 def interval_join(points: DataFrame, regions: DataFrame, position: str, width: int = 5000, closed: bool = True) -> DataFrame:
@@ -97,3 +119,28 @@ def interaction_groups(points: DataFrame, radius: float, keys: list[str], uid: s
     links = near.select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col(f"l.{uid}").alias("a"), F.col(f"r.{uid}").alias("b"))
     inside = a.join(links, [*keys, "a"]).where(F.array_contains("members", F.col("b"))).groupBy(*keys, "members").agg(F.count(F.lit(1)).alias("n"))
     return inside.where(F.col("n") == F.size("members") * F.size("members")).select(*keys, "members")
+
+
+def containing(texts: DataFrame, parts: DataFrame, k: int, uid: str = "uid", part: str = "part", seq: str = "seq") -> DataFrame:
+    """Sequences that hold a part (of ``k`` bases at least): uid, part. Both meet by the part's first word, and the whole part is compared where that stands."""
+    from tracemill.operators.library import candidates
+
+    asked = parts.where(F.length(seq) >= k).select(F.col(uid).alias(part), F.substring(seq, 1, k).alias("_w"), F.col(seq).alias("_part"))
+    # the words of a sequence as rows, cut from pieces
+    at = candidates(texts, k, uid, seq).select(uid, F.col("seq").alias("_w")).distinct()
+    found = at.join(asked, "_w").join(texts.select(uid, F.col(seq).alias("_whole")), uid)
+    return found.where(F.contains("_whole", "_part")).select(uid, part).distinct()
+
+
+def seeds_near(seeds: DataFrame, centres: DataFrame, radius: float, keys: list[str], uid: str, centre: str, most: int) -> DataFrame:
+    """Per centre the ``most`` brightest seeds within ``radius`` of it (lowest uid on ties): keys, centre, uid, distance."""
+    near = radius_join(centres, seeds, radius, keys)
+    by = Window.partitionBy(*[F.col(f"l.{k}") for k in keys], F.col(f"l.{centre}")).orderBy(F.col("r.height").desc(), F.col(f"r.{uid}"))
+    top = near.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= most)
+    return top.select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col(f"l.{centre}").alias("centre"), F.col(f"r.{uid}").alias("seed"), "distance")
+
+
+def overlap_share(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Intervals that overlap (see ``overlap_join``), with the share of the right one that does, and whether the left one holds it whole."""
+    out = overlap_join(left, right)
+    return out.withColumn("share", F.col("overlap") / (F.col("r.end") - F.col("r.start"))).withColumn("within", (F.col("l.start") <= F.col("r.start")) & (F.col("l.end") >= F.col("r.end")))

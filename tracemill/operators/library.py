@@ -64,13 +64,13 @@ def fewest_hits(probes: DataFrame, region: str, n: int, uid: str) -> DataFrame:
     return probes.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def nearest_to(probes: DataFrame, region: str, anchor: str, n: int) -> DataFrame:
-    """The n probes of each region nearest to its left end, middle or right end."""
-    by = Window.partitionBy(region)
-    lo, hi = F.min("start").over(by), F.max("start").over(by)
-    at = {"left": lo, "right": hi, "mid": (lo + hi) / 2}[anchor]
-    out = probes.withColumn("_d", F.abs(F.col("start") - at))
-    return out.withColumn("_n", F.row_number().over(by.orderBy("_d", "start"))).where(F.col("_n") <= n).drop("_d", "_n")
+def nearest_to(probes: DataFrame, region: str, anchor: str, n: int, size: float | None = None) -> DataFrame:
+    """The n probes of each region nearest to its left end, middle or right end (ties: lower start). With ``size``, all within size / 2 of it if they are n or more."""
+    span = probes.groupBy(region).agg(F.min("start").alias("_lo"), F.max("start").alias("_hi"))
+    at = {"left": F.col("_lo"), "right": F.col("_hi"), "mid": (F.col("_lo") + F.col("_hi")) / 2}[anchor]
+    out = probes.join(span, region).withColumn("_d", F.abs(F.col("start") - at))
+    out = out.withColumn("_n", F.row_number().over(Window.partitionBy(region).orderBy("_d", "start")))
+    return out.where((F.col("_n") <= n) | (F.col("_d") <= size / 2) if size is not None else F.col("_n") <= n).select(*probes.columns)
 
 
 def shared_words(sequences: DataFrame, k: int, uid: str, seq: str = "seq") -> DataFrame:

@@ -138,7 +138,7 @@ def radius_pairs(s, d):
 @query(f"""with {A.SPOTS}, p as (select a.uid, {D} as d, b.uid as o from spots a join spots b on a.cell_id = b.cell_id),
 n as (select uid, d, row_number() over (partition by uid order by d, o) as k from p) select uid, round(case when count(*) = 10 then avg(d) end, 6) as mean_distance from n where k <= 10 group by uid""")
 def ten_neighbours(s, d):
-    return joins.mean_neighbours(A.spots(s, d), 10, ["cell_id"], "uid").select("uid", r("mean_distance").alias("mean_distance"))
+    return joins.mean_neighbours(A.spots(s, d), 10, ["cell_id"], "uid", 150.0).select("uid", r("mean_distance").alias("mean_distance"))
 
 
 @query(f"""with {A.SPOTS}, t as (select * from spots where bit < 6), q as (select * from spots where bit >= 6),
@@ -146,7 +146,7 @@ p as (select a.uid, b.uid as o, {D} as d from t a join q b on a.cell_id = b.cell
 select uid, arg_min(o, (d, o)) as nearest, round(min(d), 6) as distance from p group by uid""")
 def nearest_spot(s, d):
     sp = A.spots(s, d)
-    return joins.nearest(sp.where("bit < 6"), sp.where("bit >= 6"), ["cell_id"], "uid", "uid").select("uid", "nearest", r("distance").alias("distance"))
+    return joins.nearest(sp.where("bit < 6"), sp.where("bit >= 6"), ["cell_id"], "uid", "uid", 100.0).select("uid", "nearest", r("distance").alias("distance"))
 
 
 @query(f"""with {A.SPOTS}, p as (select a.uid as a, b.uid as b, {D} as d, b.z - a.z as sz from spots a join spots b on a.cell_id = b.cell_id and a.bit < 6 and b.bit >= 6 and {D} <= 90),

@@ -161,6 +161,36 @@ def spots_of_cells(s, d):
     return groups.of_cells(sp, cells, ["cell_id"]).select("spot", "cell_id", "cell_uid")
 
 
+@query(f"with {A.SPOTS}, k as (select c.cell_id, c.uid as centre, s.uid as seed, sqrt((c.z - s.z) ** 2 + (c.x - s.x) ** 2 + (c.y - s.y) ** 2) as dd, s.height from spots c join spots s on c.cell_id = s.cell_id where c.bit = 0), n as (select *, row_number() over (partition by cell_id, centre order by height desc, seed) as n from k where dd <= 150) select cell_id, centre, seed, round(dd, 6) as distance from n where n <= 3")
+def seeds_near_centres(s, d):
+    sp = A.spots(s, d)
+    return joins.seeds_near(sp, sp.where("bit = 0"), 150.0, ["cell_id"], "uid", "uid", 3).withColumn("distance", r("distance"))
+
+
+@query("""with v as (select distinct c_nationkey as fov_id, (c_custkey % 13)::int as z, (c_custkey % 29)::int as x, (c_custkey % 31)::int as y, (c_custkey % 7)::int as label, c_acctbal as value from customer), b as (select fov_id, avg(value) as b from v where label = 0 group by 1),
+o as (select fov_id, label, count(*) as n, avg(value) as v from v where label > 0 group by 1, 2) select fov_id, label, n from o left join b using (fov_id) where n >= 5 and v >= 1.05 * coalesce(b, 0)""")
+def gated_masks(s, d):
+    from tracemill.operators import images
+
+    v = A.table(s, d, "customer").selectExpr("c_nationkey as fov_id", "cast(c_custkey % 13 as int) as z", "cast(c_custkey % 29 as int) as x", "cast(c_custkey % 31 as int) as y", "cast(c_custkey % 7 as int) as label", "c_acctbal as value").distinct()
+    out = images.gated_masks(v.drop("value"), v.drop("label"), ["fov_id"], 5, 1.05)
+    return out.groupBy("fov_id", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {A.sequences_sql('documents', 'doc_id')}, parts as (select uid as part, substr(seq, 7, 12) as seq from sequences where uid % 50 = 0 and length(seq) >= 30) select s.uid, part from sequences s join parts p on contains(s.seq, p.seq)")
+def sequences_with_part(s, d):
+    q = A.sequences(s, d, "documents", "doc_id")
+    parts = q.where("uid % 50 = 0 and length(seq) >= 30").withColumn("seq", F.substring("seq", 7, 12))
+    return joins.containing(q, parts, 12)
+
+
+@query(f"""with {A.PEAKS}, {A.REGIONS} select p.id as peak, g.id as region, round((least(p."end", g."end") - greatest(p.start, g.start)) / (g."end" - g.start)::double, 6) as share, p.start <= g.start and p."end" >= g."end" as within
+from peaks p join regions g on p.chr = g.chr and p.start < g."end" and g.start < p."end" """)
+def overlap_shares(s, d):
+    out = joins.overlap_share(A.peaks(s, d), A.regions(s, d))
+    return out.select(F.col("l.id").alias("peak"), F.col("r.id").alias("region"), r("share").alias("share"), "within")
+
+
 # ---- registration ----
 
 
@@ -550,6 +580,93 @@ def named_reducers(s, d):
     return A.spots(s, d).groupBy("bit").agg(*[r(registry.reducer(n, F.col("height"))).alias(n) for n in ("nanmedian", "nanstd", "nanmax")])
 
 
+PROBES = "pb as (select l_orderkey * 10 + l_linenumber as uid, l_suppkey % 37 as region, l_partkey as start, (l_extendedprice * 100)::bigint % 50 as hits, l_returnflag as readout from lineitem)"
+
+
+def _probes(s, d):
+    return A.table(s, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber as uid", "l_suppkey % 37 as region", "l_partkey as start", "cast(l_quantity as bigint) % 50 as hits", "l_returnflag as readout")
+
+
+PROBES = PROBES.replace("(l_extendedprice * 100)::bigint", "l_quantity::bigint")
+
+
+@query(f"with {PROBES}, k as (select *, row_number() over (partition by region order by hits, uid) as k from pb) select uid, region, hits from k where k <= 20")
+def fewest_hits(s, d):
+    return library.fewest_hits(_probes(s, d), "region", 20, "uid").select("uid", "region", "hits")
+
+
+@query(f"with {PROBES}, p as (select region, start, min(uid) as uid from pb group by 1, 2), e as (select region, min(start) as lo, max(start) as hi from p group by 1), k as (select p.*, abs(start - (lo + hi) / 2) as dd, row_number() over (partition by region order by abs(start - (lo + hi) / 2), start) as k from p join e using (region)) select region, start, uid from k where k <= 7 or dd <= 50")
+def middle_probes(s, d):
+    p = _probes(s, d).groupBy("region", "start").agg(F.min("uid").alias("uid"))
+    return library.nearest_to(p, "region", "mid", 7, 100.0)
+
+
+@query(f"with {PROBES} select region, count(*) as n from pb group by 1 having count(*) < 1650")
+def small_regions(s, d):
+    return library.region_sizes(_probes(s, d), "region", 1650)
+
+
+@query(f"with {PROBES} select readout, count(*) as probes, count(distinct region) as regions from pb group by 1")
+def readout_use(s, d):
+    return library.readout_use(_probes(s, d), "region", F.array("readout"))
+
+
+@query(f"""with {A.sequences_sql()}, w as (select uid, s, substr(seq, s, 20) as q from (select uid, seq, unnest(range(1, length(seq) - 18)) as s from sequences where length(seq) >= 20)),
+g as (select *, (length(q) - length(replace(replace(q, 'G', ''), 'C', ''))) / 20.0 as gc, (length(q) - length(replace(q, 'C', ''))) / 20.0 as c from w)
+select uid, (s - 1)::int as start, q as seq from g where gc > 0.4 and gc < 0.6 and c > 0.22 and c < 0.28 and not regexp_matches(q, 'AAAA|CCCC|GGGG|TTTT') and len(list_distinct(list_transform(range(1, 16), lambda k: substr(q, k, 6)))) = 15
+  and len(list_filter(range(1, 8), lambda k: 6 - length(replace(substr(q, k, 6), 'C', '')) >= 4)) = 0""")
+def readout_candidates(s, d):
+    return library.candidates(A.sequences(s, d), 20, "uid").where(dna.readout_ok(F.col("seq")))
+
+
+@query(f"with {CANDIDATES}, k as (select *, row_number() over (partition by cell_id order by round(height, 9) desc, a, b) as k from cand) select cell_id, a, b from k where k <= 4")
+def top_pairs(s, d):
+    return windows.top(_candidates(s, d), ["cell_id"], [F.round("height", 9).desc(), F.col("a"), F.col("b")], 4).select("cell_id", "a", "b")
+
+
+@query(f"with {A.CODES_SQL} select region_id, 'bit_' || bit as bit from codes")
+def melted_codebook(s, d):
+    from tracemill.sources import tables
+
+    bits = list(range(12))
+    return decode.melted(tables.codebook_wide(A.codes(s), bits), [f"bit_{b}" for b in bits])
+
+
+@query("""with p as (select distinct o_custkey as rna_cell, o_custkey % 1000 + 1 as dna_cell from orders where o_custkey % 3 = 0 union select o_custkey, o_custkey from orders where o_custkey % 50 = 0),
+u as (select *, count(*) over (partition by rna_cell) as a, count(*) over (partition by dna_cell) as b from p) select d.c_custkey as cell_id, r.c_custkey as rna_cell_id, d.c_name as name, r.c_name as rna_name from u join customer d on dna_cell = d.c_custkey join customer r on rna_cell = r.c_custkey where a = 1 and b = 1""")
+def paired_cells(s, d):
+    from tracemill.operators import merging
+
+    cells = A.table(s, d, "customer").selectExpr("c_custkey as cell_id", "c_name as name")
+    o = A.table(s, d, "orders")
+    pairs = o.where("o_custkey % 3 = 0").selectExpr("o_custkey as rna_cell", "o_custkey % 1000 + 1 as dna_cell").union(o.where("o_custkey % 50 = 0").selectExpr("o_custkey", "o_custkey"))
+    return merging.paired_cells(cells, cells, pairs)
+
+
+@query("""with b as (select n_nationkey as id, n_regionkey as g, n_nationkey::double as lo, n_nationkey + 4.0 + n_regionkey as hi from nation) select a.id as a, c.id as b, round(greatest(0, least(a.hi, c.hi) - greatest(a.lo, c.lo)) ** 3, 6) as volume,
+round(greatest(0, least(a.hi, c.hi) - greatest(a.lo, c.lo)) ** 3 / least((a.hi - a.lo) ** 3, (c.hi - c.lo) ** 3), 6) as share from b a join b c on a.g = c.g and a.id < c.id""")
+def box_overlaps(s, d):
+    b = A.table(s, d, "nation").selectExpr("n_nationkey as id", "n_regionkey as g", *[f"{e} as {c}_{n}" for c in AXES for n, e in (("min", "cast(n_nationkey as double)"), ("max", "n_nationkey + 4.0D + n_regionkey"))])
+    pairs = b.select("g", F.struct(*b.columns).alias("l")).join(b.select("g", F.struct(*b.columns).alias("r")), "g").where("l.id < r.id")
+    v = geometry.box_overlap("l", "r")
+    return pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), r(v).alias("volume"), r(groups.relative_overlap(v, "l", "r")).alias("share"))
+
+
+@query(f"with {A.SPOTS} select cell_id, region, arg_max(uid, (height, -uid)) as uid, max(ln(height / 2000)) >= 3 * ln(0.8) as kept from spots group by 1, 2")
+def kept_picks(s, d):
+    from tracemill.operators import picking
+
+    best = picking.brightest(A.spots(s, d), ["cell_id", "region"]).withColumn("score", F.log(F.col("height") / 2000))
+    return picking.filter_by_score(best, "score", 3.0, 0.8).select("cell_id", "region", "uid", "kept")
+
+
+@query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def windowed_counts(s, d):
+    from tracemill.streaming import ingest
+
+    return ingest.windowed_counts(A.table(s, d, "events"), "ts", "event_type").select(F.col("window.start").alias("start"), "event_type", "n", r("total", 4).alias("total"))
+
+
 # ---- arrays ----
 
 

@@ -193,7 +193,7 @@ def descendants(annotation: DataFrame, depth: int = 3) -> DataFrame:
     step = annotation.select("id", F.explode("parents").alias("ancestor")).where("id is not null").distinct()
     out, last = step.withColumn("distance", F.lit(1)), step
     for k in range(2, depth + 1):
-        last = last.join(step.withColumnsRenamed({"id": "ancestor", "ancestor": "_up"}), "ancestor").select("id", F.col("_up").alias("ancestor")).distinct()
+        last = last.join(step.select(F.col("id").alias("_at"), F.col("ancestor").alias("_up")), F.col("ancestor") == F.col("_at")).select("id", F.col("_up").alias("ancestor")).distinct()
         out = out.unionByName(last.withColumn("distance", F.lit(k)))
     return out
 
