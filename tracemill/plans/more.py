@@ -710,3 +710,52 @@ ORACLE["bootstrap_interval"] = f"""with {A.SPOTS}, h as (select cell_id, height,
 u as (select cell_id, height, rep, ((h0 + rep * h1 + rep * rep * h2) % 2147483647) / 2147483647.0::double as u from h, range(0, 100) t(rep)),
 w as (select cell_id, rep, sum(height * w) / nullif(sum(w), 0) as m from (select *, {' + '.join(f'(u >= {c!r}::double)::int' for c in __import__('tracemill.operators.merging', fromlist=['POISSON']).POISSON)} as w from u) group by 1, 2)
 select cell_id, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from w group by 1"""
+
+ORACLE["spots_without_replicates"] = f"""with recursive {A.SPOTS}, nb as (select a.cell_id, a.uid, list(b.uid) as near from spots a join spots b on a.cell_id = b.cell_id and a.uid <> b.uid and {D} < 80 group by 1, 2),
+o as (select s.cell_id, s.uid, height >= 1050 as bright, coalesce(near, []::bigint[]) as near, row_number() over (partition by s.cell_id order by s.uid) as k from spots s left join nb using (cell_id, uid)),
+st as (select distinct cell_id, 0::bigint as k, []::bigint[] as gone from o union all
+  select st.cell_id, o.k, case when bright and not list_contains(gone, uid) then list_concat(gone, near) else gone end from st join o on o.cell_id = st.cell_id and o.k = st.k + 1),
+last as (select cell_id, arg_max(gone, k) as gone from st group by 1) select uid from o join last using (cell_id) where bright and not list_contains(gone, uid)"""
+
+ORACLE["spots_aligned_once"] = f"""with recursive {A.SPOTS}, c as (select cell_id, a, list({{'b': b, 'd': d}} order by d, b) as near from (select a.cell_id, a.uid as a, b.uid as b, {D} as d from spots a join spots b on a.cell_id = b.cell_id and a.bit < 6 and b.bit >= 6) where d < 120 group by 1, 2),
+o as (select *, row_number() over (partition by cell_id order by a) as k from c), st as (select distinct cell_id, 0::bigint as k, []::bigint[] as used, null::struct(b bigint, d double) as took from o union all
+  select cell_id, k, case when took is null then used else list_append(used, took.b) end, took from (select st.cell_id, o.k, used, list_filter(near, lambda x: not list_contains(used, x.b))[1] as took from st join o on o.cell_id = st.cell_id and o.k = st.k + 1))
+select cell_id, a, took.b as b, round(took.d, 6) as distance from st join o using (cell_id, k) where took is not null"""
+
+ORACLE["homolog_centres"] = f"""with {A.SPOTS}, p as (select a.cell_id, a.uid as a, b.uid as b, a.z as az, a.x as ax, a.y as ay, b.z as bz, b.x as bx, b.y as "by" from spots a join spots b on a.cell_id = b.cell_id and a.uid > b.uid),
+m as (select p.cell_id, p.a, p.b, s.region, sqrt((s.z - az) ** 2 + (s.x - ax) ** 2 + (s.y - ay) ** 2) as da, sqrt((s.z - bz) ** 2 + (s.x - bx) ** 2 + (s.y - p."by") ** 2) as db from p join spots s using (cell_id)),
+g as (select cell_id, a, b, region, bool_or(da > db) and bool_or(da <= db) as both_sides from m group by 1, 2, 3, 4), n as (select cell_id, a, b, sum(both_sides::int) as cover from g group by 1, 2, 3),
+q as (select cell_id, a, b, round(avg(da) filter (where da <= db) + avg(db) filter (where da > db), 6) as radius from m group by 1, 2, 3),
+s as (select cell_id, a, b, cume_dist() over (partition by cell_id order by -radius) * cume_dist() over (partition by cell_id order by cover) as share from q join n using (cell_id, a, b))
+select cell_id, arg_min(a, (-share, a, b)) as a, arg_min(b, (-share, a, b)) as b from s group by 1"""
+
+ORACLE["dynamic_pick"] = f"""with recursive {A.SPOTS}, c as (select cell_id, region, list({{'uid': uid, 'z': z, 'x': x, 'y': y, 's': ln(height / 1000)}} order by uid) as cands from spots group by 1, 2),
+o as (select *, row_number() over (partition by cell_id order by region) as k, region - lag(region) over (partition by cell_id order by region) as gap from c),
+st as (select cell_id, k, list_transform(cands, lambda t: {{'z': t.z, 'x': t.x, 'y': t.y, 'best': t.s, 'path': [t.uid]}}) as state from o where k = 1 union all
+  select o.cell_id, o.k, list_transform(cands, lambda t: list_sort(list_transform(range(1, len(state) + 1), lambda i: {{'v': -(state[i].best - sqrt((t.z - state[i].z) ** 2 + (t.x - state[i].x) ** 2 + (t.y - state[i].y) ** 2) / 100 / gap), 'i': i, 'path': list_append(state[i].path, t.uid)}}))[1])
+    .list_transform(lambda w, n: {{'z': cands[n].z, 'x': cands[n].x, 'y': cands[n].y, 'best': cands[n].s - w.v, 'path': w.path}}) from st join o on o.cell_id = st.cell_id and o.k = st.k + 1),
+last as (select cell_id, arg_max(state, k) as state from st group by 1), p as (select cell_id, list_sort(list_transform(range(1, len(state) + 1), lambda i: {{'v': -state[i].best, 'i': i, 'path': state[i].path}}))[1].path as path from last),
+u as (select cell_id, unnest(path) as uid from p) select u.cell_id, s.region, u.uid from u join spots s using (uid)"""
+
+_AT = {m: "v" + "".join("nop"[x + 1] for x in m) for m in ((a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)) if 0 in m}
+
+
+def _second(i: int, j: int) -> str:
+    step = lambda *moves: _AT[tuple(sum(s for k, s in moves if k == x) for x in range(3))]
+    if i == j:
+        return f"({step((i, 1))} + {step((i, -1))} - 2 * vooo)"
+    return f"(({step((i, 1), (j, 1))} + {step((i, -1), (j, -1))} - {step((i, 1), (j, -1))} - {step((i, -1), (j, 1))}) / 4)"
+
+
+_H = {f"h{i}{j}": _second(i, j) for i in range(3) for j in range(i, 3)}
+ORACLE["cloud_peaks"] = f"""with {A.SPOTS}, o as (select unnest(range(-1, 2)) as o), g as (select cell_id, (round(z / 50) + a.o)::int as gz, (round(x / 50) + b.o)::int as gx, (round(y / 50) + c.o)::int as gy, z / 50 as z, x / 50 as x, y / 50 as y from spots, o a, o b, o c),
+v as (select cell_id, gz as z, gx as x, gy as y, sum(exp(-((gz - z) ** 2 + (gx - x) ** 2 + (gy - y) ** 2) / (2 * 0.8 * 0.8))) as density from g group by 1, 2, 3, 4),
+n as (select a.cell_id, a.z, a.x, a.y, {', '.join(f'coalesce(max(b.density) filter (where b.z - a.z = {m[0]} and b.x - a.x = {m[1]} and b.y - a.y = {m[2]}), 0) as {c}' for m, c in _AT.items())}
+  from v a join v b on a.cell_id = b.cell_id and abs(a.z - b.z) <= 1 and abs(a.x - b.x) <= 1 and abs(a.y - b.y) <= 1 group by 1, 2, 3, 4), h as (select *, {', '.join(f'{e} as {k}' for k, e in _H.items())} from n)
+select cell_id, z, x, y, round(vooo, 6) as density from h where {' and '.join(f'vooo > {_AT[m]}' for m in _AT if sum(map(abs, m)) == 1)} and h00 < 0 and h00 * h11 - h01 * h01 > 0
+  and h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) < 0"""
+
+ORACLE["compartment_axis"] = f"""with {A.TRACES}, m as (select copy, avg(z) filter (where label = 'A') as az, avg(x) filter (where label = 'A') as ax, avg(y) filter (where label = 'A') as ay, avg(z) filter (where label = 'B') as bz, avg(x) filter (where label = 'B') as bx, avg(y) filter (where label = 'B') as "by" from traces group by 1),
+n as (select copy, bz - az as dz, bx - ax as dx, "by" - ay as dy, sqrt((bz - az) ** 2 + (bx - ax) ** 2 + ("by" - ay) ** 2) as n from m), u as (select copy, dz / n as c, dx / n as p, dy / n as q from n where n > 0)
+select event_id, round(case when c is null then z else z * c + x * p + y * q end, 5) as z, round(case when c is null then x else -z * p + x * (1 - p * p / (1 + c)) - y * p * q / (1 + c) end, 5) as x,
+  round(case when c is null then y else -z * q - x * p * q / (1 + c) + y * (1 - q * q / (1 + c)) end, 5) as y from traces left join u using (copy)"""
