@@ -254,6 +254,69 @@ def test_shards(spark):
     assert sorted(spread.values()) == [12] * 4 + [13] * 4
 
 
+def propagated(rows, n_shards):
+    """Balanced label propagation over (doc_id, text) in plain Python: the shard of each row."""
+    import xxhash
+
+    md5 = lambda t: hashlib.md5((t or "").encode()).hexdigest()
+    key = lambda d: (d is not None, d or 0)
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    docs_ = sorted(({"id": d, "g": md5(t), "size": len((t or "").encode()) + 16} for d, t in rows), key=lambda r: (r["g"], key(r["id"]), r["size"]))
+    count, seen = Counter(r["g"] for r in docs_), Counter()
+    for r in docs_:
+        r["k"], r["n"] = seen[r["g"]], count[r["g"]]
+        seen[r["g"]] += 1
+    room = [len(docs_) // n_shards + (s < len(docs_) % n_shards) for s in range(n_shards)]
+    for at, r in enumerate(sorted(docs_, key=lambda r: (key(r["id"]), r["g"], r["k"]))):
+        r["shard"] = at % n_shards
+
+    def cut(rs):
+        held = defaultdict(Counter)
+        for r in rs:
+            held[r["g"]][r["shard"]] += 1
+        return sum(sum(c.values()) - max(c.values()) for c in held.values())
+
+    best = cut(docs_)
+    while best:
+        held = defaultdict(Counter)
+        for r in docs_:
+            if r["n"] > 1:
+                held[r["g"]][r["shard"]] += 1
+        tie = lambda g, s: signed(xxhash.xxh64(s.to_bytes(4, "little"), seed=xxhash.xxh64(g.encode(), seed=42).intdigest()).intdigest())
+        wish = {g: sorted(c, key=lambda s: (-c[s], tie(g, s))) for g, c in held.items()}  # noqa: B023
+        new, left, rest, claimed = [], list(room), [], Counter()
+        for r in sorted((r for r in docs_ if r["n"] > 1), key=lambda r: (-r["n"], r["g"], r["k"])):
+            choice = r["k"] // max(max(room), 1)
+            to = wish[r["g"]][choice] if choice < len(wish[r["g"]]) else None
+            if to is not None and claimed[to] < room[to]:
+                claimed[to] += 1
+                left[to] -= 1
+                new.append({**r, "shard": to})
+            else:
+                rest.append(r)
+        rest += [r for r in docs_ if r["n"] == 1]
+        places = [s for s, free in enumerate(left) for _ in range(free)]
+        new += [{**r, "shard": s} for r, s in zip(sorted(rest, key=lambda r: (-r["n"], r["g"], r["k"], key(r["id"]))), places, strict=True)]
+        after = cut(new)
+        if after >= best:
+            break
+        docs_, best = new, after
+    return Counter((r["id"], r["size"], r["g"], r["shard"]) for r in docs_), best
+
+
+def test_shards_equal_a_plain_version(spark):
+    rng = random.Random(12)
+    for n, shards_, kinds in ((120, 5, 30), (90, 8, 6), (60, 7, 60), (41, 40, 9), (5, 8, 2)):
+        data = [(rng.choice([d, d, None]), f"text {min(rng.randrange(kinds), rng.randrange(kinds))}") for d in range(n)]
+        want, cut = propagated(data, shards_)
+        df = spark.createDataFrame(data, "doc_id long, text string")
+        text = {hashlib.md5(t.encode()).hexdigest(): zlib.crc32(t.encode()) for _, t in data}
+        got = Counter((r.doc_id, r["size"], r.text_crc32, r.shard) for r in shards.sharded(df, shards_).collect())
+        assert got == Counter({(d, size, text[g], s): k for (d, size, g, s), k in want.items()})
+        most = sum(c - 1 for c in Counter(t for _, t in data).values())
+        assert cut < most if n > shards_ else cut == most  # shards of one row cut every link
+
+
 def test_shards_go_on_while_fewer_links_are_cut(spark, monkeypatch):
     cuts = iter([9, 7, 5, 4, 3, 2, 2])
     moves = []
