@@ -7,7 +7,8 @@ of each depth along a path, and so the mix that predicts a bit. Contexts and nod
 ends at the deepest that has. A text is scored to its end, which is a byte of its own (0), like the start that precedes it.
 
 Spark counts (context, byte) strings of depth + 1 bytes over the whole corpus and keeps them as a distributed table. Contexts
-that share their last two bytes are handled together, in one task; only contexts of up to one byte, at most 257 with 255 nodes
+that share their last three bytes are handled together, and tasks take as many of these as their strings allow; what they add up to for contexts of two bytes is a
+table of its own, of which each task gets the rows of its contexts by a join. Only contexts of up to one byte, at most 257 with 255 nodes
 each, go through the driver. Blocks of documents then fetch the predictions of their own distinct strings by a join.
 """
 
@@ -25,7 +26,7 @@ from tracemill.llm.arrow import blocks, tidy
 from tracemill.llm.common import checkpoint, crc_mod, release, table
 from tracemill.llm.hashing import U, word_hashes
 
-DEPTH, TOP = 5, 2
+DEPTH, TOP = 5, 3
 CHUNK_BYTES, BLOCK_BYTES = 1 << 20, 16 << 20
 #: Strings of a task of subtrees, on average.
 TASK_STRINGS = 1 << 20
@@ -94,15 +95,23 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - math.log(math.pi)
 
 
+def mixed(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """ln weighted of nodes, from their counts and ``below``, the ln weighted of all longer contexts together; and the share of their own estimate in it. At the
+    greatest depth the estimate stands alone."""
+    own = estimate(zeros, ones)
+    if below is None:
+        return own, np.ones(len(own))
+    both = np.logaddexp(own, below) - math.log(2)
+    return both, np.exp(own - math.log(2) - both)
+
+
 class Level:
-    """The nodes of one depth and bit: sorted keys (context, bits so far), counts, ln estimate, ln weighted."""
+    """The nodes of one depth and bit: sorted keys (context, bits so far), counts, ln weighted, and the weight of their own estimate."""
 
-    def __init__(self, keys, zeros, ones, below=None):
-        self.keys, self.zeros, self.ones = keys, zeros, ones
-        own = estimate(zeros, ones)
-        # at the greatest depth the estimate stands alone
-        self.weighted = own if below is None else np.logaddexp(own, below) - math.log(2)
-        self.weight = np.ones(len(keys)) if below is None else np.exp(own - math.log(2) - self.weighted)
+    def __init__(self, keys, zeros, ones, below=None, weight=None):
+        self.keys, self.zeros, self.ones, self.weight = keys, zeros, ones, weight
+        if weight is None:
+            self.weighted, self.weight = mixed(zeros, ones, below)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
@@ -178,7 +187,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per node of one-byte contexts: counts, and the ln weighted probabilities of the longer contexts below."""
+    """Per node of two-byte contexts: counts, and the ln weighted probabilities of the longer contexts below."""
     keys, n = _gathered(batches)
     keys, n = keys[n > 0], n[n > 0]
     levels = grow(keys, n)
@@ -190,6 +199,27 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(context), pa.array(prefix | 1 << bit), *map(pa.array, sums)], ["context", "node", "zeros", "ones", "below"])
 
 
+def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of two-byte contexts with their ln weighted and the weight of their own estimate."""
+    for b in batches:
+        zeros, ones, below = (b.column(k).to_numpy() for k in (2, 3, 4))
+        both, weight = mixed(zeros, ones, below)
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(both), pa.array(weight)], ["context", "node", "zeros", "ones", "weighted", "weight"])
+
+
+def _level_two(rows: pa.Table) -> dict[tuple[int, int], Level]:
+    """Depth 2 from its rows."""
+    out = {}
+    context, node, zeros, ones, weight = (rows.column(c).to_numpy() for c in ("context", "node", "zeros", "ones", "weight"))
+    for bit in range(8):
+        mine = np.flatnonzero((node >= 1 << bit) & (node < 2 << bit))
+        keys = (context[mine].astype(np.uint64) << U(bit)) | (node[mine] - (1 << bit)).astype(np.uint64)
+        order = np.argsort(keys)
+        at = mine[order]
+        out[2, bit] = Level(keys[order], zeros[at], ones[at], weight=weight[at])
+    return out
+
+
 def _top_levels(rows) -> dict[tuple[int, int], Level]:
     """Depths 1 and 0 from the sums of depth 2."""
     out = {}
@@ -295,22 +325,30 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
     words = every.where(~is_string)
     n_all, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     spark = docs.sparkSession
-    # as many tasks as their strings need, whatever the session's number; a two-byte context is the smallest unit
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-every.where(is_string).count() // TASK_STRINGS))
-    subtrees = every.where(is_string).repartition(tasks, F.shiftright("key", 8 * (DEPTH - TOP + 1)))
-    sums = subtrees.mapInArrow(tidy(_sums), "context int, node int, zeros double, ones double, below double")
-    top = _top_levels(sums.groupBy("context", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).collect())
-    top = spark.sparkContext.broadcast(top)
-
-    def predictions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = _gathered(batches)
-        levels = grow(keys[n > 0], n[n > 0]) | top.value
-        for lo in range(0, len(keys), 1 << 17):
-            part = keys[lo : lo + (1 << 17)]
-            yield from _batches(part, {"value": predict(part, levels)})
-
-    values = checkpoint(subtrees.mapInArrow(tidy(predictions), "key long, value double").unionAll(words.select("key", F.col("n").cast("double").alias("value"))))
-    del every, words, subtrees, sums
+    # as many tasks as their strings need, whatever the session's number; a three-byte context is the smallest unit
+    strings_ = every.where(is_string)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-strings_.count() // TASK_STRINGS))
+    sums = strings_.repartition(tasks, F.shiftright("key", 8 * (DEPTH - TOP + 1))).mapInArrow(tidy(_sums), "context int, node int, zeros double, ones double, below double")
+    sums = sums.groupBy("context", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below"))
+    two = checkpoint(sums.mapInArrow(_weighed, "context int, node int, zeros double, ones double, weighted double, weight double"))
+    one = two.groupBy(F.shiftright("context", 8).alias("context"), "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
+    top = spark.sparkContext.broadcast(_top_levels(one.collect()))
+
+    def predictions(own: pa.Table, nodes_: pa.Table) -> pa.Table:
+        keys, n = own.column("key").to_numpy().view(U), own.column("n").to_numpy()
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        levels = grow(keys[n > 0], n[n > 0]) | _level_two(nodes_) | top.value
+        value = [predict(keys[lo : lo + (1 << 17)], levels) for lo in range(0, len(keys), 1 << 17)]
+        return pa.table({"key": pa.array(keys.view(np.int64)), "value": pa.array(np.concatenate([np.zeros(0), *value]))})
+
+    dealt_out = strings_.withColumn("task", F.pmod(F.xxhash64(F.shiftright("key", 8 * (DEPTH - TOP + 1))), F.lit(tasks)))
+    needed = dealt_out.select("task", F.shiftright("key", 8 * (DEPTH - 1)).cast("int").alias("context")).distinct()
+    side = needed.join(two.drop("weighted"), "context")
+    side = side.toDF(*side.columns)  # columns of its own, as both sides come from the same strings
+    found = dealt_out.groupBy("task").cogroup(side.groupBy("task")).applyInArrow(predictions, "key long, value double")
+    values = checkpoint(found.unionAll(words.select("key", F.col("n").cast("double").alias("value"))))
+    del every, words, strings_, sums, two, one, dealt_out, needed, side, found
     release(spark)
     n_blocks = max(1, -(-int(size) // BLOCK_BYTES))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))).repartition(max(n_blocks, 2), "block")
