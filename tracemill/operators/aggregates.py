@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.functions.statistics import median
 from tracemill.operators.joins import AXES, distance
 
 
@@ -22,7 +23,7 @@ def contact(d: Column, threshold: float, op: str = "<=", nulls: str = "skip") ->
     return hit / F.nullif(all_, F.lit(0))
 
 
-STATISTICS = {"median": lambda d: F.percentile(d, 0.5), "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_pop, "count": F.count}
+STATISTICS = {"median": median, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_pop, "count": F.count}
 
 
 def population_map(pairs: DataFrame, keys: list[str], threshold: float, statistics: tuple[str, ...] = ("median",)) -> DataFrame:
@@ -37,13 +38,13 @@ def radius_of_gyration(traces: DataFrame, copy: list[str]) -> DataFrame:
 
 
 def radius_about_median(traces: DataFrame, copy: list[str]) -> DataFrame:
-    middle = traces.groupBy(*copy).agg(*[F.percentile(c, 0.5).alias(f"m{c}") for c in AXES])
+    middle = traces.groupBy(*copy).agg(*[median(F.col(c)).alias(f"m{c}") for c in AXES])
     d = F.sqrt(sum((F.pow(F.col(c) - F.col(f"m{c}"), 2) for c in AXES), F.lit(0.0)))
     return traces.join(middle, copy).groupBy(*copy).agg(F.avg(d).alias("rg_median"))
 
 
 def centroids(traces: DataFrame, copy: list[str]) -> DataFrame:
-    return traces.groupBy(*copy).agg(*[F.percentile(c, 0.5).alias(c) for c in AXES])
+    return traces.groupBy(*copy).agg(*[median(F.col(c)).alias(c) for c in AXES])
 
 
 def densities(traces: DataFrame, cell: list[str], uid: str, label: str, sigma: float, normalize: bool = False, reach: float | None = None) -> DataFrame:
@@ -82,7 +83,7 @@ def domain_contacts(pairs: DataFrame, domains: DataFrame, copy: list[str], thres
 def effect_size(pairs: DataFrame, keys: list[str], intra: Column, method: str = "median") -> DataFrame:
     """(centre of inter - centre of intra distances) / root of the mean of their spreads, not below 0."""
     p = pairs.where("d is not null").withColumn("_in", intra)
-    middle = (lambda c: F.percentile(c, 0.5)) if method == "median" else F.avg
+    middle = median if method == "median" else F.avg
     centre = p.groupBy(*keys, "_in").agg(middle(F.col("d")).alias("m"))
     spread = p.join(centre, [*keys, "_in"]).groupBy(*keys, "_in").agg(F.first("m").alias("m"), middle(F.pow(F.col("d") - F.col("m"), 2)).alias("v"))
     side = lambda x, c: F.max(F.when(F.col("_in") == x, F.col(c)))

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions.statistics import median
 from tracemill.operators.joins import AXES, distance, radius_join
 
 
@@ -66,7 +67,7 @@ def gated_map(pairs: DataFrame, copies: DataFrame, copy: list[str], threshold: f
     d = F.col("d")
     contact = F.sum(F.when(d < threshold, 1).otherwise(0)) / F.nullif(F.sum(F.when(d != threshold, 1).otherwise(0)), F.lit(0))
     failure = F.avg(F.when(d.isNull(), 1.0).otherwise(0.0))
-    return pairs.join(use, copy).groupBy("i", "j").agg(F.percentile(d, 0.5).alias("median"), F.avg(d).alias("mean"), contact.alias("contact"), failure.alias("failure"))
+    return pairs.join(use, copy).groupBy("i", "j").agg(median(d).alias("median"), F.avg(d).alias("mean"), contact.alias("contact"), failure.alias("failure"))
 
 
 def dependent_maps(pairs: DataFrame, flags: DataFrame, copy: list[str], threshold: float) -> DataFrame:

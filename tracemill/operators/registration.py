@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.functions.statistics import median
 from tracemill.operators.joins import AXES
 
 
@@ -28,7 +29,7 @@ def translation(target: DataFrame, fixed: DataFrame, keys: list[str], most: floa
         pairs = pairs.where(F.abs(c) <= most)
     pairs = pairs.withColumns({f"g{c}": F.floor(F.col(c) / cell) for c in AXES})
     grid = [f"g{c}" for c in AXES]
-    votes = pairs.groupBy(*keys, *grid).agg(F.count(F.lit(1)).alias("votes"), *[F.percentile(c, 0.5).alias(f"shift_{c}") for c in AXES])
+    votes = pairs.groupBy(*keys, *grid).agg(F.count(F.lit(1)).alias("votes"), *[median(F.col(c)).alias(f"shift_{c}") for c in AXES])
     best = votes.groupBy(*keys).agg(F.min(F.struct((-F.col("votes")).alias("o"), *grid, "votes", *[f"shift_{c}" for c in AXES])).alias("m"))
     return best.select(*keys, "m.votes", *[f"m.shift_{c}" for c in AXES])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions.statistics import median
 from tracemill.operators.joins import AXES
 
 
@@ -125,7 +126,7 @@ def step_distance(candidates: DataFrame, copy: list[str], order: str, uid: str,
     """For candidates, of which a region may have several: the median distance to those ``step`` regions on (backwards if negative)."""
     there = candidates.select(*copy, (F.col(order) - step).alias(order), *[F.col(c).alias(f"_{c}") for c in AXES])
     d = F.sqrt(sum((F.pow(F.col(c) - F.col(f"_{c}"), 2) for c in AXES), F.lit(0.0)))
-    return candidates.join(there, [*copy, order], "left").groupBy(*copy, order, uid).agg(F.percentile(d, 0.5).alias("distance"))
+    return candidates.join(there, [*copy, order], "left").groupBy(*copy, order, uid).agg(median(d).alias("distance"))
 
 
 def reference_distance(candidates: DataFrame, references: DataFrame, copy: list[str], order: str, uid: str, size: int) -> DataFrame:
@@ -160,8 +161,8 @@ def loop_out_hits(pairs: DataFrame, domains: DataFrame, copy: list[str], most: f
     own = of.select(*copy, F.col("j").alias("i"), F.col("domain").alias("home"), F.col("edge").alias("at_edge")).where("not at_edge").drop("at_edge")
     d = both.join(own, [*copy, "i"]).join(of.drop("edge"), [*copy, "j"])
     keys = [*copy, "i", "home", "domain"]
-    middle = d.groupBy(*keys).agg(F.percentile("d", 0.5).alias("m"))
-    spread = d.join(middle, keys).groupBy(*keys).agg(F.first("m").alias("m"), F.percentile(F.pow(F.col("d") - F.col("m"), 2), 0.5).alias("v"))
+    middle = d.groupBy(*keys).agg(median(F.col("d")).alias("m"))
+    spread = d.join(middle, keys).groupBy(*keys).agg(F.first("m").alias("m"), median(F.pow(F.col("d") - F.col("m"), 2)).alias("v"))
     home = spread.where("home = domain").select(*copy, "i", F.col("m").alias("m0"), F.col("v").alias("v0"))
     metric = (F.col("m") - F.col("m0")) / F.sqrt(F.nullif(F.col("v") + F.col("v0"), F.lit(0.0)))
     return spread.join(home, [*copy, "i"]).where("home <> domain").select(*copy, "i", "domain", metric.alias("metric"), F.coalesce(metric < most, F.lit(False)).alias("hit"))
