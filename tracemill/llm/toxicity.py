@@ -79,32 +79,36 @@ class Model:
 def products(m: np.ndarray) -> np.ndarray:
     """Vectors v[t] ~ m[t] m[t-1] ... m[0] 1, each scaled to sum 1, for a sequence of 2x2 matrices.
 
-    The sequence is cut into about sqrt(n) chunks that advance side by side, first as products, then as vectors.
+    The sequence is cut into chunks, about nine times as many as each has steps, that advance side by side, first as products, then as vectors.
     """
     n = len(m)
     if not n:
         return np.zeros((0, 2))
-    size = int(np.ceil(np.sqrt(n)))
+    size = int(np.ceil(np.sqrt(n) / 3))
     chunks = -(-n // size)
-    whole = np.broadcast_to(np.eye(2), (chunks * size, 2, 2)).copy()
-    whole[:n] = m
-    whole = whole.reshape(chunks, size, 2, 2)
-    total = whole[:, 0]
-    for k in range(1, size):
-        total = np.einsum("cij,cjk->cik", whole[:, k], total)
-        total /= total.sum(axis=(1, 2), keepdims=True)
-    v = np.empty((chunks, 2))
-    v[0] = 0.5
-    for c in range(1, chunks):
-        v[c] = total[c - 1] @ v[c - 1]
-        v[c] /= v[c].sum()
-    out = np.empty((chunks, size, 2))
-    for k in range(size):
-        a, b = whole[:, k, :, 0] * v[:, :1], whole[:, k, :, 1] * v[:, 1:]
-        v = a + b
-        v /= v.sum(axis=1, keepdims=True)
-        out[:, k] = v
-    return out.reshape(-1, 2)[:n]
+    whole = np.zeros((2, 2, chunks * size))
+    whole[0, 0, n:] = whole[1, 1, n:] = 1
+    whole[:, :, :n] = m.transpose(1, 2, 0)
+    whole = np.ascontiguousarray(whole.reshape(2, 2, chunks, size).transpose(3, 0, 1, 2))  # [step, to, from, chunk]
+    (p, q), (r, s) = whole[0]
+    for (a, b), (c, d) in whole[1:]:
+        p, q, r, s = a * p + b * r, a * q + b * s, c * p + d * r, c * q + d * s
+        f = 1 / (p + q + r + s)
+        p, q, r, s = p * f, q * f, r * f, s * f
+    x, y = np.empty(chunks), np.empty(chunks)
+    u = w = 0.5
+    for k, (a, b, c, d) in enumerate(zip(p.tolist(), q.tolist(), r.tolist(), s.tolist(), strict=True)):
+        x[k], y[k] = u, w
+        u, w = a * u + b * w, c * u + d * w
+        f = u + w
+        u, w = u / f, w / f
+    out = np.empty((size, 2, chunks))
+    for k, ((a, b), (c, d)) in enumerate(whole):
+        x, y = a * x + b * y, c * x + d * y
+        f = 1 / (x + y)
+        x, y = x * f, y * f
+        out[k, 0], out[k, 1] = x, y
+    return np.ascontiguousarray(out.transpose(2, 0, 1)).reshape(-1, 2)[:n]
 
 
 def shapes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,8 +145,8 @@ def _matrices(score: np.ndarray, switch: np.ndarray, first: np.ndarray) -> np.nd
     return np.where(first[:, None, None], 1.0, t[None]) * e[:, :, None]
 
 
-def forward_backward(score: np.ndarray, switch: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of the toxic tag, and of the tag pairs [token, from, to] ending at each token (0 for first tokens)."""
+def forward_backward(score: np.ndarray, switch: np.ndarray, first: np.ndarray, steps: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of the toxic tag, and, with ``steps``, of the tag pairs [token, from, to] ending at each token (0 for first tokens)."""
     m = _matrices(score, switch, first)
     alpha = products(m)
     after = products(np.swapaxes(m, 1, 2)[::-1])[::-1]  # of what each token hands to the one before
@@ -150,8 +154,8 @@ def forward_backward(score: np.ndarray, switch: np.ndarray, first: np.ndarray) -
     beta[:-1] = after[1:]
     p = alpha * beta
     p /= p.sum(axis=1, keepdims=True)
-    pairs = np.zeros((len(score), 2, 2))
-    if len(score) > 1:
+    pairs = np.zeros((len(score) if steps else 0, 2, 2))
+    if steps and len(score) > 1:
         joint = alpha[:-1, :, None] * np.swapaxes(m[1:], 1, 2) * beta[1:, None, :]
         pairs[1:] = np.where(first[1:, None, None], 0, joint / joint.sum(axis=(1, 2), keepdims=True))
     return p[:, 1], pairs
@@ -224,7 +228,7 @@ def tagged(texts: list[bytes], strength: dict[bytes, int], hide: np.random.Gener
 
 
 def marginals(f: np.ndarray, first: np.ndarray, field: Field) -> np.ndarray:
-    return forward_backward(field.bias + sum(e[f[:, k]] for k, e in enumerate(field.emission)), field.switch, first)[0]
+    return forward_backward(field.bias + sum(e[f[:, k]] for k, e in enumerate(field.emission)), field.switch, first, steps=False)[0]
 
 
 def summaries(p: np.ndarray, n: np.ndarray) -> np.ndarray:
