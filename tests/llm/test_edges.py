@@ -152,15 +152,19 @@ def test_bpe_equals_the_library(spark):
     out = bpe.encoded(docs(spark).select("doc_id", "text", F.lit(1).alias("n_tokens")), RANKS, public_tokenizers.PATTERN).collect()
     want = Counter((d, len(ids := enc.encode_ordinary(t)), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for d, t in TEXTS)
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out) == want
+    whole = bpe.encoded(docs(spark).select("doc_id", "text"), RANKS, public_tokenizers.PATTERN, ids=True).collect()
+    assert Counter((r.doc_id, tuple(r.token_ids)) for r in whole) == Counter((d, tuple(enc.encode_ordinary(t))) for d, t in TEXTS)
     assert bpe.encoded(empty(spark), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
 def test_words_met_before_keep_their_ids(monkeypatch):
-    monkeypatch.setattr(bpe, "KNOWN_WORDS", 5)
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 8)
     known, enc = bpe.Known(bpe.MergeReplay(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)), encoder()
-    for words in (["anean", "the", "xqzzt"], ["anean", "b", "ceeth", "dqq"], [f"w{k}q" for k in range(9)], ["w3q", "anean", "xqzzt"]):
-        assert [x[0] for x in known.of(words)] == [enc.encode_ordinary(w) for w in words] and len(known.words) <= 5
-        assert [x[1:] for x in known.of(words)] == [(",".join(map(str, enc.encode_ordinary(w))), w.encode()) for w in words]
+    for words in (["anean", "the", "xqzzt"], ["anean", "b", "ceeth", "dqq"], [f"w{k}q" for k in range(9)], [], ["w3q", "anean", "xqzzt"], ["anean"]):
+        for _ in range(2):
+            ids = [enc.encode_ordinary(w) for w in words]
+            assert known.of(words) == [(len(x), ",".join(map(str, x)), w.encode()) for x, w in zip(ids, words, strict=True)]
+            assert len(known.young) <= 4 and len(known.old) <= 4
 
 
 def test_merge_replay_on_random_texts():

@@ -3,8 +3,8 @@
 Texts are split by the vocabulary's pattern. A block of texts (bounded bytes) is laid out by its distinct words: those that the worker
 process has not met before form one linked list of symbols, and an inverted index maps each adjacent symbol pair that merges to the positions where it
 stands. Merges are then replayed over all of them in rank order, each touching just the positions listed for its pair and
-re-indexing only the two neighbours of what it joined. Words met before keep their ids from block to block and task to task (``KNOWN_WORDS`` of them
-at most, then the process begins anew), so that a word is replayed once for each process, as a rule, and not for each block. Documents are assembled from
+re-indexing only the two neighbours of what it joined. Words met lately keep their ids from block to block and task to task (``KNOWN_WORDS`` of them
+at most), so that a word that comes up again and again is replayed once for each process and not for each block. Documents are assembled from
 their words' ids. Blocks never need each other, so nothing is shuffled and a lost task repeats its own rows only; a table of all words of the corpus would
 have to be joined to the words of each block, which is more rows than the text has kilobytes by far.
 """
@@ -159,29 +159,30 @@ def shipped(spark: SparkSession, path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-#: Words that a worker process remembers, with their ids.
-KNOWN_WORDS = 400_000
-Word = tuple[list[int], str, bytes]  # ids, their digits, what they spell
+#: Words that a worker process remembers at most.
+KNOWN_WORDS = 600_000
+Word = tuple[int, str, bytes]  # how many ids, their digits, what they spell
 
 
 class Known:
-    """The words that were encoded before."""
+    """The words that were encoded lately, in two halves: words that come up are in the younger one, and once that is full it becomes the older one, whose
+    words are forgotten unless they have come up again."""
 
     def __init__(self, replay: MergeReplay):
         self.replay = replay
-        self.words: dict[str, Word] = {}
+        self.young: dict[str, Word] = {}
+        self.old: dict[str, Word] = {}
 
     def of(self, words: list[str]) -> list[Word]:
-        get = self.words.get
-        out = [get(w) for w in words]
+        young, old = self.young.get, self.old.get
+        out = [young(w) or old(w) for w in words]
         new = [k for k, x in enumerate(out) if x is None]
-        found = self.replay.encode_words([words[k].encode() for k in new])
-        if len(self.words) + len(new) > KNOWN_WORDS:
-            self.words.clear()
-        for k, ids in zip(new, found, strict=True):
-            out[k] = (ids, ",".join(map(str, ids)), self.replay.decode(ids))
-            if len(self.words) < KNOWN_WORDS:
-                self.words[words[k]] = out[k]
+        for k, ids in zip(new, self.replay.encode_words([words[k].encode() for k in new]), strict=True):
+            out[k] = (len(ids), ",".join(map(str, ids)), self.replay.decode(ids))
+        room = KNOWN_WORDS // 2
+        if len(self.young) + len(words) > room:
+            self.young, self.old = {}, self.young
+        self.young.update(zip(words[:room], out[:room], strict=True))
         return out
 
 
@@ -213,14 +214,15 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text",
             parts, words = known.replay.numbered(t.decode() for t in texts)
             of = known.of(words)
             # a word's digits and its decoded bytes are made once; both join up to those of the text
-            length, digits, spelled = [len(x[0]) for x in of], [x[1] for x in of], [x[2] for x in of]
+            length, digits, spelled = zip(*of, strict=True) if of else ((), (), ())
             out = {
                 "n_tokens": pa.array([sum(map(length.__getitem__, p)) for p in parts], pa.int64()),
                 "ids_sha256": pa.array([hashlib.sha256(",".join(map(digits.__getitem__, p)).encode()).hexdigest() for p in parts]),
                 "decoded_sha256": pa.array([hashlib.sha256(b"".join(map(spelled.__getitem__, p))).hexdigest() for p in parts]),
             }
             if ids:
-                out["token_ids"] = pa.array([[i for w in p for i in of[w][0]] for p in parts], pa.list_(pa.int32()))
+                of_word = [list(map(int, d.split(","))) for d in digits]
+                out["token_ids"] = pa.array([[i for w in p for i in of_word[w]] for p in parts], pa.list_(pa.int32()))
             yield with_columns(rest, out)
 
     return docs.mapInArrow(tidy(run), schema)
