@@ -10,18 +10,23 @@ from tracemill.operators.joins import AXES
 
 
 def ecdf(df: DataFrame, value: str, keys: list[str], smoothing: str = "weak", greater: bool = True) -> DataFrame:
-    """Add ``score``: the share of a group's values at or below a value, by one of the modes
+    """Add ``score``; see ``ecdfs``."""
+    return ecdfs(df, value, keys, {"score": (smoothing, greater)})
+
+
+def ecdfs(df: DataFrame, value: str, keys: list[str], modes: dict[str, tuple[str, bool]]) -> DataFrame:
+    """Add a column for each of ``modes`` (name -> mode, greater): the share of a group's values at or below a value, by one of
 
     weak: F (or 1 - F); strict: share strictly below; a: F + 0.5/n, or 1 - F + 0.5/n; b: (F n + 1) / (n + 2), or its complement.
     Null values get null and are no part of the group. Counts are taken per distinct value before they are added up in order, so what a task
-    orders is a group's values, not its rows.
+    orders is a group's values, not its rows; all modes come from the same counts.
     """
     per = cumulated(df.where(F.col(value).isNotNull()), keys, value)
     n = F.col("_total")
     f, strict = F.col("_upto") / n, (F.col("_upto") - F.col("_here")) / n
-    up = {"weak": f, "strict": strict, "a": f + 0.5 / n, "b": (f * n + 1) / (n + 2)}[smoothing]
-    down = {"weak": 1 - f, "strict": 1 - strict, "a": 1 - f + 0.5 / n, "b": 1 - (f * n + 1) / (n + 2)}[smoothing]
-    shares = per.select(*keys, F.col(value).alias("_value"), (up if greater else down).alias("score"))
+    up = {"weak": f, "strict": strict, "a": f + 0.5 / n, "b": (f * n + 1) / (n + 2)}
+    down = {"weak": 1 - f, "strict": 1 - strict, "a": 1 - f + 0.5 / n, "b": 1 - (f * n + 1) / (n + 2)}
+    shares = per.select(*keys, F.col(value).alias("_value"), *[(up if greater else down)[mode].alias(name) for name, (mode, greater) in modes.items()])
     shares = shares.withColumnsRenamed({k: f"_k{k}" for k in keys})
     on = [F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in keys]
     return df.join(shares, [*on, F.col(value) == F.col("_value")], "left").drop("_value", *[f"_k{k}" for k in keys])

@@ -187,10 +187,8 @@ def overlaps(s, d):
 round(1 - cume_dist() over w + 0.5 / count(*) over (partition by cell_id), 9) as a_less, round((cume_dist() over w * count(*) over (partition by cell_id) + 1) / (count(*) over (partition by cell_id) + 2), 9) as b_greater
 from spots window w as (partition by cell_id order by height)""")
 def ecdf_scores(s, d):
-    df = A.spots(s, d)
-    for name, mode, up in (("weak", "weak", True), ("strict", "strict", True), ("a_less", "a", False), ("b_greater", "b", True)):
-        df = windows.ecdf(df, "height", ["cell_id"], mode, up).withColumn(name, r("score", 9)).drop("score")
-    return df.select("uid", "weak", "strict", "a_less", "b_greater")
+    modes = {"weak": ("weak", True), "strict": ("strict", True), "a_less": ("a", False), "b_greater": ("b", True)}
+    return windows.ecdfs(A.spots(s, d), "height", ["cell_id"], modes).select("uid", *[r(c, 9).alias(c) for c in modes])
 
 
 @query(f"""with {A.SPOTS} select a.uid, round(sum((b.height <= a.height)::int) / count(*), 9) as score from spots a join spots b on a.channel = b.channel and b.bit < 6 where a.bit >= 6 group by 1""")
