@@ -3,8 +3,8 @@
 Texts are split by the vocabulary's pattern. A block of texts (bounded bytes) is laid out by its distinct words: those that the worker
 process has not met before form one linked list of symbols, and an inverted index maps each adjacent symbol pair that merges to the positions where it
 stands. Merges are then replayed over all of them in rank order, each touching just the positions listed for its pair and
-re-indexing only the two neighbours of what it joined. Words met lately keep their ids from block to block and task to task (``KNOWN_WORDS`` of them
-at most), so that a word that comes up again and again is replayed once for each process and not for each block. Documents are assembled from
+re-indexing only the two neighbours of what it joined. Words met lately keep their ids from block to block of a task (``KNOWN_WORDS`` of them
+at most), so that a word that comes up again and again is replayed once for each task and not for each block. Documents are assembled from
 their words' ids. Blocks never need each other, so nothing is shuffled and a lost task repeats its own rows only; a table of all words of the corpus would
 have to be joined to the words of each block, which is more rows than the text has kilobytes by far.
 """
@@ -159,7 +159,7 @@ def shipped(spark: SparkSession, path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-#: Words that a worker process remembers at most.
+#: Words that a task remembers at most.
 KNOWN_WORDS = 600_000
 Word = tuple[int, str, bytes]  # how many ids, their digits, what they spell
 
@@ -186,13 +186,13 @@ class Known:
         return out
 
 
-_held: dict[tuple[str, str], Known] = {}
+_held: dict[tuple[str, str], MergeReplay] = {}
 
 
-def known_of(name: str, pattern: str) -> Known:
-    """The encoder for a shipped vocabulary with the words it knows, built once in each worker process."""
+def replay_of(name: str, pattern: str) -> MergeReplay:
+    """The encoder for a shipped vocabulary, built once in each worker process."""
     if (name, pattern) not in _held:
-        _held[name, pattern] = Known(MergeReplay(read_ranks(SparkFiles.get(name)), pattern))
+        _held[name, pattern] = MergeReplay(read_ranks(SparkFiles.get(name)), pattern)
     return _held[name, pattern]
 
 
@@ -209,7 +209,7 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text",
     name = shipped(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = known_of(name, pattern)
+        known = Known(replay_of(name, pattern))  # as long as the task: the worker may serve quite other ones next
         for rest, texts in blocks(batches, text, 8 << 20):
             parts, words = known.replay.numbered(t.decode() for t in texts)
             of = known.of(words)
