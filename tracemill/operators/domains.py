@@ -55,14 +55,40 @@ def effect(intra: np.ndarray, inter: np.ndarray, method: str = "median", floor:
     return max(out, 0.0) if floor else out
 
 
+def _middles(x: np.ndarray, method: str) -> np.ndarray:
+    """Median or mean of each row's known values."""
+    known = (~np.isnan(x)).sum(1)
+    if method != "median":
+        return np.nansum(x, axis=1) / np.maximum(known, 1)
+    x = np.sort(x, axis=1)  # missing values come last
+    at = lambda k: np.take_along_axis(x, np.maximum(k, 0)[:, None], 1)[:, 0]
+    return (at((known - 1) // 2) + at(known // 2)) / 2 if x.shape[1] else np.full(len(x), np.nan)
+
+
 def sliding(matrix: np.ndarray, width: int, method: str = "median") -> np.ndarray:
-    """At each region, the effect between pairs within the ``width`` regions to either side and pairs across; 0 near the ends."""
+    """At each region, the effect between pairs within the ``width`` regions to either side and pairs across; 0 near the ends. All regions' windows are gathered
+    at once."""
     n = len(matrix)
     out = np.zeros(n)
-    for i in range(width, n - width):
-        left, right = matrix[i - width : i, i - width : i], matrix[i : i + width, i : i + width]
-        intra = np.concatenate([m[np.triu_indices(len(m), 1)] for m in (left, right)])
-        out[i] = effect(intra[intra > 0], matrix[i - width : i, i : i + width].ravel(), method)
+    at = np.arange(width, n - width)[:, None]
+    if not len(at):
+        return out
+    i, j = np.triu_indices(width, 1)
+    intra = np.concatenate([matrix[at + lo + i, at + lo + j] for lo in (-width, 0)], axis=1)
+    inter = matrix[at - width + np.repeat(np.arange(width), width), at + np.tile(np.arange(width), width)]
+    intra = np.where(intra > 0, intra, np.nan)
+    if method == "ks":
+        out[at[:, 0]] = [effect(a, b, method) for a, b in zip(intra, inter, strict=True)]
+        return out
+    both = (~np.isnan(intra)).any(1) & (~np.isnan(inter)).any(1)
+    intra, inter, at = intra[both], inter[both], at[both, 0]
+    kind = "mean" if method == "insulation" else method
+    a, b = _middles(intra, kind), _middles(inter, kind)
+    if method == "insulation":
+        out[at] = b / a
+        return out
+    spread = np.sqrt((_middles((intra - a[:, None]) ** 2, kind) + _middles((inter - b[:, None]) ** 2, kind)) / 2)
+    out[at] = np.where(spread > 0, np.maximum(b - a, 0) / np.where(spread > 0, spread, 1), 0.0)
     return out
 
 
@@ -166,15 +192,17 @@ def correlation_call(matrix: np.ndarray, width: int = 4, distance: int = 3, prom
 
 def merged_starts(matrix: np.ndarray, candidates: list[int], least_effect: float = 0.3) -> list[int]:
     """Of candidate starts those that are left when neighbours with too small an effect merge, weakest first."""
-    starts = sorted({0, *candidates})
-    while len(starts) > 1:
-        ends = [*starts[1:], len(matrix)]
-        strengths = [between(matrix, starts[k], starts[k + 1], ends[k + 1]) for k in range(len(starts) - 1)]
+    cuts = [*sorted({0, *candidates}), len(matrix)]
+    strengths = [between(matrix, *cuts[k : k + 3]) for k in range(len(cuts) - 2)]
+    while strengths:
         weakest = int(np.argmin(strengths))
         if strengths[weakest] >= least_effect:
             break
-        del starts[weakest + 1]
-    return starts
+        del cuts[weakest + 1], strengths[weakest]
+        for k in (weakest - 1, weakest):  # only the neighbours of what has merged change
+            if 0 <= k < len(strengths):
+                strengths[k] = between(matrix, *cuts[k : k + 3])
+    return cuts[:-1]
 
 
 def between(matrix: np.ndarray, a: int, b: int, c: int, method: str = "median") -> float:

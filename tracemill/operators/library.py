@@ -24,6 +24,15 @@ def hits(probes: DataFrame, words: DataFrame, k: int, uid: str, seq: str = "seq"
     return own.join(words, "word", "left").groupBy(uid).agg(F.sum(F.coalesce("n", F.lit(0))).alias("hits"))
 
 
+def both_hits(probes: DataFrame, words: DataFrame, k: int, uid: str, seq: str = "seq") -> DataFrame:
+    """``hits`` of each probe and of its reverse complement (reverse_hits), by one join with the table."""
+    strands = F.array(*[F.struct(F.lit(x).alias("strand"), s.alias("s")) for x, s in enumerate((F.col(seq), dna.reverse_complement(F.col(seq))))])
+    own = probes.select(uid, F.inline(strands)).select(uid, "strand", F.explode_outer(dna.kmers(F.col("s"), k)).alias("word"))
+    n = F.coalesce("n", F.lit(0))
+    of = lambda x: F.sum(F.when(F.col("strand") == x, n).otherwise(0))
+    return own.join(words, "word", "left").groupBy(uid).agg(of(0).alias("hits"), of(1).alias("reverse_hits"))
+
+
 def candidates(sequences: DataFrame, length: int, uid: str, seq: str = "seq", size: int = 128) -> DataFrame:
     """Every window of a sequence: uid, start (0-based), seq. Sequences are cut into pieces first, a row each."""
     size = max(size, 2 * length)

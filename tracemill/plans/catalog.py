@@ -396,7 +396,7 @@ f as (select uid, sum(coalesce(n, 0))::bigint as hits from words left join t usi
 g as (select uid, sum(coalesce(n, 0))::bigint as reverse_hits from rw left join t using (word) group by uid) select uid, hits, reverse_hits from f join g using (uid)""")
 def probe_hits(s, d):
     t, p = library.word_table(A.sequences(s, d, "documents", "doc_id"), 10), A.sequences(s, d)
-    return library.hits(p, t, 10, "uid").join(library.hits(p, t, 10, "uid", reverse=True).withColumnRenamed("hits", "reverse_hits"), "uid")
+    return library.both_hits(p, t, 10, "uid")
 
 
 @query(f"""with {A.sequences_sql()}, c as (select uid, s - 1 as start, substr(seq, s, 30) as seq from (select uid, seq, unnest(range(1, length(seq) - 28)) as s from sequences where length(seq) >= 30))
