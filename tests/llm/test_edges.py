@@ -164,7 +164,7 @@ def test_words_met_before_keep_their_ids(monkeypatch):
         for _ in range(2):
             ids = [enc.encode_ordinary(w) for w in words]
             assert known.of(words) == [(len(x), ",".join(map(str, x)), w.encode()) for x, w in zip(ids, words, strict=True)]
-            assert len(known.young) <= 4 and len(known.old) <= 4
+            assert len(known.words) <= 8
 
 
 def test_merge_replay_on_random_texts():

@@ -3,8 +3,8 @@
 Texts are split by the vocabulary's pattern. A block of texts (bounded bytes) is laid out by its distinct words: those that the worker
 process has not met before form one linked list of symbols, and an inverted index maps each adjacent symbol pair that merges to the positions where it
 stands. Merges are then replayed over all of them in rank order, each touching just the positions listed for its pair and
-re-indexing only the two neighbours of what it joined. Words met lately keep their ids from block to block of a task (``KNOWN_WORDS`` of them
-at most), so that a word that comes up again and again is replayed once for each task and not for each block. Documents are assembled from
+re-indexing only the two neighbours of what it joined. Words keep their ids from block to block of a task while they come up again (``KNOWN_WORDS`` of them at most), so that
+a common word is replayed once for each task and not for each block. Documents are assembled from
 their words' ids. Blocks never need each other, so nothing is shuffled and a lost task repeats its own rows only; a table of all words of the corpus would
 have to be joined to the words of each block, which is more rows than the text has kilobytes by far.
 """
@@ -160,29 +160,26 @@ def shipped(spark: SparkSession, path: str) -> str:
 
 
 #: Words that a task remembers at most.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 150_000
 Word = tuple[int, str, bytes]  # how many ids, their digits, what they spell
 
 
 class Known:
-    """The words that were encoded lately, in two halves: words that come up are in the younger one, and once that is full it becomes the older one, whose
-    words are forgotten unless they have come up again."""
+    """Words of the block before, first those that had come up earlier still."""
 
     def __init__(self, replay: MergeReplay):
         self.replay = replay
-        self.young: dict[str, Word] = {}
-        self.old: dict[str, Word] = {}
+        self.words: dict[str, Word] = {}
 
     def of(self, words: list[str]) -> list[Word]:
-        young, old = self.young.get, self.old.get
-        out = [young(w) or old(w) for w in words]
+        out = list(map(self.words.get, words))
         new = [k for k, x in enumerate(out) if x is None]
+        again = {w: x for w, x in zip(words, out, strict=True) if x is not None}
+        self.words = again
         for k, ids in zip(new, self.replay.encode_words([words[k].encode() for k in new]), strict=True):
             out[k] = (len(ids), ",".join(map(str, ids)), self.replay.decode(ids))
-        room = KNOWN_WORDS // 2
-        if len(self.young) + len(words) > room:
-            self.young, self.old = {}, self.young
-        self.young.update(zip(words[:room], out[:room], strict=True))
+            if len(again) < KNOWN_WORDS:
+                again[words[k]] = out[k]
         return out
 
 
