@@ -157,16 +157,6 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encoded(empty(spark), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-def test_words_met_before_keep_their_ids(monkeypatch):
-    monkeypatch.setattr(bpe, "KNOWN_WORDS", 8)
-    known, enc = bpe.Known(bpe.MergeReplay(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)), encoder()
-    for words in (["anean", "the", "xqzzt"], ["anean", "b", "ceeth", "dqq"], [f"w{k}q" for k in range(9)], [], ["w3q", "anean", "xqzzt"], ["anean"]):
-        for _ in range(2):
-            ids = [enc.encode_ordinary(w) for w in words]
-            assert known.of(words) == [(len(x), ",".join(map(str, x)), w.encode()) for x, w in zip(ids, words, strict=True)]
-            assert len(known.words) <= 8
-
-
 def test_merge_replay_on_random_texts():
     enc, replay, rng = encoder(), bpe.MergeReplay(bpe.read_ranks(RANKS), public_tokenizers.PATTERN), random.Random(1)
     letters = " \t\n\r\x0b\x1c\x85\xa0aAbeZ'sét019²_-<|日😀́‍"
