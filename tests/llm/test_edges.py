@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -105,6 +106,35 @@ def test_toxicity_is_the_same_in_any_blocks(spark, monkeypatch):
     assert Counter(map(str, toxicity.scored(labelled, model).collect())) == whole
 
 
+def test_toxicity_is_fitted_in_little_memory(spark):
+    # 400 documents of 500 words; with their chains all at once the driver took over 100 MB
+    rng = random.Random(5)
+    data = [(d, " ".join(["vileword"] * (d % 2) + [f"plain{rng.randint(0, 99)}" for _ in range(499)]), d % 2) for d in range(400)]
+    labelled = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(labelled)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    print(f"peak of the fit: {peak / 1e6:.0f} MB")
+    assert peak < 50e6
+    assert all(r.predicted == r.toxic for r in toxicity.scored(labelled, model).collect())
+
+
+def test_toxicity_field_is_the_same_in_any_pieces(monkeypatch):
+    texts = [b"", b" ", *(b"bad%d plain%d odd" % (d % 9, d % 7) * (1 + d % 3) if d % 3 == 0 else b"plain%d more%d" % (d % 7, d % 5) for d in range(60)), b"plain1 bad2 " * 300, b""]
+    y = np.array([0.0, 1.0, *(float(d % 3 == 0) for d in range(60)), 1.0, 0.0])
+    strength, fields = {b"bad%d" % k: 3 for k in range(9)} | {b"^bad": 2, b"$odd": 1}, []
+    for most in (1, 200, 1 << 20):
+        monkeypatch.setattr(toxicity, "FIT_BYTES", most)
+        cut = list(toxicity.runs(texts, most))
+        assert [t for at in cut for t in texts[at]] == texts and all(sum(map(len, texts[at])) <= most or at.stop - at.start == 1 for at in cut)
+        field = toxicity.fitted(texts, y, strength, np.ones(len(y)))
+        fields.append(np.concatenate([*field.emission, [field.bias], field.switch.ravel(), field.logistic]))
+    assert all(np.allclose(x, fields[-1], rtol=0, atol=1e-6) for x in fields)
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(0)
     score, switch = rng.normal(size=7), rng.normal(size=(2, 2))

@@ -36,6 +36,8 @@ BEGINNING, ENDING, STRENGTHS = 4, 3, 4
 VALUES = (STRENGTHS,) * 5 + (6, 4)
 #: The labelled sample that field and logistic function are fitted to: documents of each label, and their characters together.
 SAMPLE, SAMPLE_CHARS = 500, 1_500_000
+#: Text bytes of the pieces in which the driver goes through the sample; a piece is larger only if it is one document.
+FIT_BYTES = 1 << 18
 PREDICT = 0.3
 #: Text bytes of a block that is joined with its entries, and of the pieces in which it is tagged; bits of the sieve, a power of two.
 JOIN_BYTES, TAG_BYTES, SIEVE_BITS = 4 << 20, 4 << 20, 1 << 24
@@ -129,7 +131,7 @@ def shapes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def features(code: np.ndarray, first: np.ndarray, shape: np.ndarray, size: np.ndarray) -> np.ndarray:
     """[tokens, observations]: see ``VALUES``; 0 beyond the text."""
-    f = np.zeros((len(code), len(VALUES)), np.int64)
+    f = np.zeros((len(code), len(VALUES)), np.uint8)
     f[:, 0], f[:, 1], f[:, 2], f[:, 5], f[:, 6] = code // STRENGTHS**2, code // STRENGTHS % STRENGTHS, code % STRENGTHS, shape, size
     both = np.maximum(f[:, 0], f[:, 1])
     f[1:, 3] = np.where(first[1:], 0, both[:-1])
@@ -181,21 +183,27 @@ def clamped(p: np.ndarray, pairs: np.ndarray, first: np.ndarray, toxic: np.ndarr
     return np.minimum(p * some, 1), np.maximum(out, 0)
 
 
-def fit_field(f: np.ndarray, toxic: np.ndarray, first: np.ndarray, rounds: int = 60, rate: float = 0.3) -> tuple[list[np.ndarray], float, np.ndarray]:
-    """Maximise the likelihood of the documents' labels, with a small ridge, by Adam; it starts where strong words are toxic."""
+def fit_field(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rounds: int = 60, rate: float = 0.3) -> tuple[list[np.ndarray], float, np.ndarray]:
+    """Maximise the likelihood of the documents' labels, with a small ridge, by Adam; it starts where strong words are toxic.
+
+    ``parts``: features, labels and firsts of the tokens of whole documents. Chains are in memory for one part at a time, and their sums are added up.
+    """
     cuts = np.cumsum(VALUES)
     theta = np.zeros(cuts[-1] + 1 + 4)
     theta[:STRENGTHS], theta[cuts[-1]] = 2.0 * np.arange(STRENGTHS), -5.0
-    n = len(f)
+    n = sum(len(f) for f, _, _ in parts)
 
-    def expected(p: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    def expected(f: np.ndarray, p: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         return np.concatenate([np.bincount(f[:, k], p, v) for k, v in enumerate(VALUES)] + [[p.sum()], pairs.sum(axis=0).ravel()])
 
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, rounds + 1):
+    def gain(f: np.ndarray, toxic: np.ndarray, first: np.ndarray) -> np.ndarray:
         emission, bias, switch = np.split(theta[: cuts[-1]], cuts[:-1]), theta[cuts[-1]], theta[-4:].reshape(2, 2)
         p, pairs = forward_backward(bias + sum(e[f[:, k]] for k, e in enumerate(emission)), switch, first)
-        g = (expected(*clamped(p, pairs, first, toxic)) - expected(p, pairs)) / max(n, 1) * 100 - 1e-4 * theta
+        return expected(f, *clamped(p, pairs, first, toxic)) - expected(f, p, pairs)
+
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, rounds + 1):
+        g = sum(gain(*part) for part in parts) / max(n, 1) * 100 - 1e-4 * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return np.split(theta[: cuts[-1]], cuts[:-1]), float(theta[cuts[-1]]), theta[-4:].reshape(2, 2)
@@ -278,6 +286,29 @@ def sample(docs: DataFrame) -> list[str]:
     return texts
 
 
+def runs(texts: list[bytes], most: int) -> Iterator[slice]:
+    """Texts that follow each other, ``most`` bytes together at most or one text."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        if k > start and size + len(t) > most:
+            yield slice(start, k)
+            start, size = k, 0
+        size += len(t)
+    if texts:
+        yield slice(start, len(texts))
+
+
+def fitted(texts: list[bytes], y: np.ndarray, strength: dict[bytes, int], weight: np.ndarray) -> Field:
+    """The field and its logistic function for texts with labels ``y``; besides a few bytes for each token, the driver holds one run of texts."""
+    cut, hide = list(runs(texts, FIT_BYTES)), np.random.default_rng(1)
+    plain = [tagged(texts[at], strength) for at in cut]
+    hidden = [tagged(texts[at], strength, hide) for at in cut]
+    parts = [(f, np.repeat(y[at] == 1, n), first) for at, (f, n, first) in zip(cut * 2, plain + hidden, strict=True)]
+    field = Field(*fit_field(parts), np.zeros(4))
+    field.logistic = fit_logistic(np.concatenate([summaries(marginals(f, first, field), n) for f, n, first in plain]), y, weight)
+    return field
+
+
 def fit(labelled: DataFrame) -> Model:
     """Fit to ``labelled`` (doc_id, text, toxic 0/1). Without toxic or without other documents the score is a constant. Repeated rows
     count as often as they stand there; ids serve for the order of the sample only, null ones too."""
@@ -299,12 +330,8 @@ def fit(labelled: DataFrame) -> Model:
     # of the lexicon only what the sample's own words hold comes to the driver
     own = labelled.sparkSession.createDataFrame(pa.table({"entry": pa.array(entries_of(texts), pa.binary())}))
     strength = {bytes(r.entry): r.strength for r in own.join(model.lexicon, "entry").collect()}
-    f, n, first = tagged(texts, strength)
-    hidden, _, _ = tagged(texts, strength, np.random.default_rng(1))
-    toxic = np.repeat(y == 1, n)
-    field.emission, field.bias, field.switch = fit_field(np.concatenate([f, hidden]), np.concatenate([toxic, toxic]), np.concatenate([first, first]))
     weight = np.where(y == 1, n_toxic / y.sum(), n_other / (1 - y).sum())
-    field.logistic = fit_logistic(summaries(marginals(f, first, field), n), y, weight / weight.mean())
+    model.field = fitted(texts, y, strength, weight / weight.mean())
     return model
 
 
