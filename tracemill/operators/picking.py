@@ -6,7 +6,7 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,9 +19,21 @@ def brightest(spots: DataFrame, keys: list[str], uid: str = "uid") -> DataFrame:
 
 def pair_assignment(candidates: DataFrame, keys: list[str], uid: str, s0: Column, s1: Column) -> DataFrame:
     """Two copies, one candidate each: the two different candidates with the greatest sum of scores; a single candidate
-    goes to the copy that scores it higher. Columns keys, copy0, copy1, total."""
+    goes to the copy that scores it higher. Columns keys, copy0, copy1, total.
+
+    Only candidates meet that can be of the best pair: those whose score, with the greatest other score of the group, reaches the total of some pair; of equal scores
+    the two lowest ids, as ties go to them."""
     c = candidates.select(*keys, F.col(uid).alias("u"), s0.alias("s0"), s1.alias("s1"))
-    both = c.alias("a").join(c.alias("b"), keys).where("a.u <> b.u").groupBy(*keys).agg(F.max(F.struct((F.col("a.s0") + F.col("b.s1")).alias("total"), (-F.col("a.u")).alias("x"), (-F.col("b.u")).alias("y"))).alias("m"))
+    # the best candidate of one copy with the best other one of the other
+    first = c.groupBy(*keys).agg(F.max(F.struct("s0", "u")).alias("m0"), F.max(F.struct("s1", "u")).alias("m1")).withColumnsRenamed({k: f"_k{k}" for k in keys})
+    on = [F.col(k) == F.col(f"_k{k}") for k in keys]
+    known = c.join(first, on).groupBy(*keys).agg(F.first("m0.s0").alias("_top0"), F.first("m1.s1").alias("_top1"), F.greatest(F.max(F.when(F.col("u") != F.col("m0.u"), F.col("m0.s0") + F.col("s1"))), F.max(F.when(F.col("u") != F.col("m1.u"), F.col("s0") + F.col("m1.s1")))).alias("_least"))
+    # where no total is known, the lowest ids are taken
+    low = lambda s: F.row_number().over(Window.partitionBy(*keys, F.when(F.col("_least").isNotNull(), F.col(s))).orderBy("u")) <= 2
+    able = c.join(known, keys)
+    left = able.where("_least is null or s0 + _top1 >= _least").select(*keys, "u", "s0", low("s0").alias("_ok")).where("_ok").drop("_ok")
+    right = able.where("_least is null or _top0 + s1 >= _least").select(*keys, "u", "s1", low("s1").alias("_ok")).where("_ok").drop("_ok")
+    both = left.alias("a").join(right.alias("b"), keys).where("a.u <> b.u").groupBy(*keys).agg(F.max(F.struct((F.col("a.s0") + F.col("b.s1")).alias("total"), (-F.col("a.u")).alias("x"), (-F.col("b.u")).alias("y"))).alias("m"))
     single = c.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("u").alias("u"), F.first("s0").alias("s0"), F.first("s1").alias("s1")).where("n = 1")
     one = single.select(*keys, F.when(F.col("s0") >= F.col("s1"), F.col("u")).alias("copy0"), F.when(F.col("s0") < F.col("s1"), F.col("u")).alias("copy1"), F.greatest("s0", "s1").alias("total"))
     return both.select(*keys, (-F.col("m.x")).alias("copy0"), (-F.col("m.y")).alias("copy1"), F.col("m.total").alias("total")).unionByName(one)
