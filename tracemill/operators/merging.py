@@ -34,14 +34,14 @@ def near_reference(candidates: DataFrame, references: DataFrame, keys: list[str]
 def labels_of(spots: DataFrame, voxels: DataFrame, uid: str, radius: int = 1) -> DataFrame:
     """The most frequent non-zero label in the cube of ``radius`` around a spot (the smaller on ties), -1 without any.
 
-    spots: uid, z, x, y (pixels); voxels: z, x, y, label. Each spot lists its cube, so this is an equi-join."""
-    steps = F.sequence(F.lit(-radius), F.lit(radius))
-    cube = spots.select(uid, *[F.round(c).cast("int").alias(c) for c in AXES])
+    spots: uid, z, x, y (pixels); voxels: z, x, y, label. Voxels are counted by place and label, their counts are added up over the cubes, and each place of the image has
+    its label before a spot asks for it."""
+    held = voxels.where("label <> 0").groupBy(*AXES, "label").agg(F.count(F.lit(1)).alias("n"))
     for c in AXES:
-        cube = cube.withColumn("_d", F.explode(steps)).withColumn(c, F.col(c) + F.col("_d")).drop("_d")
-    found = cube.join(voxels.where("label <> 0"), list(AXES)).groupBy(uid, "label").agg(F.count(F.lit(1)).alias("n"))
-    best = found.groupBy(uid).agg(F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("b")).select(uid, (-F.col("b.l")).alias("label"))
-    return spots.select(uid).join(best, uid, "left").withColumn("label", F.coalesce("label", F.lit(-1)))
+        held = held.withColumn("_d", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).withColumn(c, F.col(c) + F.col("_d")).groupBy(*AXES, "label").agg(F.sum("n").alias("n"))
+    best = held.groupBy(*AXES).agg(F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("b")).select(*[F.col(c).alias(f"_{c}") for c in AXES], (-F.col("b.l")).alias("label"))
+    at = spots.select(uid, *[F.round(c).cast("int").alias(f"_{c}") for c in AXES])
+    return at.join(best, [f"_{c}" for c in AXES], "left").select(uid, F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 def cell_locations(voxels: DataFrame, fov: str, centre: tuple[float, float, float], pixel: tuple[float, float, float]) -> DataFrame:
