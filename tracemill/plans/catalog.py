@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.functions import dna, geometry
+from tracemill.functions import dna, geometry, statistics
 from tracemill.operators import aggregates, decode, domains, joins, library, merging, picking, windows
 from tracemill.plans import adapters as A
 
@@ -494,8 +494,9 @@ select least(chr_a, chr_b) as chr_a, greatest(chr_a, chr_b) as chr_b, case when
 def cis_trans_map(s, d):
     t = A.traces(s, d).select("copy", F.struct("event_id", "chr", *joins.AXES).alias("p"))
     pairs = t.withColumnRenamed("p", "l").join(t.withColumnRenamed("p", "r"), "copy").where("l.event_id < r.event_id").withColumn("d", joins.distance("l", "r"))
-    kind = F.when(F.col("l.chr") == F.col("r.chr"), "cis").otherwise("trans").alias("kind")
-    return pairs.groupBy(F.least("l.chr", "r.chr").alias("chr_a"), F.greatest("l.chr", "r.chr").alias("chr_b"), kind).agg(r(F.percentile("d", 0.5)).alias("median"), F.count("d").alias("n"))
+    chrs = pairs.select(F.least("l.chr", "r.chr").alias("chr_a"), F.greatest("l.chr", "r.chr").alias("chr_b"), "d")
+    kind = F.when(F.col("chr_a") == F.col("chr_b"), "cis").otherwise("trans").alias("kind")
+    return statistics.medians(chrs, ["chr_a", "chr_b"], "d").select("chr_a", "chr_b", kind, r("median").alias("median"), "n")
 
 
 from tracemill.plans import more  # noqa: E402, F401
