@@ -9,11 +9,12 @@ from tracemill.functions.statistics import median
 from tracemill.operators.joins import AXES, distance
 
 
-def pair_distances(traces: DataFrame, copy: list[str], order: str) -> DataFrame:
-    """Distances of all region pairs i < j of a copy; null where a place is missing."""
-    points = traces.select(*copy, F.struct(F.col(order).alias("o"), *AXES).alias("p"))
+def pair_distances(traces: DataFrame, copy: list[str], order: str, carried: list[str] | None = None) -> DataFrame:
+    """Distances of all region pairs i < j of a copy; null where a place is missing. ``carried``: columns of the region i that come along."""
+    carried = carried or []
+    points = traces.select(*copy, F.struct(F.col(order).alias("o"), *AXES, *carried).alias("p"))
     pairs = points.withColumnRenamed("p", "l").join(points.withColumnRenamed("p", "r"), copy).where("l.o < r.o")
-    return pairs.select(*copy, F.col("l.o").alias("i"), F.col("r.o").alias("j"), distance("l", "r").alias("d"))
+    return pairs.select(*copy, F.col("l.o").alias("i"), F.col("r.o").alias("j"), distance("l", "r").alias("d"), *[F.col(f"l.{c}").alias(c) for c in carried])
 
 
 def contact(d: Column, threshold: float, op: str = "<=", nulls: str = "skip") -> Column:

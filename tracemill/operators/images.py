@@ -401,9 +401,10 @@ def corrected(images: DataFrame, keys: list[str], profiles: dict[str, np.ndarray
     return moved(chromatic(unmixed(out, keys, matrix, channel), constants, channel), shifts, keys)
 
 
-def gated_masks(voxels: DataFrame, images: DataFrame, keys: list[str], least_size: int, least_ratio: float) -> DataFrame:
-    """Voxels of the labels that are large enough and whose mean signal (images: keys, z, x, y, value) is ``least_ratio`` times that of the voxels without label."""
-    both = images.join(voxels.select(*keys, "z", "x", "y", "label"), [*keys, "z", "x", "y"], "left")
+def gated_masks(voxels: DataFrame, images: DataFrame | None, keys: list[str], least_size: int, least_ratio: float) -> DataFrame:
+    """Voxels of the labels that are large enough and whose mean signal (images: keys, z, x, y, value) is ``least_ratio`` times that of the voxels without label.
+    Without images the voxels have a value of their own, so that rows of one place do not meet each other's."""
+    both = voxels if images is None else images.join(voxels.select(*keys, "z", "x", "y", "label"), [*keys, "z", "x", "y"], "left")
     own = both.where("label > 0").groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("_n"), F.avg("value").alias("_v"))
     rest = both.where("label is null or label <= 0").groupBy(*keys).agg(F.avg("value").alias("_b"))
     good = own.join(rest, keys, "left").where((F.col("_n") >= least_size) & (F.col("_v") >= least_ratio * F.coalesce("_b", F.lit(0.0)))).select(*keys, "label")
