@@ -7,14 +7,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import dna
+from tracemill.operators import words
 
 
 def word_table(sequences: DataFrame, k: int, seq: str = "seq", clip: int | None = 65535) -> DataFrame:
     """word -> occurrences over all windows of all sequences, clipped."""
-    pieces = sequences.select(F.explode(dna.tiles(F.col(seq), k)).alias("t"))  # a row each, so that no row lists a chromosome's words
-    words = pieces.select(F.explode(dna.kmers(F.col("t"), k)).alias("word"))
-    n = F.count(F.lit(1))
-    return words.groupBy("word").agg((F.least(n, F.lit(clip)) if clip else n).cast("long").alias("n"))
+    n = F.sum("n")  # of what the tasks have counted
+    return words.counted(sequences, k, seq).groupBy("word").agg((F.least(n, F.lit(clip)) if clip else n).cast("long").alias("n"))
 
 
 def hits(probes: DataFrame, words: DataFrame, k: int, uid: str, seq: str = "seq", reverse: bool = False) -> DataFrame:
