@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,7 +86,8 @@ def within(points: np.ndarray, others: np.ndarray, radius: float) -> Iterator[tu
 
 def cliques(xyz: np.ndarray, radius: float) -> Iterator[np.ndarray]:
     """The balls (indexes, rising) around each point whose members are all within ``radius`` of each other. A ball is left at the first member found that is too
-    far from another, beginning with the one farthest from the centre."""
+    far from another, beginning with the one farthest from the centre, and a ball that several points have, such as those of one place, is looked at once."""
+    seen: set[bytes] = set()
     for g, among, d in within(xyz, xyz, radius):
         near = d <= radius
         for r in range(len(g)):
@@ -94,5 +96,9 @@ def cliques(xyz: np.ndarray, radius: float) -> Iterator[np.ndarray]:
             far = int(d[r][near[r]].argmax())
             if not (apart(p[far : far + 1], p) <= radius).all():
                 continue
+            mark = hashlib.blake2b(ball.tobytes(), digest_size=16).digest()
+            if mark in seen:
+                continue
+            seen.add(mark)
             if all((apart(p[k : k + 256], p) <= radius).all() for k in range(0, len(p), 256)):
                 yield ball
